@@ -4,43 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, language, mixing, quality, simhash, tokencount, tokenfile, urlfilter
 from .common import table
 
+#: End-of-document ids: the vocabulary's own for flat files, the contract's for framed files.
+FLAT_END_ID, FRAMED_END_ID = 50256, 2
+
+URL_RULES = [
+    urlfilter.UrlRule("block", "net/"),
+    urlfilter.UrlRule("allow", "example.net/en/"),
+    urlfilter.UrlRule("block", "example.com/de/"),
+    urlfilter.UrlRule("allow", "org/fr/"),
+]
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), FLAT_END_ID)
+
+
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), FRAMED_END_ID)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_prediction(table(spark, sf_dir, "documents"))
+
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_token_id_output": op2_token_id_output,
+    "op3_source_mixing": op3_source_mixing,
+    "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
-ORACLES = {
-    "op9_benchmark_decontamination": r"""
-WITH item AS (
-  SELECT DISTINCT coalesce(item_id::VARCHAR, 'null') AS item,
-         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL),
-windows AS (
-  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
-  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM item WHERE len(w) > 0)),
-doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents),
-spot AS (
-  SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS win
-  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM doc, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
-hit AS (SELECT DISTINCT doc_id, i, s.k, item FROM spot s JOIN windows USING (k, win)),
-word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM hit) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
-""",
-}
+ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
