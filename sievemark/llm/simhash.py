@@ -33,9 +33,10 @@ from .common import byte_runs, map_arrow, materialize, text_bytes
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-#: Fingerprints of one block, while there are at most MAX_BLOCKS blocks.
-BLOCK_CODES = 4096
-MAX_BLOCKS = 65536
+#: Blocks at least and at most; in between, a block holds BLOCK_CODES fingerprints. A fingerprint visits about
+#: (log2 of the blocks) squared over 4 blocks, so their number is fixed while blocks fit a task easily.
+MIN_BLOCKS, MAX_BLOCKS = 64, 65536
+BLOCK_CODES = 65536
 FANOUT = 8
 SIGN = np.uint64(1 << 63)
 
@@ -202,7 +203,7 @@ def links(codes: DataFrame, most: int = MAX_BITS, block_codes: int = BLOCK_CODES
     spark = codes.sparkSession
     ranked = codes.select("code", _gray_rank_column(F.col("code")).alias("rank"))
     n = ranked.count()
-    n_blocks = min(MAX_BLOCKS, max(1, -(-n // block_codes)))
+    n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, -(-n // block_codes)), max(1, n // 4))
     if n_blocks > 1:
         cuts = ranked.agg(F.percentile_approx("rank", [k / n_blocks for k in range(1, n_blocks)], 20 * n_blocks)).first()[0]
         cuts = np.unique(np.array(cuts, np.int64))
@@ -262,10 +263,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     codes = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("least_id")), "codes")
     label = components(links(codes.select("code"), most, block_codes))
-    named = codes.join(label.withColumnRenamed("node", "code"), "code", "left")
-    inside = named.where("label is not null")
+    inside = materialize(codes.join(label.withColumnRenamed("node", "code"), "code"), "inside")
     reach = inside.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_code = named.join(reach, "label", "left").select("code", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = inside.join(reach, "label").select("code", "component_id")
+    of_code = codes.join(linked, "code", "left").select("code", F.coalesce("component_id", "least_id").alias("component_id"))
     # A third of the rows may share one fingerprint: the side of the rows is the one that adaptive execution splits.
     return marked.join(materialize(of_code, "of-code"), "code", "left").select("doc_id", "code", "component_id")
 
