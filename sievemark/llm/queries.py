@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, simhash, tokencount, tokenfile, urlfilter
+from . import decontaminate, language, license, mixing, quality, search, simhash, tokencount, tokenfile, urlfilter
 from .common import table
 
 #: End-of-document ids: the vocabulary's own for flat files, the contract's for framed files.
@@ -37,6 +38,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_prediction(table(spark, sf_dir, "documents"))
 
@@ -57,15 +62,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_id_output": op2_token_id_output,
     "op3_source_mixing": op3_source_mixing,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_exact_search": op10_exact_search,
 }
 
-ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_exact_search": search.ORACLE}
