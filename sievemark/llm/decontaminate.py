@@ -182,6 +182,28 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _dropper(items: list[tuple[str, bytes]], text_col: str):
+    key = hashlib.sha256(repr(items).encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, items)
+        for batch in batches:
+            clean = [not scan(words_of(data), automaton)[1] for data in text_bytes(batch.column(text_col))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents in which a benchmark window occurs; no shuffle."""
+    columns = docs.columns
+    out = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
+    for items in _blocks(benchmark, item_id, item_text, block_bytes):
+        out = map_arrow(out, _dropper(items, f"c{columns.index(text)}"), schema)
+    return out.toDF(*columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",

@@ -156,10 +156,10 @@ def cosines(texts: list[str | None], prototypes: np.ndarray) -> np.ndarray:
         return (bundle @ prototypes.T.astype(np.float32)) / length[:, None]
 
 
-def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str]):
+def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             if names:
                 cos = cosines(texts, prototypes)
                 known = ~np.isnan(cos[:, 0])
@@ -175,9 +175,9 @@ def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str]):
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
-    slim = docs.select(*keep, F.col(text).cast("string").alias("text")) if text not in keep else docs.select(*keep)
+    slim = docs.select(*keep) if text in keep else docs.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_arrow(slim, _predictor(*model, keep), f"{schema}, lang_pred string, score double")
+    return map_arrow(slim, _predictor(*model, keep, text), f"{schema}, lang_pred string, score double")
 
 
 def held_out_prediction(docs: DataFrame) -> DataFrame:
@@ -185,3 +185,11 @@ def held_out_prediction(docs: DataFrame) -> DataFrame:
     held = crc32_of("doc_id") % 3 == 1
     model = train(docs.where(~F.coalesce(held, F.lit(False))))
     return predict(docs, model, ["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the documents that no learned language claims: those without any letter."""
+    columns = docs.columns
+    slim = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    found = predict(slim, train(docs, text, lang), slim.columns, f"c{columns.index(text)}")
+    return found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*columns)

@@ -31,6 +31,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("bigint")
 
 
+def _key(doc_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(SEED), doc_id.cast("string")))
+
+
 def water_fill(sizes: list[int], weights: list[float], total: float, most: int = MAX_EPOCHS) -> list[float]:
     """Targets that share ``total`` by weight, none above ``most`` times its size; the excess is reshared until none is above."""
     out = [0.0] * len(sizes)
@@ -65,7 +69,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MAX_EPOCHS) -> DataFrame:
     """(doc_id, key, source, size, source_size, target, taken) of every document; ``weights`` repeat over sources in code point order."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"))
-    sized = sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))))
+    sized = sized.withColumn("key", _key(F.col("doc_id")))
     sized = materialize(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("n"))
     if per_source.count() > MAX_SOURCES:
@@ -83,6 +87,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return joined.select("doc_id", "key", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
+def repeat_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MAX_EPOCHS) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; whole copies only, so the document on a source's cut goes in if at
+    least half of it is within the budget.
+
+    The cut of a source is one place in its order of keys, so one small row per source decides every document: texts
+    are neither joined nor shuffled. Documents that share an id share its place.
+    """
+    mixed = materialize(mix(docs, doc_id, text, source, weights, share, most), "mixed")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("n")
+    # Copies fall along the order of keys by one at most: the last place of the larger number is the cut.
+    per_source = mixed.where("size > 0").select("source", copies, F.struct("key", F.col("doc_id").cast("string").alias("id")).alias("at"))
+    most_copies = per_source.groupBy("source").agg(F.max("n").alias("n"), F.min("n").alias("low"))
+    cuts = per_source.join(most_copies.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (per_source["n"] == most_copies["n"])).groupBy("source").agg(F.max("at").alias("cut"), F.max(per_source["n"]).alias("high"), F.max("low").alias("low"))
+    cuts = materialize(cuts.select(F.col("source").alias("_source"), F.col("cut").alias("_cut"), F.col("high").alias("_high"), F.col("low").alias("_low")), "cuts")
+    place = F.struct(_key(F.col(doc_id)).alias("key"), F.col(doc_id).cast("string").alias("id"))
+    # At most MAX_SOURCES rows.
+    dealt = docs.join(F.broadcast(cuts), F.col(source).cast("string").eqNullSafe(F.col("_source")))
+    times = F.when(n_words(F.col(text).cast("string")) == 0, 0).when(place <= F.col("_cut"), F.col("_high")).otherwise(F.col("_low"))
+    return dealt.withColumn("_turn", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+
+
 def digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -273,3 +273,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BITS, block_codes: int = BLOCK_CODES) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id (null last), the first of rows that repeat it."""
+    columns = docs.columns
+    slim = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    id_at, text_at = f"c{columns.index(doc_id)}", f"c{columns.index(text)}"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
+    marked = materialize(map_arrow(slim, _marked(text_at), f"{schema}, code bigint").withColumn("row", F.monotonically_increasing_id()), "marked")
+    first = F.struct(F.col(id_at).isNull().alias("n"), F.col(id_at).alias("i"), F.col("row").alias("r"))
+    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least")), "codes")
+    label = components(links(codes.select("code"), most, block_codes)).withColumnRenamed("node", "code")
+    linked = codes.join(label, "code").groupBy("label").agg(F.min("least").alias("least"))
+    alone = codes.join(label, "code", "left_anti")
+    rows = materialize(linked.select("least.r").unionByName(alone.select("least.r")), "kept-rows")
+    return marked.join(rows, F.col("row") == F.col("r"), "left_semi").drop("code", "row").toDF(*columns)
+
+
+def _marked(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.fromiter(map(fingerprint, text_bytes(batch.column(text))), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], names=[*batch.schema.names, "code"])
+
+    return run
