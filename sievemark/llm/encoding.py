@@ -16,14 +16,14 @@ import numpy as np
 #: Unicode White_Space, which is what ``\s`` means to the library.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bounds of the memo: entries, and the longest segment that is kept.
-MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 400_000, 400_000, 64
+MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 900_000, 700_000, 64
 #: Words encoded by one call.
 WORDS_AT_ONCE = 512
 
 _DOUBLE = re.compile(f"[{SPACES}]{{2}}")
 _SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Letters of Latin-1 and sentence punctuation: between the two, the library always cuts.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -67,13 +67,32 @@ class Encoder:
         """Fills the memo; a piece stands for a space and itself, or for itself if it begins with a line feed."""
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        parts = {p: m for p in pieces if len(p) <= MEMO_CHARS and (m := _WORD.fullmatch(p))}
-        self._learn_words(list({m[1] for m in parts.values()} - self.words.keys()))
-        if tails := list({m[2] for m in parts.values()} - self.tails.keys()):
-            self.tails.update(zip(tails, self.whole(tails)))
-        for p, m in parts.items():
-            self.pieces[p] = self.words[m[1]] + self.tails[m[2]]
-        if rest := [p for p in pieces if p not in parts]:
+        known, tails, words = self.words, self.tails, {}
+        rest = []
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                w, tail = p, ""
+            else:
+                w = p.rstrip(".,;:!?")
+                tail = p[len(w) :]
+                if not (w.isascii() and w.isalpha()) and not _WORD.fullmatch(w):
+                    rest.append(p)
+                    continue
+            if len(p) > MEMO_CHARS:
+                rest.append(p)
+                continue
+            if tail not in tails:
+                tails[tail] = self.whole([tail])[0]
+            if w in known:
+                self.pieces[p] = known[w] + tails[tail]
+            else:
+                words.setdefault(w, []).append(p)
+        self._learn_words(list(words))
+        for w, same in words.items():
+            ids = known[w]
+            for p in same:
+                self.pieces[p] = ids if p == w else ids + tails[p[len(w) :]]
+        if rest:
             self.pieces.update(zip(rest, self.whole([p if p[:1] == "\n" else f" {p}" for p in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -82,17 +101,29 @@ class Encoder:
             return self.whole(texts)
         if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
-        plain = [_DOUBLE.search(t) is None for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") if ok else [] for t, ok in zip(texts, plain)]
-        new = set().union(*(c[1:] for c in cut)) - self.pieces.keys()
-        self._learn(new)
-        firsts = self.whole([c[0] if ok else "" for c, ok in zip(cut, plain)])
-        known = self.pieces.__getitem__
-        out = [first + b"".join(map(known, c[1:])) if ok else b"".join(self.whole(_SEGMENT.findall(t))) for t, c, ok, first in zip(texts, cut, plain, firsts)]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.pieces[p]
-        return out
+        flat: list[str] = []
+        ends, firsts, odd = [], [], {}
+        for k, t in enumerate(texts):
+            if _DOUBLE.search(t):  # white-space runs: rare, and cut by the general rule
+                odd[k] = b"".join(self.whole(_SEGMENT.findall(t)))
+                firsts.append("")
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                firsts.append(first)
+                flat += rest
+            ends.append(len(flat))
+        found = list(map(self.pieces.get, flat))
+        if None in found:
+            holes = [i for i, ids in enumerate(found) if ids is None]
+            new = {flat[i] for i in holes}
+            self._learn(new)
+            for i in holes:
+                found[i] = self.pieces[flat[i]]
+            for p in new:
+                if len(p) > MEMO_CHARS:
+                    del self.pieces[p]
+        heads = self.whole(firsts)
+        return [odd[k] if k in odd else heads[k] + b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
 def encoder(path: str) -> Encoder:

@@ -36,7 +36,7 @@ from .encoding import encoder, filesystem
 IDS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Content bytes of one frame at most.
 FRAME_BYTES = 64 << 20
-LEVEL = 3
+LEVEL = 1
 
 
 class TokenFileWriter:
