@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
     linked = codes.join(label, "code").groupBy("label").agg(F.min("least").alias("least"))
     alone = codes.join(label, "code", "left_anti")
     rows = materialize(linked.select("least.r").unionByName(alone.select("least.r")), "kept-rows")
-    return marked.join(rows, F.col("row") == F.col("r"), "left_semi").drop("code", "row").toDF(*columns)
+    # Merged at every size: the kept rows grow with the input, so they are never broadcast.
+    return marked.join(rows.hint("merge"), F.col("row") == F.col("r"), "left_semi").drop("code", "row").toDF(*columns)
 
 
 def _marked(text: str):
