@@ -15,6 +15,8 @@ EMAIL_RE = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE_RE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(?\d{2,4}\)?[ .-]?){2,5}\d{2,4}(?!\d)"
 #: Characters on each side of a phrase in which a legal wording voids it.
 CONTEXT = 70
+#: Stands for a phrase in a text cut at it; no normalised text holds it.
+_MARK = "\u0001"
 
 
 @lru_cache(maxsize=1)
@@ -45,51 +47,62 @@ def padded(norm: Column) -> Column:
     return F.concat(F.lit(" "), norm, F.lit(" "))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` takes it: plans stay small."""
+    return F.transform(F.array(value), use)[0]
+
+
 def has_phrase(norm: Column, phrase: str) -> Column:
     """Whether normalised text holds the phrase as whole words: plain containment, as words are parted by single spaces."""
     return F.contains(padded(norm), F.lit(f" {plain(phrase)} "))
 
 
+def _listed(phrases: Sequence[str]) -> Column:
+    return F.array(*(F.lit(f" {plain(p)} ") for p in phrases))
+
+
 def has_any(norm: Column, phrases: Sequence[str]) -> Column:
-    pad = padded(norm)
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(pad, F.lit(f" {plain(p)} "))
-    return out
+    return let(padded(norm), lambda pad: F.exists(_listed(phrases), lambda p: F.contains(pad, p)))
 
 
 def first_label(norm: Column, labels: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """The first label any of whose phrases occurs."""
-    out = None
-    for label, phrases in labels:
-        out = F.when(has_any(norm, phrases), label) if out is None else out.when(has_any(norm, phrases), label)
-    return out
+    pairs = F.array(*(F.struct(F.lit(f" {plain(p)} ").alias("p"), F.lit(label).alias("l")) for label, phrases in labels for p in phrases))
+    return let(padded(norm), lambda pad: F.try_element_at(F.filter(pairs, lambda x: F.contains(pad, x["p"])), F.lit(1))["l"])
 
 
 def first_phrase(norm: Column, phrases: Sequence[str], context: str | None = None) -> Column:
     """The first phrase of the list with an occurrence that no legal wording stands near; null if none."""
-    banned = [plain(x) for x in LEGAL_CONTEXT.get(context, ())] if context else []
-    out = F.lit(None).cast("string")
-    for phrase in reversed(phrases):
-        hit = _free_hit(norm, plain(phrase), banned) if banned else has_phrase(norm, phrase)
-        out = F.when(hit, F.lit(phrase)).otherwise(out)
-    return out
+    pairs = F.array(*(F.struct(F.lit(plain(p)).alias("p"), F.lit(p).alias("o")) for p in phrases))
+    banned = LEGAL_CONTEXT.get(context, ()) if context else ()
 
+    def free(pad: Column, phrase: Column) -> Column:
+        held = F.contains(pad, F.concat(F.lit(" "), phrase, F.lit(" ")))
+        return F.when(held, F.exists(_windows(pad, phrase), lambda w: ~F.exists(_listed(banned), lambda b: F.contains(w, b)))).otherwise(False) if banned else held
 
-def _free_hit(norm: Column, phrase: str, banned: list[str]) -> Column:
-    # With doubled spaces, occurrences that follow each other don't share one, so a split finds all of them.
-    wide, mark = padded(F.replace(norm, F.lit(" "), F.lit("  "))), f" {phrase.replace(' ', '  ')} "
-    parts = F.split(wide, mark.replace("_", "[_]"))
+    return let(padded(norm), lambda pad: F.try_element_at(F.filter(pairs, lambda x: free(pad, x["p"])), F.lit(1))["o"])
+
+
+def _windows(pad: Column, phrase: Column) -> Column:
+    """Each occurrence of the phrase with CONTEXT characters on both sides, padded."""
+    wide = lambda c: F.replace(c, F.lit(" "), F.lit("  "))
     narrow = lambda c: F.replace(c, F.lit("  "), F.lit(" "))
+    mark = F.concat(F.lit(" "), wide(phrase), F.lit(" "))
+    # With doubled spaces, occurrences that follow each other don't share one, so a split finds all of them.
+    body = F.concat(F.lit(" "), wide(F.substring(pad, 2, 1 << 30)))
+    parts = F.split(F.substring(body, F.lit(1), F.length(body) - 1), mark)
+
+    return let(parts, lambda ps: _with_marks(ps, narrow, phrase))
+
 
-    def free(k: Column) -> Column:
-        left = narrow(F.concat(F.array_join(F.slice(parts, 1, k), mark), F.lit(" ")))
-        right = narrow(F.concat(F.lit(" "), F.array_join(F.slice(parts, k + 1, F.size(parts)), mark)))
-        before, after = F.substring(left, 2, 1 << 30), F.substring(right, 1, CONTEXT)
-        window = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(phrase), after)
-        return ~has_any(window, banned)
+def _with_marks(parts: Column, narrow, phrase: Column) -> Column:
+    def one(k: Column) -> Column:
+        left = F.substring(narrow(F.concat(F.array_join(F.slice(parts, F.lit(1), k), _MARK), F.lit(" "))), 2, 1 << 30)
+        right = narrow(F.concat(F.lit(" "), F.array_join(F.slice(parts, k + 1, F.size(parts)), _MARK)))
+        back = lambda c: F.replace(c, F.lit(_MARK), F.concat(F.lit(" "), phrase, F.lit(" ")))
+        return F.concat(F.lit(" "), F.right(back(left), F.lit(CONTEXT)), phrase, F.left(back(right), F.lit(CONTEXT)), F.lit(" "))
 
-    return F.contains(padded(norm), F.lit(f" {phrase} ")) & F.exists(F.sequence(F.lit(1), F.size(parts) - 1), free)
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)
 
 
 def excerpt_of(text: Column, needle: Column, width: int = 180) -> Column:
