@@ -2,8 +2,9 @@
 
 Every task's part of the corpus is a shard; no text is shuffled. A shard's documents are ordered so that like ones stand
 together (by their most frequent word, then length) and cut into blocks of ``BLOCK_DOCS``; postings keep the largest impact per
-word and block. For a query, the sum of its words' block maxima bounds each block; blocks are scored in falling order of that
-bound, and the search ends when no bound reaches the k-th best score so far - the WAND test at the grain of blocks.
+word and block. For a query, lists of rare words are summed and the block maxima of its common words added: that bounds each
+document. The documents of the largest bounds set the k-th best score so far; only those whose bound reaches it are scored
+(the WAND test with block maxima), so most never have their common words read.
 Document frequencies, number and mean length are those of the whole corpus, so scores of shards compare and the merge of
 their k best is exact.
 
@@ -35,6 +36,8 @@ from .encoding import filesystem
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK_DOCS = 32
+#: A word of more than one document in so many of a shard is common.
+DENSE = 8
 #: Words of queries in one block file, about.
 QUERY_WORDS = 2_000_000
 DECIMALS = 6
@@ -85,7 +88,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """An inverted index over some documents, with block maxima."""
+    """An inverted index over some documents. Words of more than one document in ``DENSE`` have a column instead of a list."""
 
     def __init__(self, terms: list[bytes], counts: list[bytes], lengths: np.ndarray, mean: float):
         sizes = np.array([len(t) // 8 for t in terms], np.int64)
@@ -100,56 +103,71 @@ class Shard:
         where = place[doc]
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))
         order = np.lexsort((where, term))
-        term, self.where, self.impact = term[order], where[order], impact[order]
+        term, where, impact = term[order], where[order], impact[order]
         self.n, self.n_blocks = len(terms), -(-len(terms) // BLOCK_DOCS)
-        self.words, first = np.unique(term, return_index=True)
-        block = self.where // BLOCK_DOCS
-        new = np.ones(len(term), bool)
-        if len(term):
-            new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.entry = np.append(np.flatnonzero(new), len(term))  # first posting of each (word, block)
-        self.entry_block = block[self.entry[:-1]]
-        self.entry_max = np.maximum.reduceat(self.impact, self.entry[:-1]) if len(term) else np.array([])
-        self.entries_of = np.append(np.searchsorted(self.entry[:-1], first), len(self.entry) - 1)
+        self.block = np.arange(self.n) // BLOCK_DOCS
+        self.words, first, df = np.unique(term, return_index=True, return_counts=True)
+        common = df > max(self.n // DENSE, BLOCK_DOCS)
+        #: Column of each word among the common ones, -1 for the rest.
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        owner = np.repeat(np.arange(len(df)), df)
+        dense = common[owner]
+        self.impacts = np.zeros((self.n, int(common.sum())))
+        self.impacts[where[dense], self.column[owner[dense]]] = impact[dense]
+        pad = np.zeros((self.n_blocks * BLOCK_DOCS - self.n, self.impacts.shape[1]))
+        #: Largest impact per block and common word: one row per word.
+        self.block_max = np.vstack([self.impacts, pad]).reshape(self.n_blocks, BLOCK_DOCS, -1).max(axis=1).T.copy() if self.n else np.zeros((0, 0))
+        self.first, self.last = first, first + df
+        self.where, self.impact = where, impact
 
     def search(self, words: np.ndarray, weights: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, score) of the best ``top`` by rounded score and id."""
+        none = np.array([], np.int64), np.array([])
+        if not len(self.words):
+            return none
         k = np.searchsorted(self.words, words)
         k[k == len(self.words)] = 0
-        here = self.words[k] == words if len(self.words) else np.zeros(len(words), bool)
+        here = self.words[k] == words
         k, weights = k[here], weights[here]
-        entries, of_word = _ranges(self.entries_of[k], self.entries_of[k + 1])
-        blocks, weight = self.entry_block[entries], weights[of_word]
-        bound = np.bincount(blocks, self.entry_max[entries] * weight, self.n_blocks)
-        falling = np.argsort(-bound, kind="stable")
-        falling = falling[bound[falling] > 0]
-        docs, scores, floor, step, at = np.array([], np.int64), np.array([]), 0.0, 4, 0
+        if not len(k):
+            return none
+        column = self.column[k]
+        rare, common = column < 0, column >= 0
+        posts, of_word = _ranges(self.first[k[rare]], self.last[k[rare]])
+        # What rare words give is exact; common words are bounded by their block maxima.
+        got = np.bincount(self.where[posts], self.impact[posts] * weights[rare][of_word], self.n)
+        cols, w = column[common], weights[common]
+        bound = got + (w @ self.block_max[cols])[self.block]
         slack = 10.0**-DECIMALS
-        while at < len(falling):
-            some = falling[at : at + step]
-            some = some[bound[some] * (1 + 1e-9) + slack >= floor]
-            if not len(some):
-                break
-            at, step = at + step, min(step * 4, 64)
-            chosen = np.full(self.n_blocks, -1)
-            chosen[some] = np.arange(len(some))
-            use = chosen[blocks] >= 0
-            posts, of_entry = _ranges(self.entry[entries[use]], self.entry[entries[use] + 1])
-            local = chosen[blocks[use]][of_entry] * BLOCK_DOCS + self.where[posts] % BLOCK_DOCS
-            # Within a document, postings come in the order of words: equal documents get equal sums in every shard.
-            total = np.bincount(local, self.impact[posts] * weight[use][of_entry], len(some) * BLOCK_DOCS)
-            good = np.flatnonzero((total > 0) & (total + slack >= floor))
-            docs = np.concatenate([docs, self.at[some[good // BLOCK_DOCS] * BLOCK_DOCS + good % BLOCK_DOCS]])
-            scores = np.concatenate([scores, np.round(total[good], DECIMALS)])
-            if len(docs) > top:
-                best = np.lexsort((ids[docs], -scores))[:top]
-                docs, scores = docs[best], scores[best]
-            if len(docs) == top:
-                floor = scores.min()
+        places, scores, floor, tried = np.array([], np.int64), np.array([]), 0.0, None
+        for size in (4 * top, None):
+            # Documents of the largest bounds set the floor; then all that can reach it are scored.
+            if size is None:
+                some = np.flatnonzero((bound * (1 + 1e-9) + slack >= floor) & (bound > 0))
+                some = some[~np.isin(some, tried)]
+            else:
+                some = np.argpartition(-bound, size)[:size] if size < self.n else np.arange(self.n)
+                tried = some
+            total = np.round(got[some] + _rowwise(self.impacts, some, cols, w), DECIMALS)
+            good = total > 0
+            places, scores = np.concatenate([places, some[good]]), np.concatenate([scores, total[good]])
+            if len(scores) > top:
+                floor = np.partition(scores, len(scores) - top)[len(scores) - top]
+                keep = scores >= floor
+                places, scores = places[keep], scores[keep]
+        docs = self.at[places]
         best = np.lexsort((ids[docs], -scores))[:top]
         return docs[best], scores[best]
 
 
+def _rowwise(impacts: np.ndarray, rows: np.ndarray, cols: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted sums over common words, in bounded pieces; each row is summed by itself, so equal documents score alike everywhere."""
+    out = np.empty(len(rows))
+    for k in range(0, len(rows), 2048):
+        out[k : k + 2048] = np.einsum("ij,j->i", impacts[np.ix_(rows[k : k + 2048], cols)], w)
+    return out
+
+
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges one after another, and the range each belongs to."""
     size = stop - start
