@@ -112,7 +112,7 @@ LINKS = [
 
 ROBOTS = [
     ("g1", "User-agent: *\nDisallow: /private\nAllow: /private/open\nSitemap: https://g1.test/map.xml\nSitemap: https://g1.test/map.xml\nsitemap: https://g1.test/news.xml"),
-    ("g2", "User-agent: agentready\nDisallow: /\n"), ("g3", ""), ("g4", "Sitemap:https://g4.test/1.xml\nSitemap: 2\nSitemap: 3\nSitemap: 4\nSitemap: 5\nSitemap: 6"),
+    ("g2", "User-agent: sievemark\nDisallow: /\n"), ("g3", ""), ("g4", "Sitemap:https://g4.test/1.xml\nSitemap: 2\nSitemap: 3\nSitemap: 4\nSitemap: 5\nSitemap: 6"),
 ]
 
 SITEMAPS = [

@@ -18,6 +18,8 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDING = frozenset("script style noscript svg template".split())
 HEADINGS = frozenset(("h1", "h2", "h3"))
@@ -237,6 +239,7 @@ def _parse(keep: list[str], url: str, html: str):
 
 def parse(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """The columns ``keep`` of ``pages`` with the parsed ones; ``html`` itself goes no further."""
+    ship(pages.sparkSession)
     used = list(dict.fromkeys([*keep, url, html]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
     return pages.select(*used).mapInArrow(_parse(keep, url, html), f"{kept}, {PARSED_DDL}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import escaped
+from ..shipping import ship
 
 Fetch = Callable[[str], tuple[int, str, bytes, str]]
 BODY_BYTES, TIMEOUT = 5_000_000, 12
@@ -86,10 +87,12 @@ def fetch_pages(urls: DataFrame, fetch: Fetch = fetch_url) -> DataFrame:
             rows = [response_row(u, fetch) for u in b.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
+    ship(urls.sparkSession)
     return urls.select("url").mapInArrow(run, RESPONSE)
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(WebPages)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import state as batch
+from ..shipping import ship
 
 MONITOR_OUT = "session string, at timestamp, url string, score int, eligible boolean, previous_score int, delta int, alert boolean"
 SLOT = StructType([StructField("url", StringType()), StructField("score", LongType()), StructField("eligible", LongType())])
@@ -50,6 +51,7 @@ def _slot(key: tuple, frames: Iterator[pd.DataFrame], slot: GroupState) -> Itera
 
 def monitoring(history: DataFrame) -> DataFrame:
     """Each audit with the session's one before it; rows of one batch are ordered by time."""
+    ship(history.sparkSession)
     return history.groupBy("session").applyInPandasWithState(_slot, MONITOR_OUT, SLOT, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -70,6 +72,7 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Itera
 
 def subscription_states(events: DataFrame) -> DataFrame:
     """A row per subscription and batch that changed it; the largest ``place`` is the current state."""
+    ship(events.sparkSession)
     return events.where("subscription is not null").groupBy("subscription").applyInPandasWithState(_fold, SUBSCRIPTION_OUT, LAST, "update", GroupStateTimeout.NoTimeout)
 
 
