@@ -114,4 +114,5 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     places = write_flat_files(docs, folder, tokenizer, end_id)
     names = [r.file for r in places.select("file").distinct().orderBy("file").collect()]  # one per task that wrote
     counted = scan_flat_files(spark, folder, names, end_id, encoder(tokenizer).dtype.itemsize, block_ids)
-    return places.join(counted, ["file", "place"]).select("doc_id", "n_tokens")
+    # Both sides have a row per document: merged at every size, never broadcast.
+    return places.join(counted.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
