@@ -9,7 +9,7 @@ each. Shingles that are common in a sample go last in that order, which changes
 
 * stars: sets that share a MinHash value are compared with the least code of those, which joins most of a large group in
   linearly many comparisons;
-* the rest: sets of different groups that share a shingle in their prefixes and pass the filters of length and place.
+* the rest: sets of different groups whose sizes and number of shared prefix shingles allow a link.
 
 Every candidate is confirmed on the whole sets. Sets are built anew from the texts that have candidates, chosen by a bitmap of fixed size
 (``BITMAP`` bits, with the common shingles the only broadcast); texts are not shuffled for it.
@@ -34,8 +34,10 @@ SHINGLE = 5
 ALIKE = (4, 5)
 #: Odd factors of the MinHash orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Agreeing values of a star; what this leaves out is left to the prefixes.
+MIN_AGREE = 2
 #: Share of the sets in the sample of common shingles, sets in it at least, its count of a common shingle, and common shingles at most.
-SAMPLE, MIN_SAMPLE, COMMON, MAX_COMMON = 0.05, 20_000, 3, 100_000
+SAMPLE, MIN_SAMPLE, COMMON, MAX_COMMON = 0.05, 10_000, 3, 100_000
 BITMAP = 1 << 24
 
 
@@ -82,13 +84,17 @@ def _marked(text: str):
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        for data in text_bytes(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(data).view(np.int64))], names=["token"])
+        for code, data in zip(batch.column("code").to_pylist(), text_bytes(batch.column("text"))):
+            if code not in seen:
+                if len(seen) < 1 << 17:
+                    seen.add(code)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(data).view(np.int64))], names=["token"])
 
 
 def _prefixes(common: np.ndarray):
-    """(token, code, n, place) of the first shingles of each set; a task gives a set once."""
+    """(token, code, n) of the first shingles of each set; a task gives a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -105,11 +111,11 @@ def _prefixes(common: np.ndarray):
                     last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
                 n = prefix_length(len(found))
                 first = np.concatenate([found[~last], found[last]])[:n] if last.any() else found[:n]
-                out.append((first, np.full(n, code, np.int64), np.full(n, len(found), np.int32), np.arange(n, dtype=np.int32)))
+                out.append((first, np.full(n, code, np.int64), np.full(n, len(found), np.int32)))
             if out:
-                token, code, n, place = map(np.concatenate, zip(*out))
+                token, code, n = map(np.concatenate, zip(*out))
                 # Half of the hash parts the tokens as well: two that meet only make candidates.
-                yield pa.RecordBatch.from_arrays([pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(code), pa.array(n), pa.array(place)], names=["token", "code", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(code), pa.array(n)], names=["token", "code", "n"])
 
     return run
 
@@ -123,7 +129,7 @@ def _sets(bitmap: np.ndarray):
                 found = [shingles(data).view(np.int64) for data in text_bytes(batch.column("text"))]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("code"), lists], names=["code", "hashes"])
 
     return run
 
@@ -132,51 +138,53 @@ def _bit(row: str):
     return F.pmod(F.xxhash64(row), F.lit(BITMAP))
 
 
+def _sets_of(pairs: DataFrame, end: str, marked: DataFrame, codes: DataFrame) -> DataFrame:
+    """(end, end_set) of the codes in one column of ``pairs``; a few others may be among them, or one twice."""
+    wanted = pairs.select(F.col(end).alias("code")).distinct().join(codes.select("code", F.col("least.r").alias("row")), "code").select(_bit("row").alias("at"))
+    found = wanted.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # BITMAP / 64 rows at most
+    bitmap = np.zeros(BITMAP >> 6, np.uint64)
+    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return map_arrow(marked.select("code", "text", _bit("row").alias("at")), _sets(bitmap), "code bigint, hashes array<bigint>").toDF(end, f"{end}_set")
+
+
 def confirmed(pairs: DataFrame, marked: DataFrame, codes: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose sets are alike, counted on the whole sets."""
     pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    wanted = materialize(ends.join(codes.select("code", F.col("least.r").alias("row")), "code"), "wanted")
-    words = wanted.select(_bit("row").alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    found = words.toArrow()  # BITMAP / 64 rows at most
-    bitmap = np.zeros(BITMAP >> 6, np.uint64)
-    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    sets = map_arrow(marked.select("row", "text", _bit("row").alias("at")), _sets(bitmap), "row bigint, hashes array<bigint>")
-    sets = materialize(sets.join(wanted, "row").select("code", "hashes"), "sets")
-    side = lambda c: sets.select(F.col("code").alias(c), F.col("hashes").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     alike = ALIKE[1] * both >= ALIKE[0] * (F.size("a_set") + F.size("b_set") - both)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
+    return pairs.join(_sets_of(pairs, "a", marked, codes), "a").join(_sets_of(pairs, "b", marked, codes), "b").where(alike).select("a", "b").distinct()
 
 
 def stars(marked: DataFrame) -> DataFrame:
-    """(a, b): each set with the least code of those that share one of its MinHash values."""
+    """(a, b): each set with the least code of those that share a MinHash value of it, where MIN_AGREE values name that one."""
     each = materialize(marked.select("code", "least_hashes").dropDuplicates(["code"]).select("code", F.posexplode("least_hashes").alias("k", "least")), "minhashes")
     lead = each.groupBy("k", "least").agg(F.min("code").alias("a"), F.max("code").alias("most")).where("a <> most").drop("most")
-    return each.join(lead, ["k", "least"]).where("a <> code").select("a", F.col("code").alias("b")).distinct()
+    return each.join(lead, ["k", "least"]).where("a <> code").groupBy("a", F.col("code").alias("b")).count().where(F.col("count") >= MIN_AGREE).select("a", "b")
 
 
 def common_shingles(marked: DataFrame, codes: DataFrame) -> np.ndarray:
     n = codes.count()
     share = min(1.0, max(SAMPLE, MIN_SAMPLE / max(n, 1)))
-    some = marked.where(F.pmod(F.xxhash64(F.lit("common"), "code"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).dropDuplicates(["code"])
-    counted = map_arrow(some.select("text"), _flat, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
+    some = marked.where(F.pmod(F.xxhash64(F.lit("common"), "code"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    counted = map_arrow(some.select("code", "text"), _flat, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
     top = counted.orderBy(F.desc("count"), "token").limit(MAX_COMMON).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
 def rest(marked: DataFrame, codes: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b): sets of different groups that share a shingle in their prefixes and may be alike by their sizes and its places."""
-    tokens = map_arrow(marked.select("code", "text"), _prefixes(common_shingles(marked, codes)), "token int, code bigint, n int, place int")
+    """(a, b): sets of different groups whose prefixes share enough shingles for their sizes."""
+    tokens = map_arrow(marked.select("code", "text"), _prefixes(common_shingles(marked, codes)), "token int, code bigint, n int")
     same = Window.partitionBy("token")
     shared = tokens.withColumn("lo", F.min("code").over(same)).withColumn("hi", F.max("code").over(same)).where("lo <> hi").drop("lo", "hi")
     shared = shared.join(label.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
     shared = materialize(shared.distinct(), "shared")
-    side = lambda c: shared.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "place", "label")))
-    # At the first shared shingle, sets can share that one and what follows it in both.
-    most = 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
-    may = (F.col("a_code") < F.col("b_code")) & (F.col("a_label") != F.col("b_label")) & ((ALIKE[0] + ALIKE[1]) * most >= ALIKE[0] * (F.col("a_n") + F.col("b_n")))
-    return side("a").hint("merge").join(side("b"), "token").where(may).select(F.col("a_code").alias("a"), F.col("b_code").alias("b")).distinct()
+    side = lambda c: shared.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "label")))
+    a_n, b_n = F.col("a_n"), F.col("b_n")
+    fit = (F.col("a_code") < F.col("b_code")) & (F.col("a_label") != F.col("b_label")) & (ALIKE[1] * F.least(a_n, b_n) >= ALIKE[0] * F.greatest(a_n, b_n))
+    met = side("a").hint("merge").join(side("b"), "token").where(fit).groupBy(F.col("a_code").alias("a"), F.col("b_code").alias("b")).agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
+    # The prefix that ends first in the order has nothing more in common than what was met and its own set's rest.
+    after = F.ceil(ALIKE[0] * F.greatest(a_n, b_n) / ALIKE[1]) - 1
+    return met.where((ALIKE[0] + ALIKE[1]) * (F.col("c") + after) >= ALIKE[0] * (a_n + b_n)).select("a", "b")
 
 
 def links(marked: DataFrame, codes: DataFrame) -> DataFrame:
