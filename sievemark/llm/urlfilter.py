@@ -2,8 +2,10 @@
 
 A rule names a host (with its subdomains) and the beginning of a path; the longest fitting rule decides. Other pages take
 their host's verdict: trust flows by personalised PageRank along links from hosts that rules allow, distrust along reversed
-links from hosts that rules block, each seeded with the share of the host's pages so ruled. A host is blocked if its distrust is
-at least ``THRESHOLD`` and above its trust. A host without links keeps its mass, so the shares alone decide it.
+links from hosts that rules block, each seeded with the share of the host's pages so ruled. What reaches a host is divided by what
+would reach it if every host had seed 1: the share of the arriving mass that comes from such hosts, between 0 and 1 however the
+graph is linked. A host's trust or distrust is the larger of that share and the share of its own pages. A host is blocked if its
+distrust is at least ``THRESHOLD`` and above its trust. Without links the shares of its own pages alone decide.
 
 Pages become one row per host and per host edge by partial aggregation before anything is shuffled; ranks live in written
 tables, one per round; rounds stop when no rank moves by ``TOLERANCE``. Nothing grows on the driver.
@@ -96,20 +98,42 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """
     if edges.isEmpty():
         return seeds.select("host", F.col("seed").alias("mass"))
+    return _ranks(edges, seeds, damping, tolerance, max_rounds).select("host", "mass")
+
+
+def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(host, mass, come, all_come): ``come`` is what reaches a host from others, ``all_come`` the same if each host had seed 1."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")), "shares")
     nodes = seeds.select("host", "seed").unionByName(shares.select(F.col("src").alias("host"), F.lit(0.0).alias("seed"))).unionByName(shares.select(F.col("dst").alias("host"), F.lit(0.0).alias("seed")))
     nodes = nodes.groupBy("host").agg(F.sum("seed").alias("seed"))
-    nodes = materialize(nodes.join(out.select(F.col("src").alias("host"), F.lit(True).alias("gives")), "host", "left").select("host", "seed", F.coalesce("gives", F.lit(False)).alias("gives"), F.col("seed").alias("mass")), "nodes")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    nodes = nodes.join(out.select(F.col("src").alias("host"), F.lit(True).alias("gives")), "host", "left")
+    nodes = materialize(nodes.select("host", "seed", F.coalesce("gives", F.lit(False)).alias("gives"), F.col("seed").alias("mass"), one.alias("all_mass"), zero.alias("come"), zero.alias("all_come")), "nodes")
     for _ in range(max_rounds):
-        sent = shares.join(nodes.where("mass > 0").select(F.col("host").alias("src"), "mass"), "src").groupBy("dst").agg(F.sum(F.col("mass") * F.col("p")).alias("got"))
+        given = shares.join(nodes.select(F.col("host").alias("src"), "mass", "all_mass"), "src")
+        sent = given.groupBy("dst").agg(F.sum(F.col("mass") * F.col("p")).alias("got"), F.sum(F.col("all_mass") * F.col("p")).alias("all_got"))
         moved = nodes.join(sent.withColumnRenamed("dst", "host"), "host", "left")
-        new = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.when(F.col("gives"), 0.0).otherwise(F.col("mass")))
-        nodes = materialize(moved.select("host", "seed", "gives", new.alias("mass"), F.abs(new - F.col("mass")).alias("step")), "ranks")
+        kept = lambda c: F.when(F.col("gives"), zero).otherwise(F.col(c))
+        come, all_come = (damping * (F.coalesce(g, zero) + kept(c)) for g, c in (("got", "come"), ("all_got", "all_come")))
+        new = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", zero) + kept("mass"))
+        new_all = (1 - damping) + damping * (F.coalesce("all_got", zero) + kept("all_mass"))
+        step = F.greatest(F.abs(new - F.col("mass")), F.abs(new_all - F.col("all_mass")))
+        nodes = materialize(moved.select("host", "seed", "gives", new.alias("mass"), new_all.alias("all_mass"), come.alias("come"), all_come.alias("all_come"), step.alias("step")), "ranks")
+        # Both masses have gone the same rounds, so their ratio is a weighted mean of seeds at any round.
         if (nodes.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
         nodes = nodes.drop("step")
-    return nodes.select("host", "mass")
+    return nodes.select("host", "mass", "come", "all_come")
+
+
+def _arriving(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
+    """(host, name): the larger of a host's own seed and the share of the mass arriving from others that comes from seeds."""
+    if edges.isEmpty():
+        return seeds.select("host", F.col("seed").alias(name))
+    ranks = _ranks(edges, seeds)
+    share = F.when(F.col("all_come") > 0, F.col("come") / F.col("all_come")).otherwise(F.lit(0.0))
+    return seeds.join(ranks, "host", "left").select("host", F.greatest("seed", F.coalesce(share, F.lit(0.0))).alias(name))
 
 
 def judge(pages: DataFrame, rules: list[UrlRule], page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -118,8 +142,8 @@ def judge(pages: DataFrame, rules: list[UrlRule], page_id: str = "page_id", url:
     share = lambda v: F.avg(F.coalesce(F.col("ruled") == v, F.lit(False)).cast("int"))
     hosts = materialize(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     edges = materialize(host_links(pages, url, html), "links")
-    trust = propagate(edges, hosts.select("host", F.col("allowed").alias("seed"))).withColumnRenamed("mass", "trust")
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), hosts.select("host", F.col("blocked").alias("seed"))).withColumnRenamed("mass", "distrust")
+    trust = _arriving(edges, hosts.select("host", F.col("allowed").alias("seed")), "trust")
+    distrust = _arriving(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), hosts.select("host", F.col("blocked").alias("seed")), "distrust")
     ranked = materialize(hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left"), "host-ranks")
     whole = judged.join(ranked, "host", "left")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")) & (F.col("host") != "")
