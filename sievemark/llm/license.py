@@ -1,11 +1,15 @@
 """License scan: a trained paragraph classifier in DataFrame operations only.
 
-Paragraphs (lines) are scored by a sparse multinomial logistic regression over word n-grams (one and two words, presence): licence
+Paragraphs (lines, and windows of neighbouring lines, as notices are wrapped) are scored by a sparse multinomial logistic regression over word n-grams (one and two words, presence): licence
 families, a class ``unknown`` for licence talk that is none of them, and ``none``. It is trained here, on the driver, from the
 notices below (whole, cut to windows, with words dropped) and a bounded sample of the corpus' own lines as background; its
 temperature is calibrated on notices held back. A predicted family must be confirmed by its templates: a share of a
 template's word pairs occurs in the paragraph; a family that isn't confirmed, or isn't probable enough, becomes ``unknown``.
 
+A window goes from one line with an anchor word to another of the same run of lines that hold words: to each of the next
+``WINDOW`` such lines, and over the whole run. Of confirmed paragraphs, those that grant a licence go before "proprietary", as notices often say
+"All rights reserved." too.
+
 The main path is native: an array expression keeps a text's paragraphs that have an anchor word (a word of the vocabulary that
 background lines hardly use; every n-gram of the vocabulary contains one, so no other paragraph could score); their
 n-grams are exploded, joined with the weights and summed. Work beyond the one pass over the texts follows the number of
@@ -131,6 +135,10 @@ MAX_BACKGROUND, BACKGROUND_CHARS = 2000, 1000
 #: A word or word pair of more than this share of background lines is no evidence.
 COMMON = 0.005
 MIN_PROBABILITY, MIN_CONFIRM = 0.5, 0.6
+#: Anchor lines after the first one to which windows go; the whole run is one more window.
+WINDOW = 8
+#: Lines without a word part runs.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -243,9 +251,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     weights, bias, anchors = train(_background(slim, "text"))
     split = lambda p: F.filter(F.split(F.lower(p), SPLIT), lambda w: w != "")
     wanted = F.array(*map(F.lit, anchors)) if anchors else F.array().cast("array<string>")
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: F.arrays_overlap(F.split(F.lower(p), SPLIT), wanted))
-    rows = materialize(slim.select("doc_id", lines.alias("lines")).withColumn("row", F.monotonically_increasing_id()), "license-lines")
-    each = rows.select("row", F.posexplode("lines").alias("para", "line")).withColumn("words", split("line"))
+    anchored = lambda p: F.arrays_overlap(F.split(F.lower(p), SPLIT), wanted)
+    runs = F.filter(F.split(F.coalesce("text", F.lit("")), BLANK), anchored)
+    rows = materialize(slim.select("doc_id", runs.alias("runs")).withColumn("row", F.monotonically_increasing_id()), "license-runs")
+    held = rows.select("row", F.posexplode("runs").alias("run", "text")).select("row", "run", F.split("text", "\n").alias("lines"))
+    held = held.withColumn("at", F.filter(F.transform("lines", lambda p, i: F.when(anchored(p), i)), lambda i: i.isNotNull()))
+    # (first, last) of each window, as places in "at"; a single line is the window from itself to itself.
+    ends = held.select("row", "run", "lines", "at", F.posexplode("at").alias("k", "first"))
+    last = F.slice("at", F.col("k") + 1, F.lit(WINDOW + 1))
+    last = F.when(F.col("k") == 0, F.array_union(last, F.slice("at", -1, 1))).otherwise(last)
+    each = ends.select("row", "run", "lines", "first", F.explode(last).alias("last"))
+    # The shortest and earliest is the largest.
+    place = F.struct((F.col("first") - F.col("last")).alias("size"), (-F.col("run")).alias("run"), (-F.col("first")).alias("first"))
+    each = each.select("row", place.alias("para"), F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ").alias("line")).withColumn("words", split("line"))
     pairs = F.zip_with(F.col("words"), F.slice(F.concat("words", F.array(F.lit(""))), 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = each.select("row", "para", F.explode(F.array_distinct(F.concat("words", pairs))).alias("f"))
     table = F.broadcast(_table(spark, [{"f": f, "w": w} for f, w in weights.items()], "struct<f:string,w:array<double>>"))
@@ -257,9 +275,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = found.withColumn("similarity", F.round(_confirm(F.col("pairs"), F.col("family")), 6)).withColumn("probability", F.round("probability", 6))
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("similarity") >= MIN_CONFIRM)
     found = found.withColumn("license", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)))
-    # The surest paragraph of a document: confirmed ones first, then by probability, similarity and name.
-    order = F.struct(sure.cast("int").alias("c"), F.col("probability").alias("p"), F.col("similarity").alias("s"), (-F.col("para")).alias("n"), F.col("license").alias("l"))
-    per_row = found.groupBy("row").agg(F.max(order).alias("b"), F.count("*").alias("n"))
+    # The surest paragraph of a document: confirmed ones first, grants before "proprietary", then by probability, similarity and name.
+    order = F.struct(sure.cast("int").alias("c"), (F.col("license") != "proprietary").alias("g"), F.col("probability").alias("p"), F.col("similarity").alias("s"), F.col("para").alias("n"), F.col("license").alias("l"))
+    per_row = found.groupBy("row").agg(F.max(order).alias("b"), F.count_distinct("para.run", "para.first").alias("n"))
     whole = rows.select("row", "doc_id").join(per_row, "row", "left")
     return whole.select(
         "doc_id",
