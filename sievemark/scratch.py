@@ -14,19 +14,26 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which the driver and all executors share; an own temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``, which the driver and all executors share. Where it is unset, an own temporary folder, but only on a
+    local master: elsewhere other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        own = tempfile.mkdtemp(prefix="sievemark-audit-")
+    sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        own = tempfile.mkdtemp(prefix="sievemark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _OWN[app] = Path(own).as_uri()
-    return _OWN[app]
+        _OWN[sc.applicationId] = Path(own).as_uri()
+    return _OWN[sc.applicationId]
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{folder(spark)}/sievemark-{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/audit-{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
