@@ -1,73 +1,61 @@
-"""Shared plumbing: the shared scratch folder, code shipping and bounded Arrow batches."""
+"""Shared plumbing: tables, bounded Arrow batches, and what a Python worker keeps."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+from ..scratch import new_path, written as materialize  # noqa: F401
+from ..shipping import ship
 
 #: ASCII white space that separates words: space and U+0009 to U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch handed to a Python worker; long texts stay within a worker's memory.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to a Python worker, so that long texts stay within its memory. A session that sets its own keeps them.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+_HELD: dict[Hashable, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        own = tempfile.mkdtemp(prefix="sievemark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _OWN_DIRS[app] = Path(own).as_uri()
-    return _OWN_DIRS[app]
+def prepare(spark: SparkSession) -> None:
+    """Ships this package to Python workers once per application and bounds the Arrow batches they get."""
+    for key, value in ARROW_BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    ship(spark)
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sievemark-{tag}-{uuid.uuid4().hex}"
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one thing; another key takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _give_back() -> None:
+    """Returns freed memory to the system; workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Ships this package to Python workers once per application and bounds the Arrow batches they get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="sievemark-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "sievemark_code.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def crc32_of(col: str | Column) -> Column:
@@ -75,11 +63,6 @@ def crc32_of(col: str | Column) -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
-
-
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -1,8 +1,12 @@
 """Encoding of whole texts with the ``tokenizers`` library, and where encoded files live.
 
 A byte-level BPE file without a normaliser never merges across the start of a white-space run, so a text is encoded as its
-white-space separated segments and each distinct segment is encoded once per worker (a bounded memo). The ids are those
-that the library gives for the whole text; tests hold the two against each other. Other tokenizer files are encoded whole.
+white-space separated segments, and frequent segments are encoded once per worker: a memo bounded by bytes, in two halves. When the young
+half is full it becomes the old one, and what is still asked for comes back from there. The ids are those that the library gives for
+the whole text; tests hold the two against each other. Other tokenizer files, and texts that hold the string of a special token, are encoded whole.
+
+Special tokens: with ``literal`` their strings in a text are ordinary text (flat files need that, as an end id must only end documents);
+without, they become their ids, which is the library's own default.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: Unicode White_Space, which is what ``\s`` means to the library.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bounds of the memo: entries, and the longest segment that is kept.
-MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 900_000, 700_000, 64
+#: Bytes of the memo in a worker, both halves together; bytes of an entry besides its text and ids; the longest segment that is kept.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 48 << 20, 150, 64
 #: Words encoded by one call.
 WORDS_AT_ONCE = 512
 
@@ -25,16 +31,36 @@ _SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Letters of Latin-1 and sentence punctuation: between the two, the library always cuts.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-_ENCODERS: dict[str, "Encoder"] = {}
+class Memo:
+    """Ids of segments: two generations of at most half of ``limit`` bytes each."""
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def put(self, key: str, ids: bytes) -> None:
+        self.young[key] = ids
+        self.size += ENTRY_BYTES + len(key) + len(ids)
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def recall(self, key: str) -> bytes | None:
+        """From the old half, which makes it young again."""
+        ids = self.old.get(key)
+        if ids is not None:
+            self.put(key, ids)
+        return ids
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -44,67 +70,63 @@ class Encoder:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         self.cuttable = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        added = [t["content"] for t in kind.get("added_tokens") or [] if not (literal and t.get("special"))]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.memo = Memo(memo_bytes)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text by the library alone."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space; one call for many."""
+        out: list[bytes] = []
         for k in range(0, len(words), WORDS_AT_ONCE):
             some = words[k : k + WORDS_AT_ONCE]
             ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(some):
-                self.words.update(zip(some, self.whole([f" {w}" for w in some])))
+                out += self.whole([f" {w}" for w in some])
                 continue
             data, cuts = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
-            self.words.update(zip(some, (data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)]))))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Fills the memo; a piece stands for a space and itself, or for itself if it begins with a line feed."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        known, tails, words = self.words, self.tails, {}
+            out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
+        return out
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; a piece stands for a space and itself, or for itself if it begins with a line feed."""
+        found: dict[str, bytes] = {}
+        words: dict[str, list[str]] = {}
+        tails: dict[str, bytes] = {"": b""}
         rest = []
         for p in pieces:
-            if p.isascii() and p.isalpha():
-                w, tail = p, ""
-            else:
-                w = p.rstrip(".,;:!?")
-                tail = p[len(w) :]
-                if not (w.isascii() and w.isalpha()) and not _WORD.fullmatch(w):
-                    rest.append(p)
-                    continue
-            if len(p) > MEMO_CHARS:
+            w = p if p.isascii() and p.isalpha() else p.rstrip(".,;:!?")
+            if not (w.isascii() and w.isalpha()) and not _WORD.fullmatch(w):
                 rest.append(p)
-                continue
-            if tail not in tails:
-                tails[tail] = self.whole([tail])[0]
-            if w in known:
-                self.pieces[p] = known[w] + tails[tail]
             else:
                 words.setdefault(w, []).append(p)
-        self._learn_words(list(words))
-        for w, same in words.items():
-            ids = known[w]
-            for p in same:
-                self.pieces[p] = ids if p == w else ids + tails[p[len(w) :]]
-        if rest:
-            self.pieces.update(zip(rest, self.whole([p if p[:1] == "\n" else f" {p}" for p in rest])))
+                tails[p[len(w) :]] = b""
+        ends = [t for t in tails if t]
+        tails.update(zip(ends, self.whole(ends)))
+        for w, ids in zip(words, self._words(list(words))):
+            for p in words[w]:
+                found[p] = ids + tails[p[len(w) :]]
+        found.update(zip(rest, self.whole([p if p[:1] == "\n" else f" {p}" for p in rest])))
+        for p, ids in found.items():
+            if len(p) <= MEMO_CHARS:
+                self.memo.put(p, ids)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, as ``dtype`` items."""
         if not self.cuttable:
             return self.whole(texts)
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
         flat: list[str] = []
         ends, firsts, odd = [], [], {}
         for k, t in enumerate(texts):
-            if _DOUBLE.search(t):  # white-space runs: rare, and cut by the general rule
+            if self.added and self.added.search(t):
+                odd[k] = self.whole([t])[0]
+                firsts.append("")
+            elif _DOUBLE.search(t):  # white-space runs: rare, and cut by the general rule
                 odd[k] = b"".join(self.whole(_SEGMENT.findall(t)))
                 firsts.append("")
             else:
@@ -112,25 +134,20 @@ class Encoder:
                 firsts.append(first)
                 flat += rest
             ends.append(len(flat))
-        found = list(map(self.pieces.get, flat))
+        found = list(map(self.memo.young.get, flat))
         if None in found:
             holes = [i for i, ids in enumerate(found) if ids is None]
-            new = {flat[i] for i in holes}
-            self._learn(new)
+            new = {p: self.memo.recall(p) for p in {flat[i] for i in holes}}
+            new.update(self._learn([p for p, ids in new.items() if ids is None]))
             for i in holes:
-                found[i] = self.pieces[flat[i]]
-            for p in new:
-                if len(p) > MEMO_CHARS:
-                    del self.pieces[p]
+                found[i] = new[flat[i]]
         heads = self.whole(firsts)
         return [odd[k] if k in odd else heads[k] + b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, literal: bool = False) -> Encoder:
+    """One per worker process; another file's, or another operator's table, takes its place."""
+    return held(("encoder", path, literal), lambda: Encoder(path, literal))
 
 
 def filesystem(uri: str):

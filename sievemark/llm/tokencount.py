@@ -27,7 +27,7 @@ BLOCK_IDS = 4 << 20
 
 def _flat_writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, literal=True)
         end = np.array([end_id], enc.dtype).tobytes()
         fs, path = filesystem(folder)
         name, stream, at = f"flat-{uuid.uuid4().hex}.bin", None, 0
@@ -113,6 +113,6 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     folder = folder or new_path(spark, "flat")
     places = write_flat_files(docs, folder, tokenizer, end_id)
     names = [r.file for r in places.select("file").distinct().orderBy("file").collect()]  # one per task that wrote
-    counted = scan_flat_files(spark, folder, names, end_id, encoder(tokenizer).dtype.itemsize, block_ids)
+    counted = scan_flat_files(spark, folder, names, end_id, encoder(tokenizer, literal=True).dtype.itemsize, block_ids)
     # Both sides have a row per document: merged at every size, never broadcast.
     return places.join(counted.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")

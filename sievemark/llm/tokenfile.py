@@ -14,8 +14,9 @@ Any zstd decoder reads the whole; a reader of single documents takes the tail an
 A document over ``FRAME_BYTES`` takes several frames. Files appear under their final name only when complete; names are
 unique per attempt and the manifest, written by Spark, names the attempts that count - a lost executor leaves no trace.
 
-Edge cases: a null or empty text is the end id alone; documents that repeat a ``doc_id`` stay and are ordered by text; a null
-``doc_id`` comes first and reads back as null; an empty table gives no file and no row.
+Edge cases: a null or empty text is the end id alone; documents that repeat a ``doc_id`` stay, ordered by their first ``PREFIX``
+characters and then the text's hash, so that many rows of one id (or of none) still spread over files; a null ``doc_id`` comes first and reads
+back as null; an empty table gives no file and no row. Ids are those of the library's default: the string of a special token in a text becomes its id.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ IDS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Content bytes of one frame at most.
 FRAME_BYTES = 64 << 20
 LEVEL = 1
+#: Characters of a text that order documents of one id.
+PREFIX = 64
 
 
 class TokenFileWriter:
@@ -155,7 +158,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` in ascending ``doc_id`` order to files in ``folder`` of the shared store; returns the manifest (part, file, n_docs, n_ids)."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX), F.xxhash64("text")
+    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(map_arrow(dealt, _writer(folder, tokenizer, end_id), "part int, file string, n_docs bigint, n_ids bigint"), "manifest")
 
 
