@@ -1,12 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
-Texts are normalised to lower-case words joined by single spaces. Every window of ``WINDOW`` consecutive words of an item
-is a pattern; an item of fewer words is one pattern. The automaton scans a document's normalised text once; end offsets
-are mapped to word indices, and those back to offsets in the original text.
+Texts are normalised to lower-case words. Every window of ``WINDOW`` consecutive words of an item is a pattern; an item of fewer
+words is one pattern. To the automaton each word of the benchmark is two characters, a high and a low one, and any other word two blanks; it
+scans a document once, in runs of bounded size, and ends are mapped back to offsets in the original text.
 
-The patterns travel to the executors as a broadcast of at most ``BLOCK_BYTES`` of benchmark text. A larger benchmark is
-split into blocks by item, each with its own automaton and its own pass; the passes' hits are merged per document.
-Nothing of the corpus is collected.
+An automaton has at most 2 * ``WINDOW`` nodes per window, and ``BLOCK_NODES`` at most. A larger benchmark is split into blocks of windows (long
+items in pieces that overlap by ``WINDOW`` - 1 words), each with its own automaton and its own pass; one block at a time comes to the
+driver, and the passes' hits are merged per document. Nothing of the corpus is collected.
 
 Edge cases: a null or empty text has no words and no hits; a null item text has no window; items that repeat an
 ``item_id`` count once; a null ``item_id`` counts as one item and is written ``null``. Rows that repeat stay, each judged by itself.
@@ -16,76 +16,79 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_bytes
+from .common import byte_runs, held, map_arrow, materialize, text_bytes
 
 WINDOW = 10
-#: Proven bound of one broadcast: bytes of benchmark text behind one automaton.
-BLOCK_BYTES = 16 << 20
-#: Bytes of text normalised and scanned at once.
-SCAN_BYTES = 4 << 20
+#: Nodes of one automaton at most: measured, some 40 bytes each, and as much again for the windows and their owners.
+BLOCK_NODES = 3_000_000
+#: Words of an item in one piece at most, of blocks of so many nodes.
+PIECE_SHARE = 32
 
 # a-z and 0-9 and every byte of a non-ASCII character stay, A-Z become lower case, the rest separates words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-_AUTOMATA: dict[str, object] = {}
+Piece = tuple[str, str]
 
 
 def words_of(data: bytes | None) -> list[bytes]:
     return data.translate(NORMAL).split() if data else []
 
 
-def windows_of(words: list[bytes]) -> set[bytes]:
-    n = len(words)
-    if not n:
-        return set()
-    return {b" ".join(words[i : i + WINDOW]) for i in range(max(1, n - WINDOW + 1))}
+def _letters(k: int) -> str:
+    """Two characters of two ranges, so that no match begins within a word."""
+    return chr(0x4000 + (k >> 8)) + chr(0x100 + (k & 255))
 
 
-def _automaton(key: str, items: list[tuple[str, bytes]]):
-    """Built once per worker process; only the latest is kept."""
-    if key not in _AUTOMATA:
+class Automaton:
+    """The windows of some pieces of items; ``keys`` are their ids."""
+
+    def __init__(self, pieces: list[Piece]):
         import ahocorasick
 
-        owners: dict[bytes, set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            for window in windows_of(words_of(text)):
-                owners.setdefault(window, set()).add(k)
-        automaton = ahocorasick.Automaton()
+        self.letters: dict[bytes, str] = {}
+        self.keys = sorted({k for k, _ in pieces})
+        place = {k: i for i, k in enumerate(self.keys)}
+        owners: dict[str, set[int]] = {}
+        for key, text in pieces:
+            codes = [self.letters.get(w) or self.letters.setdefault(w, _letters(len(self.letters))) for w in words_of(text.encode())]
+            for i in range(max(1, len(codes) - WINDOW + 1) if codes else 0):
+                owners.setdefault("".join(codes[i : i + WINDOW]), set()).add(place[key])
+        self.search = ahocorasick.Automaton()
         for window, ks in owners.items():
-            automaton.add_word(f" {window.decode('utf-8', 'replace')} ", (window.count(b" ") + 1, tuple(ks)))
-        if len(automaton):
-            automaton.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = automaton
-    return _AUTOMATA[key]
-
-
-def scan(words: list[bytes], automaton) -> tuple[np.ndarray, set[int]]:
-    """Which words are hit, and the items whose windows occur. Runs overlap by WINDOW - 1 words, so no window is lost."""
-    n, found = len(words), set()
-    edges = np.zeros(n + 1, np.int64)
-    if not len(automaton):
-        return edges[:n] > 0, found
-    start, step = 0, max(WINDOW, SCAN_BYTES // 8)
-    while start < n:
-        run = words[start : start + step + WINDOW - 1]
-        text = f" {b' '.join(run).decode('utf-8', 'replace')} "
-        ends = None
-        for end, (length, ks) in automaton.iter(text):
-            if ends is None:
-                ends = np.cumsum([len(w.decode("utf-8", "replace")) + 1 for w in run])
-            last = start + int(np.searchsorted(ends, end))
-            edges[last - length + 1] += 1
-            edges[last + 1] -= 1
-            found.update(ks)
-        start += step
-    return np.cumsum(edges)[:n] > 0, found
+            self.search.add_word(window, (len(window) // 2, tuple(sorted(ks))))
+        self.empty = not owners
+        if owners:
+            self.search.make_automaton()
+
+    def scan(self, data: bytes | None) -> tuple[np.ndarray, set[int]]:
+        """Which words are hit, and the items whose windows occur. Runs overlap by WINDOW - 1 words, so no window is lost."""
+        steps: list[tuple[int, int]] = []
+        found: set[int] = set()
+        n, carry = 0, ""
+        for run in byte_runs(data.translate(NORMAL)) if data else ():
+            words = run.split()
+            if not self.empty:
+                text = carry + "".join(map(self.letters.get, words, repeat("  ")))
+                base = n - len(carry) // 2
+                for end, (length, ks) in self.search.iter(text):
+                    upto = base + end // 2 + 1
+                    steps.append((upto - length, upto))
+                    found.update(ks)
+                carry = text[-2 * (WINDOW - 1) :]
+            n += len(words)
+        edges = np.zeros(n + 1, np.int32)
+        if steps:
+            begins, ends = np.array(steps).T
+            np.add.at(edges, begins, 1)
+            np.add.at(edges, ends, -1)
+        return np.cumsum(edges)[:n] > 0, found
 
 
 def original_spans(data: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -97,23 +100,24 @@ def original_spans(data: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(begins[a]), int(ends[b - 1])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1))]
 
 
-def _matcher(items: list[tuple[str, bytes]], id_col: str, text_col: str, id_type: pa.DataType | None):
-    key = hashlib.sha256(repr(items).encode()).hexdigest()
+def _built(pieces: list[Piece]) -> Automaton:
+    return held(("automaton", hashlib.sha256(repr(pieces).encode()).hexdigest()), lambda: Automaton(pieces))
+
 
+def _matcher(pieces: list[Piece]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, items)
+        automaton = _built(pieces)
         for batch in batches:
             n_words, n_hit, ids, spans = [], [], [], []
-            for data in text_bytes(batch.column(text_col)):
-                words = words_of(data)
-                hit, found = scan(words, automaton)
-                n_words.append(len(words))
+            for data in text_bytes(batch.column("text")):
+                hit, found = automaton.scan(data)
+                n_words.append(len(hit))
                 n_hit.append(int(hit.sum()))
-                ids.append(sorted({items[k][0] for k in found}))
+                ids.append(sorted({automaton.keys[k] for k in found}))
                 spans.append([{"start": a, "end": b} for a, b in original_spans(data, hit)] if found else [])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(id_col),
+                    batch.column("doc_id"),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array(ids, pa.list_(pa.string())),
@@ -128,33 +132,57 @@ def _matcher(items: list[tuple[str, bytes]], id_col: str, text_col: str, id_type
 SCHEMA = "doc_id {id}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks of bounded size; an item is never cut, as one item must fit a worker anyway."""
-    slim = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    for k in range(n_blocks):
-        part = slim if n_blocks == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        yield [(r.i, r.t.encode()) for r in part.distinct().orderBy("i", "t").toLocalIterator()]
+def _pieces(words: int):
+    """(item, text, nodes): items of normalised words, long ones in pieces of ``words`` windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column("i").to_pylist(), text_bytes(batch.column("t"))):
+                all_words = words_of(data)
+                last = max(1, len(all_words) - WINDOW + 1) if all_words else 0
+                cuts = [all_words[k : min(k + words, last) + WINDOW - 1] for k in range(0, last, words)]
+                texts = [b" ".join(c).decode("utf-8", "replace") for c in cuts]
+                nodes = [2 * max(1, len(c) - WINDOW + 1) * min(WINDOW, len(c)) for c in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cuts), pa.string()), pa.array(texts, pa.string()), pa.array(nodes, pa.int64())], names=["item", "text", "nodes"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_nodes: int) -> tuple[int, Iterator[list[Piece]]]:
+    """The number of blocks, and the blocks: pieces of items with ``block_nodes`` nodes at most together, brought one at a time."""
+    slim = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
+    pieces = materialize(map_arrow(slim, _pieces(max(1, block_nodes // (2 * WINDOW) // PIECE_SHARE)), "item string, text string, nodes bigint"), "benchmark")
+    total = pieces.agg(F.sum("nodes")).first()[0] or 0
+    n = 1 if total <= block_nodes else -(-2 * total // block_nodes)
+    block = lambda: F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    while n > 1 and pieces.groupBy(block().alias("b")).agg(F.sum("nodes").alias("n")).agg(F.max("n")).first()[0] > block_nodes:
+        n *= 2
+
+    def each() -> Iterator[list[Piece]]:
+        for k in range(n):
+            part = pieces if n == 1 else pieces.where(block() == k)
+            yield sorted((r.item, r.text) for r in part.select("item", "text").collect())  # block_nodes nodes at most
+
+    return n, each()
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_nodes: int = BLOCK_NODES
 ) -> DataFrame:
     """One row per document: words, hit words, ids of the items whose windows occur, and hit spans as byte offsets of the original text."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
     schema = SCHEMA.format(id=id_type)
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
-    if len(blocks) == 1:
-        return map_arrow(slim, _matcher(blocks[0], "doc_id", "text", None), schema)
+    n, blocks = _blocks(benchmark, item_id, item_text, block_nodes)
+    if n == 1:
+        return map_arrow(slim, _matcher(next(blocks)), schema)
     # A document keeps its row by a key made once; spans of several passes are merged into one cover.
     keyed = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     out = None
-    for items in blocks:
-        part = map_arrow(keyed.select(F.col("row").alias("doc_id"), "text"), _matcher(items, "doc_id", "text", None), SCHEMA.format(id="bigint"))
+    for pieces in blocks:
+        part = map_arrow(keyed.select(F.col("row").alias("doc_id"), "text"), _matcher(pieces), SCHEMA.format(id="bigint"))
         part = materialize(part, "decontaminate-pass")
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else out.unionByName(part.where(F.size("item_ids") > 0))
     merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     joined = keyed.select(F.col("row"), F.col("doc_id").alias("id"), "text").join(merged.withColumnRenamed("doc_id", "row"), "row")
     return map_arrow(joined.select(F.col("id").alias("doc_id"), "text", "n_words", "item_ids", "spans"), _merge_spans, schema)
@@ -182,26 +210,33 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _dropper(items: list[tuple[str, bytes]], text_col: str):
-    key = hashlib.sha256(repr(items).encode()).hexdigest()
+def _judge(pieces: list[Piece], text_col: str, clean: bool):
+    """Keeps the rows without (``clean``) or with a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, items)
+        automaton = _built(pieces)
         for batch in batches:
-            clean = [not scan(words_of(data), automaton)[1] for data in text_bytes(batch.column(text_col))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array([bool(automaton.scan(data)[1]) != clean for data in text_bytes(batch.column(text_col))], pa.bool_()))
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs; no shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """``docs`` without the documents in which a benchmark window occurs; no shuffle while the benchmark is one block."""
     columns = docs.columns
-    out = docs.toDF(*(f"c{k}" for k in range(len(columns))))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        out = map_arrow(out, _dropper(items, f"c{columns.index(text)}"), schema)
-    return out.toDF(*columns)
+    slim = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    text_at = f"c{columns.index(text)}"
+    n, blocks = _blocks(benchmark, item_id, item_text, block_nodes)
+    if n == 1:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
+        return map_arrow(slim, _judge(next(blocks), text_at, clean=True), schema).toDF(*columns)
+    keyed = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    bad = None
+    for pieces in blocks:
+        found = map_arrow(keyed.select("row", F.col(text_at).cast("string").alias("text")), _judge(pieces, "text", clean=False), "row bigint, text string").select("row")
+        found = materialize(found, "contaminated")
+        bad = found if bad is None else bad.unionByName(found)
+    return keyed.join(bad.distinct().hint("merge"), "row", "left_anti").drop("row").toDF(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
