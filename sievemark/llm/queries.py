@@ -66,7 +66,37 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
 
 
+#: A small host graph (src, dst, n) with a chain, a link farm, a cycle, hosts without outgoing links and one without any, and the seeds.
+HOST_LINKS = [
+    ("c1", "c2", 1), ("c2", "c3", 1), ("c3", "c4", 1), ("f1", "bad", 3), ("f2", "bad", 1), ("f3", "bad", 2), ("f1", "f2", 1), ("f2", "f3", 1), ("f3", "f1", 1), ("x", "y", 1), ("y", "z", 2), ("z", "x", 1), ("z", "c1", 1),
+    ("good", "c1", 4), ("good", "x", 1), ("hub", "good", 1), ("hub", "bad", 1), ("hub", "c4", 8),
+]
+HOST_SEEDS = [("good", 1.0), ("c1", 0.25), ("x", 0.5), ("alone", 1.0), ("bad", 0.0)]
+HOST_ROUNDS = 20
+
+
+def host_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks after HOST_ROUNDS rounds on the small host graph; ``pages`` of the given tables hardly link."""
+    edges = spark.createDataFrame(HOST_LINKS, "src string, dst string, n bigint")
+    seeds = spark.createDataFrame(HOST_SEEDS, "host string, seed double")
+    return urlfilter.propagate(edges, seeds, rounds=HOST_ROUNDS).select("host", F.round("mass", 9).alias("mass"))
+
+
+def _propagation_sql() -> str:
+    rows = lambda x: ", ".join(map(str, x))
+    start = f"""WITH e(src, dst, n) AS (VALUES {rows(HOST_LINKS)}), s(host, seed) AS (VALUES {rows(HOST_SEEDS)}),
+p AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM e),
+h AS MATERIALIZED (SELECT host, coalesce(seed, 0)::DOUBLE AS seed, host NOT IN (SELECT src FROM e) AS keeps FROM (SELECT src AS host FROM e UNION SELECT dst FROM e UNION SELECT host FROM s) LEFT JOIN s USING (host)),
+r0 AS MATERIALIZED (SELECT host, seed AS mass FROM h)"""
+    turn = """,
+r{k} AS MATERIALIZED (SELECT h.host, {rest} * seed + {damping} * (coalesce(got, 0) + CASE WHEN keeps THEN mass ELSE 0 END) AS mass
+  FROM h JOIN r{j} USING (host) LEFT JOIN (SELECT dst AS host, sum(mass * p) AS got FROM p JOIN r{j} ON host = src GROUP BY dst) USING (host))"""
+    turns = (turn.format(k=k, j=k - 1, damping=urlfilter.DAMPING, rest=1 - urlfilter.DAMPING) for k in range(1, HOST_ROUNDS + 1))
+    return f"{start}{''.join(turns)} SELECT host, round(mass, 9)::DOUBLE AS mass FROM r{HOST_ROUNDS}"
+
+
 QUERIES = {
+    "host_propagation": host_propagation,
     "op1_token_counts": op1_token_counts,
     "op2_token_id_output": op2_token_id_output,
     "op3_source_mixing": op3_source_mixing,
@@ -79,4 +109,4 @@ QUERIES = {
     "op10_exact_search": op10_exact_search,
 }
 
-ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_exact_search": search.ORACLE}
+ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_exact_search": search.ORACLE, "host_propagation": _propagation_sql()}

@@ -8,7 +8,8 @@ graph is linked. A host's trust or distrust is the larger of that share and the
 distrust is at least ``THRESHOLD`` and above its trust. Without links the shares of its own pages alone decide.
 
 Pages become one row per host and per host edge by partial aggregation before anything is shuffled; ranks live in written
-tables, one per round; rounds stop when no rank moves by ``TOLERANCE``. Nothing grows on the driver.
+tables, one per round; rounds stop when no rank moves by ``TOLERANCE``. They do stop: what all ranks together move shrinks by ``DAMPING`` from
+round to round. Nothing grows on the driver.
 
 Edge cases: a null url or one without ``://`` has host and path empty, fits no rule and is allowed by default; null html has
 no links; repeated pages each count; rules of equal length: block before allow.
@@ -17,6 +18,7 @@ no links; repeated pages each count; rules of equal length: block before allow.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,6 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
 TOLERANCE = 1e-4
-MAX_ROUNDS = 50
 THRESHOLD = 0.5
 #: Rules in one column expression; more are joined by host suffix.
 MAX_INLINE = 200
@@ -91,17 +92,15 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return each.select("src", host_of(full).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: (host, mass) for ``edges`` (src, dst, n) and ``seeds`` (host, seed).
 
-    A node without outgoing edges keeps the mass that reaches it. Without edges the seeds are the fixed point.
+    A node without outgoing edges keeps the mass that reaches it, so without edges the seeds are the fixed point. ``rounds``: exactly so many.
     """
-    if edges.isEmpty():
-        return seeds.select("host", F.col("seed").alias("mass"))
-    return _ranks(edges, seeds, damping, tolerance, max_rounds).select("host", "mass")
+    return _ranks(edges, seeds, damping, tolerance, rounds).select("host", "mass")
 
 
-def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
     """(host, mass, come, all_come): ``come`` is what reaches a host from others, ``all_come`` the same if each host had seed 1."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")), "shares")
@@ -110,7 +109,7 @@ def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     zero, one = F.lit(0.0), F.lit(1.0)
     nodes = nodes.join(out.select(F.col("src").alias("host"), F.lit(True).alias("gives")), "host", "left")
     nodes = materialize(nodes.select("host", "seed", F.coalesce("gives", F.lit(False)).alias("gives"), F.col("seed").alias("mass"), one.alias("all_mass"), zero.alias("come"), zero.alias("all_come")), "nodes")
-    for _ in range(max_rounds):
+    for _ in range(rounds) if rounds else count():
         given = shares.join(nodes.select(F.col("host").alias("src"), "mass", "all_mass"), "src")
         sent = given.groupBy("dst").agg(F.sum(F.col("mass") * F.col("p")).alias("got"), F.sum(F.col("all_mass") * F.col("p")).alias("all_got"))
         moved = nodes.join(sent.withColumnRenamed("dst", "host"), "host", "left")
@@ -121,7 +120,7 @@ def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
         step = F.greatest(F.abs(new - F.col("mass")), F.abs(new_all - F.col("all_mass")))
         nodes = materialize(moved.select("host", "seed", "gives", new.alias("mass"), new_all.alias("all_mass"), come.alias("come"), all_come.alias("all_come"), step.alias("step")), "ranks")
         # Both masses have gone the same rounds, so their ratio is a weighted mean of seeds at any round.
-        if (nodes.agg(F.max("step")).first()[0] or 0.0) < tolerance:
+        if rounds is None and (nodes.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
         nodes = nodes.drop("step")
     return nodes.select("host", "mass", "come", "all_come")
@@ -129,8 +128,6 @@ def _ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
 
 def _arriving(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
     """(host, name): the larger of a host's own seed and the share of the mass arriving from others that comes from seeds."""
-    if edges.isEmpty():
-        return seeds.select("host", F.col("seed").alias(name))
     ranks = _ranks(edges, seeds)
     share = F.when(F.col("all_come") > 0, F.col("come") / F.col("all_come")).otherwise(F.lit(0.0))
     return seeds.join(ranks, "host", "left").select("host", F.greatest("seed", F.coalesce(share, F.lit(0.0))).alias(name))
