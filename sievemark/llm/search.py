@@ -1,19 +1,26 @@
-"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, per shard, merged with global statistics.
+"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, per shard, merged exactly with global statistics.
 
-Every task's part of the corpus is a shard; no text is shuffled. A shard's documents are ordered so that like ones stand
-together (by their most frequent word, then length) and cut into blocks of ``BLOCK_DOCS``; postings keep the largest impact per
-word and block. For a query, lists of rare words are summed and the block maxima of its common words added: that bounds each
-document. The documents of the largest bounds set the k-th best score so far; only those whose bound reaches it are scored
-(the WAND test with block maxima), so most never have their common words read.
-Document frequencies, number and mean length are those of the whole corpus, so scores of shards compare and the merge of
-their k best is exact.
+Each task indexes its part of the corpus as shards of at most ``SHARD_POSTINGS`` postings, files in the shared folder; no text is
+shuffled. A shard orders its documents so that like ones stand together (by their most frequent word, then length), in blocks
+of ``BLOCK`` documents. Every word has its largest impact in the shard, and every long list the largest impact and the postings of each block; a
+list with less than one posting a block is short, and its postings are what its blocks would say.
 
-Queries lie in the shared folder in blocks of bounded size, each word with its document frequency; every shard streams them.
-Broadcast and driver hold nothing that grows. A shard returns at most k rows per query.
+A task has a block of queries (``QUERY_WORDS`` words at most) and takes shard after shard, so each query goes through the shards with the k-th best score
+of those before as its floor:
+
+* pivot: words in order of their largest impact; those that together stay below the floor never lead to a document, so their
+  long lists aren't opened for that (short ones are cheaper to read than to bound);
+* block test: a block is skipped unless what its short lists give plus the block maxima of its long lists reaches the floor; only the
+  postings of other blocks are read;
+* document test: what the opened lists give plus the block maxima of the others has to reach the floor. While many documents
+  pass, more lists are opened in the blocks left; then those that pass are scored whole, those of the largest bounds first, as they raise the floor.
+
+Document frequencies, number and mean length are those of the whole corpus, so scores of shards compare; a query carries its k best from
+shard to shard, which is the exact merge. Nothing that grows is broadcast or comes to the driver.
 
 score = sum over the query's distinct words of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), idf =
 ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 6 places; equal scores go by id. Words: as for decontamination; they are
-told apart by their 64-bit hash.
+told apart by their 64-bit hash (two of a billion distinct words agree with probability 0.03).
 
 Edge cases: null and empty texts have no word, are found by no query and find nothing; repeated rows are separate documents;
 ties in score go to the smaller ``doc_id``, null ids last; an empty table gives no row.
@@ -23,10 +30,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, new_path, text_bytes
@@ -35,195 +43,312 @@ from .encoding import filesystem
 
 K1, B = 1.2, 0.75
 TOP = 10
-BLOCK_DOCS = 32
-#: A word of more than one document in so many of a shard is common.
+#: Documents of a block; postings and documents of a shard at most, but for one that is larger by itself.
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 3_000_000, 1 << 16
 DENSE = 8
-#: Words of queries in one block file, about.
-QUERY_WORDS = 2_000_000
+#: Words of queries that a task holds at once, about.
+QUERY_WORDS = 4_000_000
 DECIMALS = 6
+#: So many documents of so many distinct words are scored before all lists are opened; documents scored at once.
+FEW, FEW_WORDS, AT_ONCE = 32, 4096, 256
+
+#: Arrays of a shard file, in their order.
+PARTS = ("ids", "no_id", "asks", "lengths", "words", "df", "place", "tf", "starts", "rows", "row_tf")
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(data: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a text's distinct words in ascending order, their counts, and the number of its words."""
     from xxhash import xxh64_intdigest
 
-    for batch in batches:
-        terms, counts, lengths = [], [], []
-        for data in text_bytes(batch.column("text")):
-            words = words_of(data)
-            tf: dict[bytes, int] = {}
-            for w in words:
-                tf[w] = tf.get(w, 0) + 1
-            keys = np.fromiter(map(xxh64_intdigest, tf), np.uint64, len(tf))
-            order = np.argsort(keys)
-            terms.append(keys[order].tobytes())
-            counts.append(np.fromiter(tf.values(), "<u4", len(tf))[order].tobytes())
-            lengths.append(len(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("asks"), pa.array(lengths, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "asks", "length", "terms", "counts"])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequency within runs of the partition; runs bound memory, a later sum adds them."""
-
-    def flush(parts: list[bytes]) -> pa.RecordBatch:
-        term, n = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
-
-    parts, size = [], 0
-    for batch in batches:
-        for terms in batch.column("terms").to_pylist():
-            parts.append(terms)
-            size += len(terms)
-        if size > 64 << 20:
-            yield flush(parts)
-            parts, size = [], 0
-    if parts:
-        yield flush(parts)
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        terms = batch.column("terms").to_pylist()
-        rows = np.repeat(batch.column("row").to_numpy(), [len(t) // 8 for t in terms])
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.frombuffer(b"".join(terms), np.uint64).view(np.int64))], names=["row", "term"])
+    words = words_of(data)
+    tf: dict[bytes, int] = {}
+    for w in words:
+        tf[w] = tf.get(w, 0) + 1
+    keys = np.fromiter(map(xxh64_intdigest, tf), np.uint64, len(tf))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(tf.values(), np.uint32, len(tf))[order], len(words)
+
+
+def shard_parts(ids: list[int | None], asks: list[bool], counted: list[tuple[np.ndarray, np.ndarray, int]]) -> dict[str, np.ndarray]:
+    """The arrays of a shard: documents in their order of places, postings by word and place, and each document's words (rows of ``words``)."""
+    lead = np.array([k[int(np.argmax(c))] if len(k) else 0 for k, c, _ in counted], np.uint64)
+    lengths = np.array([n for _, _, n in counted], np.int64)
+    at = np.lexsort((lengths, lead))
+    sizes = np.array([len(counted[i][0]) for i in at], np.int64)
+    terms, tf = (np.concatenate([counted[i][k] for i in at]) if len(at) else np.array([], t) for k, t in ((0, np.uint64), (1, np.uint32)))
+    words, rows, df = np.unique(terms, return_inverse=True, return_counts=True)
+    by_word = np.argsort(rows, kind="stable")
+    place = np.repeat(np.arange(len(at)), sizes)
+    own = [ids[i] for i in at]
+    return {
+        "ids": np.array([0 if x is None else x for x in own], np.int64), "no_id": np.array([x is None for x in own], bool), "asks": np.array([asks[i] for i in at], bool), "lengths": lengths[at],
+        "words": words, "df": df.astype(np.int32), "place": place[by_word].astype(np.int32), "tf": tf[by_word], "starts": np.concatenate(([0], np.cumsum(sizes))), "rows": rows.astype(np.int32), "row_tf": tf,
+    }
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges one after another, and the range each belongs to."""
+    size = stop - start
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + (start - np.cumsum(size) + size)[owner], owner
 
 
 class Shard:
-    """An inverted index over some documents. Words of more than one document in ``DENSE`` have a column instead of a list."""
-
-    def __init__(self, terms: list[bytes], counts: list[bytes], lengths: np.ndarray, mean: float):
-        sizes = np.array([len(t) // 8 for t in terms], np.int64)
-        term, tf = np.frombuffer(b"".join(terms), np.uint64), np.frombuffer(b"".join(counts), "<u4").astype(np.float64)
-        doc = np.repeat(np.arange(len(terms)), sizes)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        lead = np.array([term[a + int(np.argmax(tf[a:b]))] if b > a else 0 for a, b in zip(starts[:-1], starts[1:])], np.uint64)
-        #: Document at each place of the index; like documents share blocks.
-        self.at = np.lexsort((lengths, lead))
-        place = np.empty(len(terms), np.int64)
-        place[self.at] = np.arange(len(terms))
-        where = place[doc]
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))
-        order = np.lexsort((where, term))
-        term, where, impact = term[order], where[order], impact[order]
-        self.n, self.n_blocks = len(terms), -(-len(terms) // BLOCK_DOCS)
-        self.block = np.arange(self.n) // BLOCK_DOCS
-        self.words, first, df = np.unique(term, return_index=True, return_counts=True)
-        common = df > max(self.n // DENSE, BLOCK_DOCS)
-        #: Column of each word among the common ones, -1 for the rest.
-        self.column = np.where(common, np.cumsum(common) - 1, -1)
-        owner = np.repeat(np.arange(len(df)), df)
-        dense = common[owner]
-        self.impacts = np.zeros((self.n, int(common.sum())))
-        self.impacts[where[dense], self.column[owner[dense]]] = impact[dense]
-        pad = np.zeros((self.n_blocks * BLOCK_DOCS - self.n, self.impacts.shape[1]))
-        #: Largest impact per block and common word: one row per word.
-        self.block_max = np.vstack([self.impacts, pad]).reshape(self.n_blocks, BLOCK_DOCS, -1).max(axis=1).T.copy() if self.n else np.zeros((0, 0))
-        self.first, self.last = first, first + df
-        self.where, self.impact = where, impact
-
-    def search(self, words: np.ndarray, weights: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, score) of the best ``top`` by rounded score and id."""
-        none = np.array([], np.int64), np.array([])
+    def __init__(self, parts: dict[str, np.ndarray], mean: float):
+        self.ids, self.no_id, self.words, self.starts, self.rows = (parts[k] for k in ("ids", "no_id", "words", "starts", "rows"))
+        n = self.n = len(self.ids)
+        self.n_blocks = -(-n // BLOCK)
+        #: tf / (tf + norm) times k1 + 1 is the impact.
+        self.norm = K1 * (1 - B + B * parts["lengths"] / max(mean, 1e-9))
+        self.row_tf = parts["row_tf"]
+        df, place, tf = parts["df"].astype(np.int64), parts["place"], parts["tf"]
+        # Bounds are rounded up to 32 bits.
+        self.impact = np.nextafter((tf * (K1 + 1) / (tf + self.norm[place])).astype(np.float32), np.float32(np.inf))
+        self.place = place
+        self.last = np.cumsum(df)
+        self.first = self.last - df
+        self.most = np.maximum.reduceat(self.impact, self.first) if len(df) else np.array([], np.float32)
+        #: Row of each long word in the tables of blocks, -1 for short ones.
+        long = df * BLOCK >= max(n, 1)
+        self.long = np.where(long, np.cumsum(long) - 1, -1)
+        of_long, owner = _ranges(self.first[long], self.last[long])
+        cell = owner * self.n_blocks + (place[of_long] // BLOCK)
+        cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.array([], np.int64)
+        self.block_most = np.zeros((int(long.sum()), self.n_blocks), np.float32)
+        if len(cell):
+            self.block_most.ravel()[cell[cuts]] = np.maximum.reduceat(self.impact[of_long], cuts)
+        #: First posting of each long word in each block, as a place within the word's list.
+        per = np.bincount(cell, minlength=self.block_most.size).reshape(self.block_most.shape)
+        self.block_first = np.concatenate([np.zeros((len(per), 1), np.int32), np.cumsum(per, axis=1, dtype=np.int32)], axis=1)
+        #: Row of each word whose list is written out, -1 for the others; the lists by block.
+        dense = df * DENSE > n
+        self.dense = np.where(dense, np.cumsum(dense) - 1, -1)
+        of_dense, owner = _ranges(self.first[dense], self.last[dense])
+        self.out = np.zeros((int(dense.sum()), self.n_blocks, BLOCK), np.float32)
+        self.out.reshape(len(self.out), -1)[owner, place[of_dense]] = self.impact[of_dense]
+        self.weight = np.zeros(len(df))
+
+    def rows_of(self, terms: np.ndarray) -> np.ndarray:
+        """Row of each of some ascending hashes, -1 for those that the shard doesn't hold."""
         if not len(self.words):
-            return none
-        k = np.searchsorted(self.words, words)
+            return np.full(len(terms), -1)
+        k = np.searchsorted(self.words, terms)
         k[k == len(self.words)] = 0
-        here = self.words[k] == words
-        k, weights = k[here], weights[here]
-        if not len(k):
-            return none
-        column = self.column[k]
-        rare, common = column < 0, column >= 0
-        posts, of_word = _ranges(self.first[k[rare]], self.last[k[rare]])
-        # What rare words give is exact; common words are bounded by their block maxima.
-        got = np.bincount(self.where[posts], self.impact[posts] * weights[rare][of_word], self.n)
-        cols, w = column[common], weights[common]
-        bound = got + (w @ self.block_max[cols])[self.block]
-        slack = 10.0**-DECIMALS
-        places, scores, floor, tried = np.array([], np.int64), np.array([]), 0.0, None
-        for size in (4 * top, None):
-            # Documents of the largest bounds set the floor; then all that can reach it are scored.
-            if size is None:
-                some = np.flatnonzero((bound * (1 + 1e-9) + slack >= floor) & (bound > 0))
-                some = some[~np.isin(some, tried)]
-            else:
-                some = np.argpartition(-bound, size)[:size] if size < self.n else np.arange(self.n)
-                tried = some
-            total = np.round(got[some] + _rowwise(self.impacts, some, cols, w), DECIMALS)
-            good = total > 0
-            places, scores = np.concatenate([places, some[good]]), np.concatenate([scores, total[good]])
-            if len(scores) > top:
-                floor = np.partition(scores, len(scores) - top)[len(scores) - top]
-                keep = scores >= floor
-                places, scores = places[keep], scores[keep]
-        docs = self.at[places]
-        best = np.lexsort((ids[docs], -scores))[:top]
-        return docs[best], scores[best]
-
-
-def _rowwise(impacts: np.ndarray, rows: np.ndarray, cols: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted sums over common words, in bounded pieces; each row is summed by itself, so equal documents score alike everywhere."""
-    out = np.empty(len(rows))
-    for k in range(0, len(rows), 2048):
-        out[k : k + 2048] = np.einsum("ij,j->i", impacts[np.ix_(rows[k : k + 2048], cols)], w)
-    return out
+        return np.where(self.words[k] == terms, k, -1)
+
+    def _given(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        posts, owner = _ranges(first, last)
+        return np.bincount(self.place[posts], self.impact[posts] * weights[owner], self.n).astype(np.float64, copy=False)
+
+    def scores(self, places: np.ndarray) -> np.ndarray:
+        """Whole scores by ``weight``; a document's words are added in their order, so equal documents score alike everywhere."""
+        posts, owner = _ranges(self.starts[places], self.starts[places + 1])
+        tf = self.row_tf[posts]
+        each = self.weight[self.rows[posts]] * (tf * (K1 + 1) / (tf + self.norm[places][owner]))
+        return np.round(np.bincount(owner, each, len(places)), DECIMALS)
+
+    def search(self, rows: np.ndarray, weights: np.ndarray, best: "Best") -> None:
+        """Takes the shard's documents that belong there into ``best``."""
+        bound = weights * self.most[rows]
+        order = np.argsort(bound)
+        total = np.cumsum(bound[order])
+        pivot = int(np.searchsorted(total, best.least))
+        if pivot == len(order):
+            return
+        long = self.long[rows] >= 0
+        short = np.flatnonzero(~long)
+        given = self._given(self.first[rows[short]], self.last[rows[short]], weights[short])
+        ahead, rest = (part[long[part]] for part in (order[pivot:], order[:pivot]))
+        # The lists from the pivot on first; the others where many documents are left.
+        while True:
+            behind = weights[rest] @ self.block_most[self.long[rows[rest]]] if len(rest) else np.zeros(self.n_blocks)
+            if len(ahead):
+                blocks = self._blocks(given, weights[ahead] @ self.block_most[self.long[rows[ahead]]] + behind, best.least)
+                if not len(blocks):
+                    return
+                given += self._opened(rows[ahead], weights[ahead], blocks)
+            bounds = given + np.repeat(behind, BLOCK)[: self.n]
+            places = np.flatnonzero((bounds >= best.least) & (given > 0))
+            if not len(rest) or (len(places) <= FEW and (self.starts[places + 1] - self.starts[places]).sum() <= FEW_WORDS):
+                break
+            ahead, rest = rest, rest[:0]
+        if not len(places):
+            return
+        self.weight[rows] = weights
+        if len(places) > best.top:
+            first = np.argpartition(-bounds[places], best.top)
+            self._take(places[first[: best.top]], best)
+            places = places[first[best.top :]]
+            places = places[bounds[places] >= best.least]
+        for k in range(0, len(places), AT_ONCE):
+            self._take(places[k : k + AT_ONCE], best)
+        self.weight[rows] = 0
+
+    def _blocks(self, given: np.ndarray, more: np.ndarray, least: float) -> np.ndarray:
+        """Blocks in which some document may reach ``least``."""
+        pad = np.zeros(self.n_blocks * BLOCK)
+        pad[: self.n] = given
+        return np.flatnonzero(pad.reshape(-1, BLOCK).max(axis=1) + more >= least)
+
+    def _opened(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """What long lists give to the documents of some blocks."""
+        out = self.dense[rows]
+        whole, listed = out >= 0, out < 0
+        rows, out, ahead, weights = rows[listed], out[whole], weights[whole].astype(np.float32), weights[listed]
+        base = self.first[rows]
+        if 2 * len(blocks) > self.n_blocks:
+            given = self._given(base, self.last[rows], weights)
+            if len(out):
+                given += (ahead @ self.out[out].reshape(len(out), -1))[: self.n]
+            return given
+        table = self.block_first[self.long[rows]]
+        first, last = table[:, blocks], table[:, blocks + 1]
+        given = np.zeros((self.n_blocks, BLOCK))
+        if len(out):
+            given[blocks] = (ahead @ self.out[out[:, None], blocks].reshape(len(out), -1)).reshape(len(blocks), BLOCK)
+        return given.ravel()[: self.n] + self._given((base[:, None] + first).ravel(), (base[:, None] + last).ravel(), np.repeat(weights, len(blocks)))
+
+    def _take(self, places: np.ndarray, best: "Best") -> None:
+        best.take(self.scores(places), self.ids[places], self.no_id[places])
+
+
+@dataclass
+class Best:
+    """The best ``top`` documents of a query so far, and the least bound that may still change them."""
+
+    top: int
+    score: np.ndarray = field(default_factory=lambda: np.array([]))
+    id: np.ndarray = field(default_factory=lambda: np.array([], np.int64))
+    no_id: np.ndarray = field(default_factory=lambda: np.array([], bool))
+    least: float = 0.0
+    floor: float = 0.0
+
+    def take(self, score: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> None:
+        good = (score > 0) & (score >= self.floor)
+        if not good.any():
+            return
+        score, ids, no_id = (np.concatenate(x) for x in ((self.score, score[good]), (self.id, ids[good]), (self.no_id, no_id[good])))
+        order = np.lexsort((ids, no_id, -score))[: self.top]
+        self.score, self.id, self.no_id = score[order], ids[order], no_id[order]
+        if len(order) == self.top:
+            self.floor = float(self.score[-1])
+            # Bounds are sums in 32 bits of up to some thousand words.
+            self.least = max(0.0, self.floor * (1 - 1e-4) - 2 * 10.0**-DECIMALS)
 
 
-def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All integers of the ranges one after another, and the range each belongs to."""
-    size = stop - start
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size), owner
+def _write_shard(folder: str, name: str, parts: dict[str, np.ndarray]) -> None:
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+        for k in PARTS:
+            np.lib.format.write_array(out, np.ascontiguousarray(parts[k]), allow_pickle=False)
+
+
+def _read_shard(folder: str, name: str, wanted: tuple[str, ...] = PARTS) -> dict[str, np.ndarray]:
+    """The first arrays up to the last wanted one."""
+    fs, path = filesystem(folder)
+    with fs.open_input_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as file:
+        return {k: np.lib.format.read_array(file, allow_pickle=False) for k in PARTS[: max(map(PARTS.index, wanted)) + 1]}
 
 
-def _query_writer(folder: str):
+def _indexer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
+        from pyspark import TaskContext
 
-        fs, path = filesystem(folder)
-        rows, size = [], 0
+        part, made = TaskContext.get().partitionId(), 0
+        ids, asks, counted, postings = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            name = f"queries-{uuid.uuid4().hex}.parquet"
-            fs.create_dir(path, recursive=True)
-            pq.write_table(pa.Table.from_batches(rows), f"{path}/{name}", filesystem=fs)
-            return pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+            name = f"shard-{part:07d}-{uuid.uuid4().hex}.npy"
+            _write_shard(folder, name, shard_parts(ids, asks, counted))
+            row = {"shard": part * (1 << 20) + made, "file": name, "n_docs": len(ids), "n_words": sum(n for _, _, n in counted), "asked_words": sum(len(k) for (k, _, _), a in zip(counted, asks) if a)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("file", pa.string()), *((k, pa.int64()) for k in ("n_docs", "n_words", "asked_words"))]))
 
         for batch in batches:
-            rows.append(batch)
-            size += sum(map(len, batch.column("words").to_pylist()))
-            if size > QUERY_WORDS:
-                yield flush()
-                rows, size = [], 0
-        if rows:
+            for doc_id, ask, data in zip(batch.column("doc_id").to_pylist(), batch.column("asks").to_pylist(), text_bytes(batch.column("text"))):
+                one = _counted(data)
+                if ids and (postings + len(one[0]) > SHARD_POSTINGS or len(ids) == SHARD_DOCS):
+                    yield flush()
+                    ids, asks, counted, postings, made = [], [], [], 0, made + 1
+                ids.append(doc_id)
+                asks.append(ask)
+                counted.append(one)
+                postings += len(one[0])
+        if ids:
             yield flush()
 
     return run
 
 
-def _searcher(folder: str, files: list[str], n_docs: int, mean: float, top: int):
+def _frequencies(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                parts = _read_shard(folder, name, ("words", "df"))
+                for k in range(0, len(parts["words"]), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(parts["words"][k : k + (1 << 18)].view(np.int64)), pa.array(parts["df"][k : k + (1 << 18)].astype(np.int64))], names=["term", "n"])
 
-        data = [b for b in batches if len(b)]
-        if not data:
-            return
-        whole = pa.Table.from_batches(data)
-        raw = whole.column("doc_id").to_pylist()
-        missing = np.iinfo(np.int64).max
-        ids = np.array([missing if x is None else x for x in raw], np.int64)
-        shard = Shard(whole.column("terms").to_pylist(), whole.column("counts").to_pylist(), whole.column("length").to_numpy(), mean)
-        fs, path = filesystem(folder)
-        for file in files:
-            asked = pq.read_table(f"{path}/{file}", filesystem=fs)
-            for part in asked.to_batches(max_chunksize=1024):
-                query, found, scores = [], [], []
-                for row, words, df in zip(part.column("row").to_pylist(), part.column("words"), part.column("df")):
-                    words, df = words.values.to_numpy().view(np.uint64), df.values.to_numpy()
-                    docs, score = shard.search(words, np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), ids, top)
-                    query += [row] * len(docs)
-                    found += docs.tolist()
-                    scores.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array([raw[k] for k in found], pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["row", "doc_id", "score"])
+    return run
+
+
+def _asked(folder: str):
+    """(row, query_id, term) of the documents that ask; ``row`` is the document itself, by shard and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
+                p = _read_shard(folder, name)
+                places = np.flatnonzero(p["asks"])
+                for k in range(0, len(places), 256):
+                    some = places[k : k + 256]
+                    posts, owner = _ranges(p["starts"][some], p["starts"][some + 1])
+                    ids = pa.array(p["ids"][some], mask=p["no_id"][some])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * SHARD_DOCS + some[owner]), ids.take(pa.array(owner)), pa.array(p["words"][p["rows"][posts]].view(np.int64))], names=["row", "query_id", "term"])
+
+    return run
+
+
+def _searcher(folder: str, manifest: str, n_docs: int, mean: float, top: int):
+    def answers(queries: list[tuple[int | None, np.ndarray, np.ndarray]], first: int) -> pa.RecordBatch:
+        import pyarrow.dataset as ds
+
+        fs, path = filesystem(manifest)
+        files = sorted(ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["file"]).column("file").to_pylist())
+        terms, place = np.unique(np.concatenate([w for _, w, _ in queries]), return_inverse=True)
+        df = np.empty(len(terms))
+        df[place] = np.concatenate([d for _, _, d in queries])
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        words = np.split(place, np.cumsum([len(w) for _, w, _ in queries])[:-1])
+        best = [Best(top) for _ in queries]
+        # Tasks begin at different shards, so that not all read the same file at once.
+        for k in range(len(files)):
+            shard = Shard(_read_shard(folder, files[(first + k) % len(files)]), mean)
+            rows = shard.rows_of(terms)
+            for mine, b in zip(words, best):
+                here = rows[mine]
+                there = here >= 0
+                if there.any():
+                    shard.search(here[there], idf[mine[there]], b)
+        n = [len(b.score) for b in best]
+        whose = np.repeat(np.arange(len(best)), n)
+        asked = pa.array([q for q, _, _ in queries], pa.int64()).take(pa.array(whose))
+        ids = pa.array(np.concatenate([b.id for b in best]), mask=np.concatenate([b.no_id for b in best]))
+        rank = np.concatenate([np.arange(1, x + 1) for x in n]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([asked, pa.array(rank), ids, pa.array(np.concatenate([b.score for b in best]))], names=["query_id", "rank", "doc_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, size, first = [], 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for query_id, words, df in zip(batch.column("query_id").to_pylist(), batch.column("words"), batch.column("df")):
+                held.append((query_id, words.values.to_numpy().view(np.uint64), df.values.to_numpy()))
+                size += len(held[-1][1])
+                if size > QUERY_WORDS:
+                    yield answers(held, first)
+                    held, size = [], 0
+        if held:
+            yield answers(held, first)
 
     return run
 
@@ -231,20 +356,21 @@ def _searcher(folder: str, files: list[str], n_docs: int, mean: float, top: int)
 def top_k(docs: DataFrame, queries: Column, doc_id: str = "doc_id", text: str = "text", top: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the best ``top`` of all rows for each row that satisfies ``queries``."""
     spark = docs.sparkSession
+    folder, manifest, listed = new_path(spark, "shards"), new_path(spark, "shard-list"), "shard bigint, file string, n_docs bigint, n_words bigint, asked_words bigint"
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    forward = materialize(map_arrow(slim, _terms, "doc_id bigint, asks boolean, length bigint, terms binary, counts binary").withColumn("row", F.monotonically_increasing_id()), "forward")
-    stats = forward.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    df = map_arrow(forward.select("terms"), _frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
-    asked = map_arrow(forward.where("asks").select("row", "terms"), _exploded, "row bigint, term bigint")
-    # Words in order of their unsigned hash, as in the index.
-    joined = asked.join(df, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("term").bitwiseXOR(F.lit(-(1 << 63))).alias("o"), "term", "df"))).alias("t"))
-    ready = joined.select("row", F.col("t.term").alias("words"), F.col("t.df").alias("df"))
-    folder = new_path(spark, "asked")
-    files = [r.file for r in materialize(map_arrow(ready, _query_writer(folder), "file string"), "query-files").orderBy("file").collect()]  # one per QUERY_WORDS words
-    found = map_arrow(forward.select("doc_id", "length", "terms", "counts"), _searcher(folder, files, stats.n, stats.mean or 0.0, top), "row bigint, doc_id bigint, score double")
-    order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(forward.select("row", F.col("doc_id").alias("query_id")), "row").select("query_id", "rank", "doc_id", "score")
+    map_arrow(slim, _indexer(folder), listed).write.parquet(manifest)
+    made = spark.read.schema(listed).parquet(manifest)
+    n = made.agg(F.count("*").alias("shards"), F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words"), F.sum("asked_words").alias("asked")).first()
+    shards = made.select("shard", "file").repartition(max(1, n.shards))
+    df = map_arrow(shards, _frequencies(folder), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+    asked = map_arrow(shards, _asked(folder), "row bigint, query_id bigint, term bigint")
+    each = asked.join(df, "term").groupBy("row").agg(F.first("query_id").alias("query_id"), F.collect_list(F.struct("term", "df")).alias("t"))
+    # As many blocks of queries as hold QUERY_WORDS words each, and enough for every core to have some.
+    blocks = max(1, -(-(n.asked or 0) // QUERY_WORDS), 2 * spark.sparkContext.defaultParallelism)
+    ready = materialize(each.select("row", "query_id", F.col("t.term").alias("words"), F.col("t.df").alias("df")), "queries").repartition(blocks)
+    mean = (n.words or 0) / max(1, n.docs or 0)
+    return map_arrow(ready.select("query_id", "words", "df"), _searcher(folder, manifest, n.docs or 0, mean, top), "query_id bigint, rank int, doc_id bigint, score double")
+
 
 
 ORACLE = r"""

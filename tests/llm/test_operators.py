@@ -37,16 +37,21 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_token_files_round_trip(spark, docs, none, tmp_path):
-    from sievemark.llm.encoding import encoder
+def library_ids(t):
+    """Ids by the library alone, in its default way."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path()).encode(t, add_special_tokens=False).ids
 
-    enc = encoder(tokenizer_path())
+
+def test_token_files_round_trip(spark, docs, none, tmp_path):
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(107).cast("bigint")).withColumn("text", F.lit("a<|endoftext|>b  <|endoftext|> c")))
     folder = tmp_path.as_uri()
     found = tokenfile.round_trip(docs, tokenizer_path(), 2, folder).collect()
-    want = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = sorted([*((r[0], r[1] or "") for r in rows()), (107, "a<|endoftext|>b  <|endoftext|> c")], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     start, expected = 0, []
     for i, t in want:
-        ids = np.frombuffer(enc.whole([t])[0], "<u2").astype("<u4").tolist() + [2]
+        ids = [*library_ids(t), 2]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in found)
@@ -67,18 +72,35 @@ def test_token_files_round_trip(spark, docs, none, tmp_path):
     assert tokenfile.round_trip(none, tokenizer_path(), 2).count() == 0
 
 
-def test_memo_gives_the_ids_of_whole_texts():
-    from sievemark.llm.encoding import encoder
+@pytest.mark.parametrize("literal", [False, True])
+def test_memo_gives_the_ids_of_whole_texts(literal):
+    from sievemark.llm.encoding import Encoder
+
+    enc = Encoder(tokenizer_path(), literal)
+    odd = ["", " ", "a  b", "it's", "\n\n x", "a \n b", "x y", "\t a", "tail ", "<|endoftext|>", "a<|endoftext|>b", "日本 語。", "é. È!", "a" * 300, "w1 w2. w3,\nw4"]
+    for _ in range(2):
+        assert enc.encode(odd) == enc.whole(odd)
+    assert literal or np.frombuffer(enc.encode(["a<|endoftext|>b"])[0], "<u2").tolist() == library_ids("a<|endoftext|>b")
+
+
+def test_memo_stays_within_its_bytes():
+    from sievemark.llm.encoding import Encoder
 
-    enc = encoder(tokenizer_path())
-    odd = ["", " ", "a  b", "it's", "\n\n x", "a \n b", "x y", "\t a", "tail ", "<|endoftext|>", "日本 語。", "é. È!", "a" * 300, "w1 w2. w3,\nw4"]
-    assert enc.encode(odd) == enc.whole(odd)
+    limit = 1 << 20
+    enc = Encoder(tokenizer_path(), memo_bytes=limit)
+    common = " the of and"
+    for k in range(40):
+        texts = [common + " ".join(f"w{k}x{i}{'!' * (i % 40)}" for i in range(500)), f"word{'abc' * (k % 7)} " * 5 + common]
+        assert enc.encode(texts) == enc.whole(texts)
+        held = sum(150 + len(p) + len(ids) for half in (enc.memo.young, enc.memo.old) for p, ids in half.items())
+        assert held <= limit + 400
+    assert len(enc.memo.young) + len(enc.memo.old) < 20_000
 
 
 def test_token_counts_stitch_blocks(spark, docs, none):
     from sievemark.llm.encoding import encoder
 
-    enc = encoder(tokenizer_path())
+    enc = encoder(tokenizer_path(), literal=True)
     want = sorted((r[0] if r[0] is not None else -1, len(enc.whole([r[1] or ""])[0]) // 2) for r in rows())
     for block in (7, 1000, 1 << 20):
         got = tokencount.token_counts(docs, tokenizer_path(), 50256, block_ids=block).collect()
@@ -177,7 +199,7 @@ def test_decontamination_blocks_agree(spark, docs, none):
     items = [(1, " ".join(text(0).split()[5:25])), (2, "short"), (2, "short"), (3, None), (4, ""), (None, " ".join(text(1).split()[:10])), (5, "nowhere to be found in any of the documents at hand, really")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     one = decontaminate.digest(decontaminate.decontaminate(docs, bench)).collect()
-    many = decontaminate.digest(decontaminate.decontaminate(docs, bench, block_bytes=60)).collect()
+    many = decontaminate.digest(decontaminate.decontaminate(docs, bench, block_nodes=100)).collect()
     key = lambda r: repr(tuple(r))
     assert sorted(map(key, one)) == sorted(map(key, many)) and len(one) == len(rows())
     split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -198,7 +220,8 @@ def test_decontamination_blocks_agree(spark, docs, none):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items)) for r in one)
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
-    assert decontaminate.drop_contaminated(docs, bench).count() == sum(1 for x in want if x[2] == 0)
+    for nodes in (decontaminate.BLOCK_NODES, 100):
+        assert decontaminate.drop_contaminated(docs, bench, block_nodes=nodes).count() == sum(1 for x in want if x[2] == 0)
 
 
 def test_spans_map_to_the_original():
