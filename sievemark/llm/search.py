@@ -44,7 +44,7 @@ from .encoding import filesystem
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a block; postings and documents of a shard at most, but for one that is larger by itself.
-BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 3_000_000, 1 << 16
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 4_000_000, 1 << 16
 DENSE = 8
 #: Words of queries that a task holds at once, about.
 QUERY_WORDS = 4_000_000
@@ -364,7 +364,8 @@ def top_k(docs: DataFrame, queries: Column, doc_id: str = "doc_id", text: str =
     shards = made.select("shard", "file").repartition(max(1, n.shards))
     df = map_arrow(shards, _frequencies(folder), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
     asked = map_arrow(shards, _asked(folder), "row bigint, query_id bigint, term bigint")
-    each = asked.join(df, "term").groupBy("row").agg(F.first("query_id").alias("query_id"), F.collect_list(F.struct("term", "df")).alias("t"))
+    # Both sides grow with the input: merged at every size, never broadcast.
+    each = asked.hint("merge").join(df, "term").groupBy("row").agg(F.first("query_id").alias("query_id"), F.collect_list(F.struct("term", "df")).alias("t"))
     # As many blocks of queries as hold QUERY_WORDS words each, and enough for every core to have some.
     blocks = max(1, -(-(n.asked or 0) // QUERY_WORDS), 2 * spark.sparkContext.defaultParallelism)
     ready = materialize(each.select("row", "query_id", F.col("t.term").alias("words"), F.col("t.df").alias("df")), "queries").repartition(blocks)
