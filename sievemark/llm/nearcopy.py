@@ -1,17 +1,18 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""SimHash near-dedup for five words and a similarity of 0.8: the fingerprints' Gray-order index first, then what it can't see.
 
 A text's set holds the distinct shingles of five words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased (the whole sequence if shorter),
 as 64-bit hashes. Texts link if their sets' Jaccard similarity is at least 4/5; a component is what links reach. A text is known by
 its ``code``, a 64-bit hash of its set, so copies with equal sets are one node from the start.
 
-No pair is lost: shingles are put in one order, and two sets that link share a shingle among the first n - ceil(4n/5) + 1 of
-each. Shingles that are common in a sample go last in that order, which changes the number of candidates and nothing else. Two steps:
+1. Fingerprints: each set's SimHash is looked up in the Gray-order index of ``simhash`` (``MAX_BITS`` differing bits); every link it gives
+   is confirmed on the whole sets. That joins the closest copies with no pair of a group ever listed.
+2. The rest: at a similarity of 0.8 fingerprints differ in some ten bits, which no index of 64-bit codes separates from chance. Shingles are
+   put in one order, and two sets that link share a shingle among the first n - ceil(4n/5) + 1 of each, so no pair is lost. For ``ROUNDS`` rounds,
+   every set is compared with one random leader among the sets of another group that share its prefix shingles: linearly many pairs, which
+   join what is left of large groups. Then all pairs that still lie in different groups and whose sizes and number of shared prefix shingles allow a link.
 
-* stars: sets that share a MinHash value are compared with the least code of those, which joins most of a large group in
-  linearly many comparisons;
-* the rest: sets of different groups whose sizes and number of shared prefix shingles allow a link.
-
-Every candidate is confirmed on the whole sets. Sets are built anew from the texts that have candidates, chosen by a bitmap of fixed size
+Shingles that are common in a sample go last in their order, which changes the number of candidates and nothing else. Every candidate is
+confirmed on the whole sets. Sets are built anew from the texts that have candidates, chosen by a bitmap of fixed size
 (``BITMAP`` bits, with the common shingles the only broadcast); texts are not shuffled for it.
 
 Edge cases: null, empty and blank texts have the empty set and are copies of each other; rows that repeat are one node.
@@ -20,24 +21,23 @@ Edge cases: null, empty and blank texts have the empty set and are copies of eac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import byte_runs, map_arrow, materialize, text_bytes
-from .simhash import components
 
 SHINGLE = 5
 #: Jaccard similarity of a link: ALIKE[0] / ALIKE[1].
 ALIKE = (4, 5)
-#: Odd factors of the MinHash orders.
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Agreeing values of a star; what this leaves out is left to the prefixes.
-MIN_AGREE = 2
-#: Share of the sets in the sample of common shingles, sets in it at least, its count of a common shingle, and common shingles at most.
-SAMPLE, MIN_SAMPLE, COMMON, MAX_COMMON = 0.05, 10_000, 3, 100_000
+#: Rounds of leaders, at most: one that finds no link is the last.
+ROUNDS = 3
+#: Share of the sets in the sample of common shingles, its count of a common shingle, and common shingles at most (8 bytes each).
+SAMPLE, COMMON, MAX_COMMON = 0.2, 3, 1 << 20
 BITMAP = 1 << 24
 
 
@@ -71,14 +71,12 @@ def _marked(text: str):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            code, least = np.zeros(len(batch), np.uint64), np.zeros((len(batch), len(ORDERS)), np.uint64)
+            code, print_ = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
             for i, data in enumerate(text_bytes(batch.column(text))):
                 found = shingles(data)
                 code[i] = xxh64_intdigest(found.tobytes())
-                if len(found):
-                    least[i] = [(_mix(found ^ np.uint64(k))).min() for k in ORDERS]
-            lists = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * len(ORDERS), least.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64)), lists], names=[*batch.schema.names, "code", "least_hashes"])
+                print_[i] = simhash.majority(simhash.bit_counts(found), len(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64)), pa.array(print_.view(np.int64))], names=[*batch.schema.names, "code", "print"])
 
     return run
 
@@ -86,11 +84,14 @@ def _marked(text: str):
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
+        found = []
         for code, data in zip(batch.column("code").to_pylist(), text_bytes(batch.column("text"))):
             if code not in seen:
                 if len(seen) < 1 << 17:
                     seen.add(code)
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(data).view(np.int64))], names=["token"])
+                found.append(shingles(data))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
 
 def _prefixes(common: np.ndarray):
@@ -114,8 +115,7 @@ def _prefixes(common: np.ndarray):
                 out.append((first, np.full(n, code, np.int64), np.full(n, len(found), np.int32)))
             if out:
                 token, code, n = map(np.concatenate, zip(*out))
-                # Half of the hash parts the tokens as well: two that meet only make candidates.
-                yield pa.RecordBatch.from_arrays([pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(code), pa.array(n)], names=["token", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(code), pa.array(n)], names=["token", "code", "n"])
 
     return run
 
@@ -155,43 +155,75 @@ def confirmed(pairs: DataFrame, marked: DataFrame, codes: DataFrame) -> DataFram
     return pairs.join(_sets_of(pairs, "a", marked, codes), "a").join(_sets_of(pairs, "b", marked, codes), "b").where(alike).select("a", "b").distinct()
 
 
-def stars(marked: DataFrame) -> DataFrame:
-    """(a, b): each set with the least code of those that share a MinHash value of it, where MIN_AGREE values name that one."""
-    each = materialize(marked.select("code", "least_hashes").dropDuplicates(["code"]).select("code", F.posexplode("least_hashes").alias("k", "least")), "minhashes")
-    lead = each.groupBy("k", "least").agg(F.min("code").alias("a"), F.max("code").alias("most")).where("a <> most").drop("most")
-    return each.join(lead, ["k", "least"]).where("a <> code").groupBy("a", F.col("code").alias("b")).count().where(F.col("count") >= MIN_AGREE).select("a", "b")
+def printed(codes: DataFrame) -> DataFrame:
+    """(a, b): spanning pairs of sets whose fingerprints link, and of sets of one fingerprint."""
+    prints = materialize(codes.groupBy("print").agg(F.min("code").alias("rep")), "prints")
+    rep = lambda c: prints.select(F.col("print").alias(c), F.col("rep").alias(f"{c}_rep"))
+    near = simhash.links(prints.select(F.col("print").alias("code"))).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return codes.join(prints, "print").where("rep <> code").select(F.col("rep").alias("a"), F.col("code").alias("b")).unionByName(near)
 
 
-def common_shingles(marked: DataFrame, codes: DataFrame) -> np.ndarray:
-    n = codes.count()
-    share = min(1.0, max(SAMPLE, MIN_SAMPLE / max(n, 1)))
-    some = marked.where(F.pmod(F.xxhash64(F.lit("common"), "code"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+def common_shingles(marked: DataFrame) -> np.ndarray:
+    some = marked.where(F.pmod(F.xxhash64(F.lit("common"), "code"), F.lit(1000)) < int(SAMPLE * 1000))
     counted = map_arrow(some.select("code", "text"), _flat, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
     top = counted.orderBy(F.desc("count"), "token").limit(MAX_COMMON).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
-def rest(marked: DataFrame, codes: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b): sets of different groups whose prefixes share enough shingles for their sizes."""
-    tokens = map_arrow(marked.select("code", "text"), _prefixes(common_shingles(marked, codes)), "token int, code bigint, n int")
+def shared_tokens(marked: DataFrame) -> DataFrame:
+    """(token, code, n): the prefix shingles that at least two sets have."""
+    tokens = map_arrow(marked.select("code", "text"), _prefixes(common_shingles(marked)), "token bigint, code bigint, n int")
+    same = Window.partitionBy("token")
+    return tokens.withColumn("lo", F.min("code").over(same)).withColumn("hi", F.max("code").over(same)).where("lo <> hi").select("token", "code", "n").distinct()
+
+
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(token, code, n, label): the shingles that sets of at least two groups have."""
+    known = shared.join(label.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
     same = Window.partitionBy("token")
-    shared = tokens.withColumn("lo", F.min("code").over(same)).withColumn("hi", F.max("code").over(same)).where("lo <> hi").drop("lo", "hi")
-    shared = shared.join(label.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
-    shared = materialize(shared.distinct(), "shared")
-    side = lambda c: shared.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "label")))
+    return materialize(known.withColumn("lo", F.min("label").over(same)).withColumn("hi", F.max("label").over(same)).where("lo <> hi").select("token", "code", "n", "label"), "open")
+
+
+def _allowed(a_n: Column, b_n: Column) -> Column:
+    return ALIKE[1] * F.least(a_n, b_n) >= ALIKE[0] * F.greatest(a_n, b_n)
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """The rows of ``met`` (a, b, c, a_n, b_n) whose ``c`` shared prefix shingles allow a link."""
     a_n, b_n = F.col("a_n"), F.col("b_n")
-    fit = (F.col("a_code") < F.col("b_code")) & (F.col("a_label") != F.col("b_label")) & (ALIKE[1] * F.least(a_n, b_n) >= ALIKE[0] * F.greatest(a_n, b_n))
-    met = side("a").hint("merge").join(side("b"), "token").where(fit).groupBy(F.col("a_code").alias("a"), F.col("b_code").alias("b")).agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
     # The prefix that ends first in the order has nothing more in common than what was met and its own set's rest.
     after = F.ceil(ALIKE[0] * F.greatest(a_n, b_n) / ALIKE[1]) - 1
-    return met.where((ALIKE[0] + ALIKE[1]) * (F.col("c") + after) >= ALIKE[0] * (a_n + b_n)).select("a", "b")
+    return met.where((ALIKE[0] + ALIKE[1]) * (F.col("c") + after) >= ALIKE[0] * (a_n + b_n))
+
+
+def led(live: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set b with that leader a of its shingles which shares most of them; a shingle's leader is random."""
+    lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "code").alias("h"), "code", "n", "label")).alias("l"))
+    met = live.join(lead, "token").where((F.col("label") != F.col("l.label")) & _allowed(F.col("n"), F.col("l.n")))
+    met = met.groupBy(F.col("l.code").alias("a"), F.col("code").alias("b")).agg(F.count("*").alias("c"), F.max("l.n").alias("a_n"), F.max("n").alias("b_n"))
+    return _enough(met).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+
+
+def pairs_left(live: DataFrame) -> DataFrame:
+    """(a, b): all sets of different groups whose prefixes share enough shingles for their sizes."""
+    side = lambda c: live.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "label")))
+    fit = (F.col("a_code") < F.col("b_code")) & (F.col("a_label") != F.col("b_label")) & _allowed(F.col("a_n"), F.col("b_n"))
+    met = side("a").hint("merge").join(side("b"), "token").where(fit).groupBy(F.col("a_code").alias("a"), F.col("b_code").alias("b"))
+    return _enough(met.agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))).select("a", "b")
 
 
-def links(marked: DataFrame, codes: DataFrame) -> DataFrame:
+def links(marked: DataFrame, codes: DataFrame, by_print: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): edges between sets that are alike, enough of them to connect every component."""
-    near = materialize(confirmed(stars(marked), marked, codes), "star-links")
-    label = components(near)
-    return near.unionByName(confirmed(rest(marked, codes, label), marked, codes))
+    found = [materialize(confirmed(printed(codes) if by_print else codes.select(F.col("code").alias("a"), F.col("code").alias("b")).where("false"), marked, codes), "links")]
+    shared = materialize(shared_tokens(marked), "shared")
+    every = lambda: reduce(DataFrame.unionByName, found)
+    live = _open(shared, simhash.components(every()))
+    for turn in range(rounds):
+        found.append(materialize(confirmed(led(live, turn), marked, codes), "links"))
+        if found[-1].isEmpty():
+            break
+        live = _open(shared, simhash.components(every()))
+    return every().unionByName(confirmed(pairs_left(live), marked, codes))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,13 +232,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     slim = docs.toDF(*(f"c{k}" for k in range(len(columns))))
     id_at, text_at = f"c{columns.index(doc_id)}", f"c{columns.index(text)}"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
-    marked = map_arrow(slim, _marked(text_at), f"{schema}, code bigint, least_hashes array<bigint>")
+    marked = map_arrow(slim, _marked(text_at), f"{schema}, code bigint, print bigint")
     marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     first = F.struct(F.col(id_at).isNull().alias("n"), F.col(id_at).alias("i"), F.col("row").alias("r"))
-    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least")), "codes")
-    label = components(links(marked.select("row", "code", "least_hashes", F.col(text_at).alias("text")), codes)).withColumnRenamed("node", "code")
+    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least"), F.min("print").alias("print")), "codes")
+    label = simhash.components(links(marked.select("row", "code", F.col(text_at).alias("text")), codes)).withColumnRenamed("node", "code")
     linked = codes.join(label, "code").groupBy("label").agg(F.min("least").alias("least"))
     alone = codes.join(label, "code", "left_anti")
     rows = materialize(linked.select("least.r").unionByName(alone.select("least.r")), "kept-rows")
     # Merged at every size: the kept rows grow with the input, so they are never broadcast.
-    return marked.join(rows.hint("merge"), F.col("row") == F.col("r"), "left_semi").drop("code", "row", "least_hashes").toDF(*columns)
+    return marked.join(rows.hint("merge"), F.col("row") == F.col("r"), "left_semi").drop("code", "row", "print").toDF(*columns)

@@ -54,13 +54,23 @@ def _add(words: list[bytes], total: np.ndarray, whole: bool) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
     hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    # Bit j of byte i counts at place 8 i + j.
-    for k in range(0, len(hashes), 1 << 15):
-        bits = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+    total += bit_counts(hashes)
     return len(hashes)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set; bit j of byte i counts at place 8 i + j."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        total += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return total
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The fingerprint: bits set in over half of n hashes."""
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
+
+
 def fingerprint(data: bytes | None) -> int:
     if not data:
         return 0
@@ -71,9 +81,7 @@ def fingerprint(data: bytes | None) -> int:
         carry = words[-(SHINGLE - 1) :]
     if not n:
         n = _add(carry, total, whole=True)
-    if not n:
-        return 0
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(total, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,9 +68,10 @@ def test_prefixes_alone_find_every_link(spark):
 
     rows = planted()
     docs = spark.createDataFrame(rows, SCHEMA).select("text")
-    marked = materialize(nearcopy.map_arrow(docs, nearcopy._marked("text"), "text string, code bigint, least_hashes array<bigint>").withColumn("row", F.monotonically_increasing_id()), "marked")
-    codes = marked.groupBy("code").agg(F.struct(F.min("row").alias("r")).alias("least"))
-    none = spark.createDataFrame([], "node bigint, label bigint")
-    got = {(r.a, r.b) for r in nearcopy.confirmed(nearcopy.rest(marked, codes, none), marked, codes).collect()}
+    marked = materialize(nearcopy.map_arrow(docs, nearcopy._marked("text"), "text string, code bigint, print bigint").withColumn("row", F.monotonically_increasing_id()), "marked")
+    codes = marked.groupBy("code").agg(F.struct(F.min("row").alias("r")).alias("least"), F.min("print").alias("print"))
+    got = {(r.a, r.b) for r in nearcopy.links(marked, codes, by_print=False, rounds=0).collect()}
     sets = {r.code: shingles(r.text) for r in marked.collect()}
     assert got == {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])} and len(got) > 100
+    by_print = {tuple(sorted((r.a, r.b))) for r in nearcopy.confirmed(nearcopy.printed(codes), marked, codes).collect()}
+    assert by_print and by_print < got
