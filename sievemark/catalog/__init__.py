@@ -1,6 +1,7 @@
 """Registered queries of the audit engine and their SQL twins, by subject."""
 
-from . import pages, sites, state, texts
+from . import branches, pages, sites, state, texts
 
-QUERIES = pages.QUERIES | texts.QUERIES | sites.QUERIES | state.QUERIES
-ORACLES = pages.ORACLES | texts.ORACLES | sites.ORACLES | state.ORACLES
+_PARTS = (pages, texts, sites, state, branches)
+QUERIES = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES = {k: q for part in _PARTS for k, q in part.ORACLES.items()}

@@ -10,6 +10,7 @@ from .. import lexicons as L
 from ..operators import consolidate, crawl, facts, offers, profile, rules
 from ..plans import siteaudit
 from ..sources import html
+from . import branches
 from .pages import PAGE_SCHEMA, all_pages
 from .pages import crawl as crawled
 from .texts import _HOST
@@ -246,13 +247,14 @@ _RES = V(RESULT_ROWS, RESULT_SCHEMA)
 _ISSUES = f"""i0 AS (SELECT r.site_id, r.ord, r.rule_id, impact, row_number() OVER (PARTITION BY site_id, title ORDER BY r.ord) AS n FROM {_RES} r JOIN {_REG} g USING (rule_id) WHERE status IN ('fail', 'partial')),
 i AS (SELECT site_id, rule_id, impact, printf('issue-%03d', row_number() OVER (PARTITION BY site_id ORDER BY ord)) AS issue_id FROM i0 WHERE n = 1)"""
 _O = V(fixtures.OFFERS, OFFER_SCHEMA)
-#: A crawled site has plain pages only, so its results follow from the number of its pages.
-_RULES_SQL = f"""WITH s AS (SELECT {_HOST} AS site_id, count(*) AS n FROM pages GROUP BY 1),
-r AS (SELECT * FROM {V([(k, r, f, p) for k, (r, f, p) in enumerate(L.RULES)], "ord int, rule_id string, family string, points int")}),
-x AS (SELECT site_id, rule_id, family, points, CASE WHEN rule_id IN ('DISC.ACCESS.001', 'DISC.INDEX.003', 'UNDR.CONSISTENCY.007') THEN 'pass' WHEN rule_id = 'DISC.ROBOTS.002' THEN 'partial'
-    WHEN rule_id = 'DISC.LINKS.006' THEN CASE WHEN n >= 3 THEN 'pass' ELSE 'partial' END ELSE 'fail' END AS status,
-  CASE WHEN rule_id IN ('DISC.ACCESS.001', 'DISC.INDEX.003', 'UNDR.CONSISTENCY.007') THEN 1.0 WHEN rule_id = 'DISC.ROBOTS.002' THEN 0.6 WHEN rule_id = 'DISC.LINKS.006' THEN CASE WHEN n >= 3 THEN 1.0 ELSE 0.4 END ELSE 0.0 END AS ratio
-  FROM s, r)"""
+#: Signals of crawled sites, counted in their HTML. Their invented prose names no commercial fact; structured data would show as JSON-LD.
+_CRAWLED = f"""(SELECT site_id, count(*)::INT AS n_pages, count(*) FILTER (words)::INT AS n_good, count(*) FILTER (words)::INT AS n_text, count(*) FILTER (words AND noindex)::INT AS n_noindex,
+    count(*) FILTER (words AND canonical = site_id)::INT AS n_canonical, count(*) FILTER (words AND titled AND described)::INT AS n_described, 0 AS n_blocked, false AS robots_accessible, 0 AS n_sitemaps,
+    'unknown' AS profile, 0 AS n_offers, 0.0 AS mean_understanding, 0.0 AS mean_buyability, NULL::VARCHAR AS closure, {", ".join("CASE WHEN bool_or(ld) THEN 'known' ELSE 'unknown' END AS s_structured_data" if f == "structured_data" else f"'unknown' AS s_{f}" for f in branches.FIELDS)}
+  FROM (SELECT {_HOST} AS site_id, regexp_matches(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)[ >].*?</(script|style|head)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\S') AS words,
+      regexp_matches(html, '(?i)<meta[^>]+noindex') AS noindex, regexp_extract(html, '(?i)<link[^>]+canonical[^>]+href="https?://([^/"]+)', 1) AS canonical,
+      regexp_matches(html, '(?i)<title>[^<]*\\S') AS titled, regexp_matches(html, '(?i)<meta[^>]+name="description"') AS described, contains(html, 'application/ld+json') AS ld FROM pages) GROUP BY 1)"""
+_RULES_SQL = f"WITH {branches.results_sql(_CRAWLED)}"
 
 ORACLES = {
     "html_parse_summary": r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INT AS n_links, len(list_distinct(regexp_extract_all(html, '<h[1-3]>')))::INT AS n_headings,
@@ -304,10 +306,8 @@ SELECT site_id, CASE branch WHEN 1 THEN gp WHEN 2 THEN 'service_with_booking' WH
   round(round_even(CASE branch WHEN 1 THEN least(0.97::DOUBLE, 0.55 + g1s * 0.035::DOUBLE + (g1s - g2s) * 0.015::DOUBLE) WHEN 2 THEN 0.88 WHEN 3 THEN 0.88 WHEN 4 THEN 0.25
     WHEN 5 THEN least(0.55::DOUBLE, 0.30::DOUBLE + f1s / 40.0::DOUBLE) ELSE least(0.97::DOUBLE, 0.42::DOUBLE + f1s * 0.045::DOUBLE + (f1s - f2s) * 0.02::DOUBLE) END::DOUBLE, 2), 2)::DOUBLE AS confidence
 FROM y""",
-    "rule_results": _RULES_SQL + " SELECT site_id, rule_id, status, round(points * ratio, 2)::DOUBLE AS points_awarded, points AS points_possible FROM x",
-    "site_scores": _RULES_SQL + """, y AS (SELECT site_id, family, round_even(100 * sum(points * ratio) / sum(points), 0)::INT AS s FROM x GROUP BY 1, 2),
-z AS (SELECT site_id, max(s) FILTER (family = 'ai_discoverability') AS ai_discoverability, max(s) FILTER (family = 'understanding') AS understanding, max(s) FILTER (family = 'buyability') AS buyability FROM y GROUP BY 1)
-SELECT *, round_even(round(0.30 * ai_discoverability + 0.35 * understanding + 0.35 * buyability, 9), 0)::INT AS ai_readiness FROM z""",
+    "rule_results": _RULES_SQL + " SELECT site_id, rule_id, status, points_awarded::DOUBLE AS points_awarded, points_possible FROM results",
+    "site_scores": f"{_RULES_SQL}, {branches.SCORES_SQL}",
     "coverage_confidence": f"""WITH a AS (SELECT *, greatest(pages_analyzed, pages_discovered) AS d, greatest(offers_detected, offers_kept) AS o, offers_detected > offers_kept AS cut FROM {V(fixtures.COVERAGE, COVERAGE_SCHEMA)}),
 b AS (SELECT *, round_even(100 * (0.55 * (CASE WHEN page_limit_reached THEN 0.7 ELSE 1 END) * (0.6 + 0.4 * sqrt(CASE WHEN d > 0 THEN least(1.0, pages_analyzed / d) ELSE 0 END))
   + 0.30 * (CASE WHEN cut THEN 0.75 ELSE 1 END) * (0.6 + 0.4 * sqrt(CASE WHEN o > 0 THEN least(1.0, offers_kept / o) ELSE 1 END))
