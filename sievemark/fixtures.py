@@ -139,12 +139,14 @@ def literal(value: Any) -> str:
         return str(value).lower()
     if isinstance(value, (int, float)):
         return repr(value)
+    if isinstance(value, list):
+        return "[" + ", ".join(map(literal, value)) + "]::VARCHAR[]"
     return "'" + str(value).replace("'", "''") + "'"
 
 
 def values(rows: list[tuple], schema: str) -> str:
     """The same rows as a SQL relation with the same column names and types."""
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}
     columns = [c.split() for c in schema.split(",")]
     listed = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     names = ", ".join(f"{n}" for n, _ in columns)

@@ -3,7 +3,6 @@ forms in ``streaming`` give the same results."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 STATUSES = ("complete", "limited", "blocked")
 SUBSCRIPTION_EVENTS = ("customer.subscription.created", "customer.subscription.updated", "customer.subscription.deleted", "invoice.paid", "invoice.payment_failed")
 WELCOME_EVENTS = ("invoice.paid", "customer.subscription.created", "customer.subscription.updated")
-BODY_BYTES, EMAIL_CHARS, URL_CHARS = 8192, 254, 2048
+EMAIL_CHARS, URL_CHARS = 254, 2048
 TOLERANCE_SECONDS, TOKEN_SECONDS = 300, 30 * 24 * 3600
 
 
@@ -81,18 +80,9 @@ def patched(table: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return joined.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in patch.columns and c != key else F.col(c) for c in table.columns))
 
 
-def lead_payload(audits: DataFrame, email: Column) -> DataFrame:
+def lead_payload(audits: DataFrame, email: Column, *keep: str) -> DataFrame:
     """What is stored of an audit when a visitor leaves an address."""
-    return audits.select(F.lower(F.trim(email)).alias("email"), F.trim("url").alias("website_url"), F.col("observed_readiness").alias("readiness_score"), F.col("visibility").alias("visibility_score"), F.col("understanding").alias("understanding_score"), F.col("buyability").alias("buyability_score"), F.col("status").alias("audit_status"))
-
-
-def failure_kind(status: Column) -> Column:
-    return F.when(status == 401, "authentication").when(status == 403, "authorization").when(status.between(400, 499), "validation").otherwise("upstream")
-
-
-def response_code(body: Column, valid: Column) -> Column:
-    """413 for too large a body, 400 for one that isn't JSON or isn't valid, else 201."""
-    return F.when(F.octet_length(body) > BODY_BYTES, 413).when(F.try_parse_json(body).isNull() | ~F.coalesce(valid, F.lit(False)), 400).otherwise(201)
+    return audits.select(*keep, F.lower(F.trim(email)).alias("email"), F.trim("url").alias("website_url"), F.col("observed_readiness").alias("readiness_score"), F.col("visibility").alias("visibility_score"), F.col("understanding").alias("understanding_score"), F.col("buyability").alias("buyability_score"), F.col("status").alias("audit_status"))
 
 
 # -- subscriptions ------------------------------------------------------------------------------------------------------
@@ -144,31 +134,16 @@ def entitlements(tokens: DataFrame, leads: DataFrame, now: int) -> DataFrame:
     return joined.select("lead_id", "website_url", "exp", F.coalesce(ok, F.lit(False)).alias("active"))
 
 
-def token(lead_id: Column, website_url: Column, now: int) -> Column:
-    """Unsigned body of an entitlement token: base64url of its JSON, valid for 30 days."""
-    body = F.to_json(F.struct(lead_id.alias("lead_id"), website_url.alias("website_url"), F.lit(now + TOKEN_SECONDS).alias("exp")))
-    return F.regexp_replace(F.translate(F.regexp_replace(F.base64(F.encode(body, "UTF-8")), r"\s", ""), "+/", "-_"), "=+$", "")
-
-
 def signature_valid(payloads: DataFrame, secret: str, now: int) -> DataFrame:
-    """Adds ``valid``: a fresh HMAC-SHA256 signature ``t=…,v1=…`` of ``t.payload``. There is no native HMAC, so this is a batched UDF."""
-
-    @F.pandas_udf("boolean")
-    def check(payload: pd.Series, signature: pd.Series) -> pd.Series:
-        import hashlib
-        import hmac
-
-        def one(body: str | None, sign: str | None) -> bool:
-            parts = [p.partition("=") for p in (sign or "").split(",")]
-            times = [v for k, _, v in parts if k == "t"]
-            if not secret or not times or not times[0].isdecimal() or abs(now - int(times[0])) > TOLERANCE_SECONDS:
-                return False
-            good = hmac.new(secret.encode(), f"{times[0]}.{body or ''}".encode(), hashlib.sha256).hexdigest()
-            return any(hmac.compare_digest(good, v.lower()) for k, _, v in parts if k == "v1")
-
-        return pd.Series([one(b, s) for b, s in zip(payload, signature)])
+    """Adds ``valid``: a fresh HMAC-SHA256 signature ``t=…,v1=…`` of ``t.payload``; the first time and any of the signatures count. Native."""
+    from .access import hmac_sha256
 
-    return payloads.withColumn("valid", check(F.col("payload"), F.col("signature")))
+    parts = F.split(F.coalesce("signature", F.lit("")), ",")
+    of = lambda k: F.transform(F.filter(parts, lambda p: F.startswith(p, F.lit(f"{k}="))), lambda p: F.substring(p, len(k) + 2, 1 << 16))
+    time = F.get(of("t"), F.lit(0))
+    fresh = time.rlike("^[0-9]{1,18}$") & (F.abs(F.try_to_number(time, F.lit("9" * 18)) - now) <= TOLERANCE_SECONDS)
+    good = F.lower(F.hex(hmac_sha256(secret, F.concat(time, F.lit("."), F.coalesce("payload", F.lit(""))))))
+    return payloads.withColumn("valid", F.coalesce(fresh & F.exists(of("v1"), lambda v: F.lower(v) == good), F.lit(False)) & F.lit(bool(secret)))
 
 
 def welcome_deliveries(events: DataFrame, leads: DataFrame) -> DataFrame:
@@ -219,12 +194,12 @@ def recheck(originals: DataFrame, audits: DataFrame, actions: DataFrame) -> Data
 
     ``audits``: (audit_id, status, acquisition, score_status); ``actions``: that audit's actions (audit_id, title, action_id, category).
     """
-    first = remediation(originals).withColumn("_row", F.monotonically_increasing_id())
+    first = remediation(originals)
     after = remediation(actions).select("audit_id", F.col("meta_action").alias("a"), F.col("meta_category").alias("c"))
-    by_action = first.where("meta_action <> 'unknown'").join(after.select("audit_id", F.col("a").alias("meta_action")).distinct(), ["audit_id", "meta_action"], "left_semi")
-    by_category = first.where("meta_category <> 'unknown'").join(after.select("audit_id", F.col("c").alias("meta_category")).distinct(), ["audit_id", "meta_category"], "left_semi")
-    still = by_action.select("audit_id", "title").unionByName(by_category.select("audit_id", "title")).distinct().withColumn("still", F.lit(True))
-    joined = first.join(still, ["audit_id", "title"], "left").join(audits, "audit_id", "left")
+    # An action is known by what it is in the next audit, not by its title, which may be null or repeat.
+    now = after.groupBy("audit_id").agg(F.collect_set("a").alias("_a"), F.collect_set("c").alias("_c"))
+    known = lambda here, there: (F.col(here) != "unknown") & F.array_contains(there, F.col(here))
+    joined = first.join(now, "audit_id", "left").join(audits, "audit_id", "left").withColumn("still", F.coalesce(known("meta_action", "_a") | known("meta_category", "_c"), F.lit(False)))
     dark = F.col("status").isNull() | (F.col("status") == "error")
     weak = (F.col("acquisition") == "blocked") | (F.col("score_status") == "insufficient_evidence")
     state = F.when(dark, "INSUFFICIENT_EVIDENCE").when(F.col("still"), "STILL_DETECTED").when(weak, "INSUFFICIENT_EVIDENCE").otherwise("RESOLVED")
