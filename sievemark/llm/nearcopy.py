@@ -198,7 +198,7 @@ def _enough(met: DataFrame) -> DataFrame:
 
 def led(live: DataFrame, turn: int) -> DataFrame:
     """(a, b): each set b with that leader a of its shingles which shares most of them; a shingle's leader is random."""
-    lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "code").alias("h"), "code", "n", "label")).alias("l"))
+    lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(f"turn {turn}"), "code").alias("h"), "code", "n", "label")).alias("l"))
     met = live.join(lead, "token").where((F.col("label") != F.col("l.label")) & _allowed(F.col("n"), F.col("l.n")))
     met = met.groupBy(F.col("l.code").alias("a"), F.col("code").alias("b")).agg(F.count("*").alias("c"), F.max("l.n").alias("a_n"), F.max("n").alias("b_n"))
     return _enough(met).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")

@@ -181,11 +181,11 @@ def forest(members: np.ndarray, visitors: np.ndarray, most: int = MAX_BITS) -> t
     return nodes[linked], nodes[root[linked]]
 
 
-def _routed(tree: GrayIndex, most: int):
+def _routed(cuts: np.ndarray, tree: GrayIndex, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("code").to_numpy().view(np.uint64)
-            own = batch.column("block").to_numpy()
+            own = _place(cuts, batch)
             q, leaf = tree.search(codes, most)
             visits = leaf > own[q]
             block = np.concatenate([own, leaf[visits]]).astype(np.int32)
@@ -217,21 +217,24 @@ def links(codes: DataFrame, most: int = MAX_BITS, block_codes: int = BLOCK_CODES
         cuts = np.unique(np.array(cuts, np.int64))
     else:
         cuts = np.array([], np.int64)
-    own = map_arrow(ranked, _own_block(cuts), "code bigint, block int")
-    nodes = own.groupBy("block").agg(F.bit_and("code").alias("ones"), F.bit_or("code").alias("zeros")).collect()  # one row per block
+    nodes = map_arrow(ranked, _own_block(cuts), "code bigint, block int").groupBy("block").agg(F.bit_and("code").alias("ones"), F.bit_or("code").alias("zeros")).collect()  # one row per block
     masks, patterns = np.zeros(len(cuts) + 1, np.uint64), np.zeros(len(cuts) + 1, np.uint64)
     for r in nodes:
         ones, zeros = np.array([r.ones, r.zeros], np.int64).view(np.uint64)
         masks[r.block], patterns[r.block] = ~(ones ^ zeros), ones
-    routed = map_arrow(own, _routed(GrayIndex(masks, patterns), most), "block int, code bigint, member boolean")
+    # The block is looked up again instead of piped through: one Python worker a task, not two.
+    routed = map_arrow(ranked, _routed(cuts, GrayIndex(masks, patterns), most), "block int, code bigint, member boolean")
     return routed.groupBy("block").applyInArrow(_block_forest(most), "a bigint, b bigint")
 
 
+def _place(cuts: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return np.searchsorted(cuts, batch.column("rank").to_numpy(), side="left").astype(np.int32)
+
+
 def _own_block(cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = np.searchsorted(cuts, batch.column("rank").to_numpy(), side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(block)], names=["code", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(_place(cuts, batch))], names=["code", "block"])
 
     return run
 
@@ -249,7 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
     found, turn = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        # A string, as its value isn't part of the generated code, which all rounds then share.
+        key = lambda c: F.struct(F.xxhash64(F.lit(f"turn {turn}"), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         step = both.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least(key("a"), F.col("m"))["v"].alias("to"))
         step = materialize(step, "step")
         to = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: E731, B023
