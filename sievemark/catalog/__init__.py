@@ -1,7 +1,7 @@
 """Registered queries of the audit engine and their SQL twins, by subject."""
 
-from . import access, branches, pages, sites, state, texts
+from . import access, branches, pages, sites, state, texts, web
 
-_PARTS = (pages, texts, sites, state, branches, access)
+_PARTS = (pages, texts, sites, state, branches, access, web)
 QUERIES = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 ORACLES = {k: q for part in _PARTS for k, q in part.ORACLES.items()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import urls
 
@@ -51,12 +52,20 @@ def sitemaps_of(robots_txt: Column, origin: Column) -> Column:
     return F.slice(F.when(F.size(named) > 0, named).otherwise(F.array(F.concat(origin, F.lit("/sitemap.xml")))), 1, SITEMAPS)
 
 
-def _locations(xml: Column, kind: str) -> Column:
-    """Trimmed ``loc`` texts of the direct entries of a kind, in any namespace; none of broken XML."""
-    body = F.regexp_extract_all(xml, F.lit(rf"(?s)<(?:\w+:)?{kind}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{kind}>"), F.lit(1))
-    locs = F.transform(body, lambda b: F.trim(F.regexp_extract(b, r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc>", 1)))
-    whole = xml.rlike(r"(?s)^\s*(?:<\?.*?\?>\s*)?<(?:\w+:)?(urlset|sitemapindex)[\s>].*</(?:\w+:)?(urlset|sitemapindex)>\s*$")
-    return F.when(whole, F.transform(F.filter(locs, lambda x: x != ""), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))).otherwise(F.array().cast("array<string>"))
+@F.pandas_udf(T.StructType().add("is_index", T.BooleanType()).add("pages", T.ArrayType(T.StringType())).add("children", T.ArrayType(T.StringType())))
+def sitemap_entries(bodies: pd.Series) -> pd.DataFrame:
+    """What a sitemap's XML (text or bytes) lists; null if it isn't XML."""
+    from xml.etree import ElementTree
+
+    def one(body) -> tuple:
+        try:
+            root = ElementTree.fromstring(body)
+        except (ElementTree.ParseError, TypeError, ValueError, LookupError):
+            return None, None, None
+        locs = lambda kind: [node.text.strip() for node in root.findall(f".//{{*}}{kind}/{{*}}loc") if node.text]
+        return root.tag.endswith("sitemapindex"), locs("url"), locs("sitemap")
+
+    return pd.DataFrame([one(b) for b in bodies], columns=["is_index", "pages", "children"])
 
 
 def sitemap_pages(start: DataFrame, documents: DataFrame) -> DataFrame:
@@ -64,14 +73,15 @@ def sitemap_pages(start: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``start``: (origin, sitemap); ``documents``: (sitemap, xml).
     """
+    known = documents.select("sitemap", sitemap_entries(F.col("xml")).alias("e")).where("e.is_index is not null")
     level, out = start.select("origin", "sitemap"), None
     for depth in range(SITEMAP_DEPTH + 1):
-        read = level.join(documents, "sitemap")
-        pages = read.select("origin", "sitemap", F.explode(_locations(F.col("xml"), "url")).alias("raw")).where(urls.same_site(F.col("raw"), F.col("origin")))
+        read = level.join(known, "sitemap")
+        goes_on = F.col("e.is_index") & F.lit(depth < SITEMAP_DEPTH)
+        pages = read.where(~goes_on).select("origin", "sitemap", F.explode("e.pages").alias("raw")).where(urls.same_site(F.col("raw"), F.col("origin")))
         pages = pages.select("origin", "sitemap", urls.normalize(F.col("raw")).alias("url"))
         out = pages if out is None else out.unionByName(pages)
-        if depth < SITEMAP_DEPTH:
-            level = read.select("origin", F.explode(F.slice(_locations(F.col("xml"), "sitemap"), 1, CHILDREN)).alias("sitemap")).where(urls.same_site(F.col("sitemap"), F.col("origin")))
+        level = read.where(goes_on).select("origin", F.explode(F.slice("e.children", 1, CHILDREN)).alias("sitemap")).where(urls.same_site(F.col("sitemap"), F.col("origin")))
     return out.distinct()
 
 
@@ -94,17 +104,3 @@ def may_fetch(pages: DataFrame, agent: str, url: str = "url", robots: str = "rob
         return pd.Series(out)
 
     return pages.withColumn("allowed", allowed(F.col(robots), F.col(url)))
-
-
-def within_budget(pages: DataFrame, budget: int, site: str = "site_id", order: str = "page_ord") -> DataFrame:
-    """The first pages of each site that may be rendered."""
-    return pages.withColumn("_r", F.row_number().over(Window.partitionBy(site).orderBy(order))).where(F.col("_r") <= budget).drop("_r")
-
-
-def usable_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages to parse, counters per site) of raw responses (site_id, url, status, content_type, body, fetch_error)."""
-    is_html = F.contains(F.lower("content_type"), F.lit("text/html"))
-    failed = F.col("fetch_error").isNotNull()
-    pages = raw.where(is_html | failed).withColumn("html", F.when(is_html, F.decode(F.substring("body", 1, 5_000_000), "UTF-8")))
-    counts = raw.groupBy("site_id").agg(F.count_if(is_html | failed).alias("n_pages"), F.count_if(~is_html & ~failed).alias("non_html_skipped"), F.count_if(failed).alias("n_failed"))
-    return pages, counts

@@ -6,7 +6,8 @@ final URL) will do, such as one over ``urllib``. Every task reads its own URLs;
 
 from __future__ import annotations
 
-import gzip
+import ipaddress
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,26 +23,125 @@ AGENT = "sievemark/0.1"
 RESPONSE = "url string, final_url string, status int, content_type string, body binary, fetch_error string"
 
 
+#: Bounds of a single page's audit: bytes, seconds, redirects; the statuses that mean a page is kept away.
+PAGE_BYTES, PAGE_TIMEOUT, REDIRECTS, BLOCKED = 750_000, 6, 3, (401, 403, 429, 451)
+PAGE = "url string, final_url string, status int, html string, blocked boolean, error string"
+
+
+def public(url: str) -> bool:
+    """Whether a fetcher may go to a URL; the same test as ``urls.safe_public``, for where there is no column. Names aren't resolved here."""
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url)
+        name = (parts.hostname or "").lower()
+    except ValueError:
+        return False
+    if parts.scheme not in ("http", "https") or "@" in parts.netloc or not name or name == "localhost" or name.endswith((".localhost", ".local", ".internal")):
+        return False
+    try:
+        ip = ipaddress.ip_address(name)
+    except ValueError:
+        return True
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return ip.is_global and not ip.is_multicast
+
+
+def unpacked(body: bytes, most: int) -> bytes:
+    """Up to ``most`` bytes of a gzip body; the rest is never unpacked."""
+    return zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(body, most)
+
+
 def fetch_url(url: str, timeout: float = TIMEOUT) -> tuple[int, str, bytes, str]:
     from urllib.request import Request, urlopen
 
     with urlopen(Request(url, headers={"User-Agent": AGENT, "Accept": "text/html,*/*;q=0.1"}), timeout=timeout) as r:
         body = r.read(BODY_BYTES)
-        return r.status, r.headers.get("Content-Type", ""), gzip.decompress(body) if r.headers.get("Content-Encoding", "").lower() == "gzip" else body, r.geturl()
+        return r.status, r.headers.get("Content-Type", ""), unpacked(body, BODY_BYTES) if r.headers.get("Content-Encoding", "").lower() == "gzip" else body, r.geturl()
 
 
 def response_row(url: str, fetch: Fetch) -> tuple:
+    import http.client
     from urllib.error import HTTPError
 
+    if not public(url):
+        return url, url, 0, "", None, "UnsafeURL: not a public http(s) URL"
     try:
         status, kind, body, final = fetch(url)
+        if not public(final):
+            return url, final, 0, "", None, "UnsafeURL: redirected to a URL that isn't public"
         return url, final, status, kind, bytes(body[:BODY_BYTES]), None
     except HTTPError as e:
         return url, url, e.code, "", None, str(e)
-    except (OSError, ValueError) as e:
+    except (OSError, ValueError, EOFError, zlib.error, http.client.HTTPException) as e:
         return url, url, 0, "", None, f"{type(e).__name__}: {e}"
 
 
+def open_url(url: str, timeout: float = PAGE_TIMEOUT) -> tuple[int, dict, bytes]:
+    """(status, headers, body) of one request; redirects aren't followed, and one byte more than a page may have is read."""
+    import http.client
+    from urllib.parse import urlsplit
+
+    parts = urlsplit(url)
+    kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+    c = kind(parts.netloc, timeout=timeout)
+    try:
+        c.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": AGENT, "Accept": "text/html,application/xhtml+xml"})
+        r = c.getresponse()
+        return r.status, dict(r.headers), r.read(PAGE_BYTES + 1)
+    finally:
+        c.close()
+
+
+def bounded_row(url: str, opener: Callable[[str], tuple[int, dict, bytes]] = open_url) -> dict:
+    """One page within bounds: each redirect is tested anew, a refusing status is a blocked page, all else that is no HTML page an error code."""
+    import http.client
+    from urllib.parse import urljoin
+
+    out = {"url": url, "final_url": url, "status": None, "html": None, "blocked": False, "error": None}
+    at = url
+    for hop in range(REDIRECTS + 1):
+        if not public(at):
+            return out | {"error": "unsafe_url"}
+        try:
+            status, headers, body = opener(at)
+        except TimeoutError:
+            return out | {"error": "timeout"}
+        except (OSError, ValueError, EOFError, http.client.HTTPException):
+            return out | {"error": "unreachable"}
+        headers = {k.lower(): v for k, v in headers.items()}
+        out |= {"final_url": at, "status": status}
+        if status in (301, 302, 303, 307, 308):
+            if not headers.get("location"):
+                return out | {"error": "bad_redirect"}
+            at = urljoin(at, headers["location"])
+            continue
+        if status in BLOCKED:
+            return out | {"html": "", "blocked": True}
+        if not 200 <= status <= 299:
+            return out | {"error": "http_error"}
+        if not any(t in headers.get("content-type", "").lower() for t in ("text/html", "application/xhtml+xml")):
+            return out | {"error": "not_html"}
+        if len(body) > PAGE_BYTES or int(headers.get("content-length") or 0) > PAGE_BYTES:
+            return out | {"error": "too_large"}
+        return out | {"html": body.decode("utf-8", "replace")}
+    return out | {"error": "too_many_redirects"}
+
+
+def bounded_pages(urls: DataFrame, opener: Callable[[str], tuple[int, dict, bytes]] = open_url) -> DataFrame:
+    """``bounded_row`` of each URL of a table, where the rows are."""
+    import pyarrow as pa
+
+    kinds = pa.schema([("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("html", pa.string()), ("blocked", pa.bool_()), ("error", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([bounded_row(u, opener) for u in b.column("url").to_pylist()], kinds)
+
+    ship(urls.sparkSession)
+    return urls.select("url").mapInArrow(run, PAGE)
+
+
 class Urls(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
