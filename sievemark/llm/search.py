@@ -29,6 +29,7 @@ ties in score go to the smaller ``doc_id``, null ids last; an empty table gives
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,8 +50,8 @@ DENSE = 8
 #: Words of queries that a task holds at once, about.
 QUERY_WORDS = 4_000_000
 DECIMALS = 6
-#: So many documents of so many distinct words are scored before all lists are opened; documents scored at once.
-FEW, FEW_WORDS, AT_ONCE = 32, 4096, 256
+#: So many documents are scored before all lists are opened.
+FEW = 16
 
 #: Arrays of a shard file, in their order.
 PARTS = ("ids", "no_id", "asks", "lengths", "words", "df", "place", "tf", "starts", "rows", "row_tf")
@@ -61,9 +62,7 @@ def _counted(data: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
     from xxhash import xxh64_intdigest
 
     words = words_of(data)
-    tf: dict[bytes, int] = {}
-    for w in words:
-        tf[w] = tf.get(w, 0) + 1
+    tf = Counter(words)
     keys = np.fromiter(map(xxh64_intdigest, tf), np.uint64, len(tf))
     order = np.argsort(keys)
     return keys[order], np.fromiter(tf.values(), np.uint32, len(tf))[order], len(words)
@@ -104,7 +103,7 @@ class Shard:
         df, place, tf = parts["df"].astype(np.int64), parts["place"], parts["tf"]
         # Bounds are rounded up to 32 bits.
         self.impact = np.nextafter((tf * (K1 + 1) / (tf + self.norm[place])).astype(np.float32), np.float32(np.inf))
-        self.place = place
+        self.place = place.astype(np.int64)
         self.last = np.cumsum(df)
         self.first = self.last - df
         self.most = np.maximum.reduceat(self.impact, self.first) if len(df) else np.array([], np.float32)
@@ -126,7 +125,6 @@ class Shard:
         of_dense, owner = _ranges(self.first[dense], self.last[dense])
         self.out = np.zeros((int(dense.sum()), self.n_blocks, BLOCK), np.float32)
         self.out.reshape(len(self.out), -1)[owner, place[of_dense]] = self.impact[of_dense]
-        self.weight = np.zeros(len(df))
 
     def rows_of(self, terms: np.ndarray) -> np.ndarray:
         """Row of each of some ascending hashes, -1 for those that the shard doesn't hold."""
@@ -137,18 +135,24 @@ class Shard:
         return np.where(self.words[k] == terms, k, -1)
 
     def _given(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        posts, owner = _ranges(first, last)
-        return np.bincount(self.place[posts], self.impact[posts] * weights[owner], self.n).astype(np.float64, copy=False)
-
-    def scores(self, places: np.ndarray) -> np.ndarray:
-        """Whole scores by ``weight``; a document's words are added in their order, so equal documents score alike everywhere."""
-        posts, owner = _ranges(self.starts[places], self.starts[places + 1])
-        tf = self.row_tf[posts]
-        each = self.weight[self.rows[posts]] * (tf * (K1 + 1) / (tf + self.norm[places][owner]))
-        return np.round(np.bincount(owner, each, len(places)), DECIMALS)
+        size = last - first
+        posts = np.repeat(first - np.cumsum(size) + size, size)
+        posts += np.arange(len(posts))
+        return np.bincount(self.place[posts], self.impact[posts] * np.repeat(weights, size), self.n).astype(np.float64, copy=False)
+
+    def score(self, place: int, rows: np.ndarray, weights: np.ndarray) -> float:
+        """Whole score of a document; words are added in the order of their hashes, so equal documents score alike everywhere."""
+        a, b = self.starts[place], self.starts[place + 1]
+        own = self.rows[a:b]
+        k = np.searchsorted(own, rows)
+        k[k == b - a] = 0
+        both = np.flatnonzero(own[k] == rows)
+        tf = self.row_tf[a:b][k[both]]
+        return round(float(np.cumsum(weights[both] * (tf * (K1 + 1) / (tf + self.norm[place])))[-1]), DECIMALS) if len(both) else 0.0
 
     def search(self, rows: np.ndarray, weights: np.ndarray, best: "Best") -> None:
-        """Takes the shard's documents that belong there into ``best``."""
+        """Takes the shard's documents that belong there into ``best``; ``rows`` ascend."""
+        exact, weights = weights, weights.astype(np.float32)
         bound = weights * self.most[rows]
         order = np.argsort(bound)
         total = np.cumsum(bound[order])
@@ -169,20 +173,19 @@ class Shard:
                 given += self._opened(rows[ahead], weights[ahead], blocks)
             bounds = given + np.repeat(behind, BLOCK)[: self.n]
             places = np.flatnonzero((bounds >= best.least) & (given > 0))
-            if not len(rest) or (len(places) <= FEW and (self.starts[places + 1] - self.starts[places]).sum() <= FEW_WORDS):
+            if not len(rest) or len(places) <= FEW:
                 break
             ahead, rest = rest, rest[:0]
         if not len(places):
             return
-        self.weight[rows] = weights
-        if len(places) > best.top:
-            first = np.argpartition(-bounds[places], best.top)
-            self._take(places[first[: best.top]], best)
-            places = places[first[best.top :]]
-            places = places[bounds[places] >= best.least]
-        for k in range(0, len(places), AT_ONCE):
-            self._take(places[k : k + AT_ONCE], best)
-        self.weight[rows] = 0
+        # Those of the largest bounds first, as they raise the floor.
+        places = places[np.argsort(-bounds[places])]
+        for k in range(0, len(places), best.top):
+            some = places[k : k + best.top]
+            some = some[bounds[some] >= best.least]
+            if not len(some):
+                return
+            best.take(np.array([self.score(p, rows, exact) for p in some.tolist()]), self.ids[some], self.no_id[some])
 
     def _blocks(self, given: np.ndarray, more: np.ndarray, least: float) -> np.ndarray:
         """Blocks in which some document may reach ``least``."""
@@ -194,7 +197,7 @@ class Shard:
         """What long lists give to the documents of some blocks."""
         out = self.dense[rows]
         whole, listed = out >= 0, out < 0
-        rows, out, ahead, weights = rows[listed], out[whole], weights[whole].astype(np.float32), weights[listed]
+        rows, out, ahead, weights = rows[listed], out[whole], weights[whole], weights[listed]
         base = self.first[rows]
         if 2 * len(blocks) > self.n_blocks:
             given = self._given(base, self.last[rows], weights)
@@ -208,9 +211,6 @@ class Shard:
             given[blocks] = (ahead @ self.out[out[:, None], blocks].reshape(len(out), -1)).reshape(len(blocks), BLOCK)
         return given.ravel()[: self.n] + self._given((base[:, None] + first).ravel(), (base[:, None] + last).ravel(), np.repeat(weights, len(blocks)))
 
-    def _take(self, places: np.ndarray, best: "Best") -> None:
-        best.take(self.scores(places), self.ids[places], self.no_id[places])
-
 
 @dataclass
 class Best:
@@ -318,7 +318,7 @@ def _searcher(folder: str, manifest: str, n_docs: int, mean: float, top: int):
         df = np.empty(len(terms))
         df[place] = np.concatenate([d for _, _, d in queries])
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        words = np.split(place, np.cumsum([len(w) for _, w, _ in queries])[:-1])
+        words = [np.sort(w) for w in np.split(place, np.cumsum([len(w) for _, w, _ in queries])[:-1])]
         best = [Best(top) for _ in queries]
         # Tasks begin at different shards, so that not all read the same file at once.
         for k in range(len(files)):
