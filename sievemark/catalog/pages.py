@@ -51,7 +51,7 @@ def page_actions_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pageaudit.inspect(all_pages(spark, sf_dir))
-    return out.select("page_id", F.explode("capabilities").alias("capability", "state")).groupBy("capability", "state").agg(F.count("*").alias("n_pages"))
+    return out.select("page_id", F.explode_outer("capabilities").alias("capability", "state")).groupBy("capability", "state").agg(F.count("*").alias("n_pages"))
 
 
 def page_next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,11 +99,11 @@ def phrase_hits_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emails_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
+    return text.exploded(_documents(spark, sf_dir), "doc_id", email=text.emails(F.col("text")))
 
 
 def phones_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.explode(text.phones(F.col("text"))).alias("phone"))
+    return text.exploded(_documents(spark, sf_dir), "doc_id", phone=text.phones(F.col("text")))
 
 
 def price_number(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,9 @@ def number(raw: Column) -> Column:
 
 def prices(text: Column) -> Column:
     """Array of (display, currency, minimum, maximum, qualifier, frequency) of each price; the currency after it is required."""
-    group = lambda k: F.regexp_extract_all(text, F.lit(PRICE), F.lit(k))
+    # The text is searched once; the groups come from each price found.
+    found = F.regexp_extract_all(text, F.lit(PRICE), F.lit(0))
+    groups = lambda whole: F.struct(whole.alias("0"), *(F.regexp_extract(whole, f"(?s)^(?:{PRICE})$", k).alias(str(k)) for k in range(1, 7)))
 
     def one(p: Column) -> Column:
         raw = F.upper(F.when(p["2"] != "", p["2"]).otherwise(p["5"]))
@@ -50,8 +52,7 @@ def prices(text: Column) -> Column:
             F.when(frequency == "", F.lit(None)).when(monthly, "monthly").otherwise("yearly").alias("frequency"),
         )
 
-    zipped = F.arrays_zip(*(group(k).alias(str(k)) for k in range(7)))
-    return F.transform(zipped, one)
+    return F.transform(F.transform(found, groups), one)
 
 
 def page_prices(text: Column) -> Column:

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lexicons import LEGAL_CONTEXT
@@ -43,6 +43,16 @@ def plain(phrase: str) -> str:
     return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in folded).split())
 
 
+def exploded(df: DataFrame, *keep: Column | str, **arrays: Column) -> DataFrame:
+    """The columns ``keep`` and a row for each element of an array, under its name.
+
+    A plain explode lets the optimizer put a filter on the array's size below it, and below the projections that made the array, which
+    computes all of them twice; the outer form with a filter above doesn't.
+    """
+    ((name, array),) = arrays.items()
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def padded(norm: Column) -> Column:
     return F.concat(F.lit(" "), norm, F.lit(" "))
 
@@ -96,10 +106,16 @@ def _windows(pad: Column, phrase: Column) -> Column:
 
 
 def _with_marks(parts: Column, narrow, phrase: Column) -> Column:
+    # Every part but the last adds a mark of three characters at least, so NEAR parts on a side, and NEAR * 6 characters of each, hold CONTEXT characters.
+    near = CONTEXT // 3 + 2
+    back = lambda c: F.replace(c, F.lit(_MARK), F.concat(F.lit(" "), phrase, F.lit(" ")))
+
     def one(k: Column) -> Column:
-        left = F.substring(narrow(F.concat(F.array_join(F.slice(parts, F.lit(1), k), _MARK), F.lit(" "))), 2, 1 << 30)
-        right = narrow(F.concat(F.lit(" "), F.array_join(F.slice(parts, k + 1, F.size(parts)), _MARK)))
-        back = lambda c: F.replace(c, F.lit(_MARK), F.concat(F.lit(" "), phrase, F.lit(" ")))
+        first = F.greatest(F.lit(1), k - near + 1)
+        before = F.transform(F.slice(parts, first, k - first + 1), lambda p: F.right(p, F.lit(near * 6)))
+        after = F.transform(F.slice(parts, k + 1, F.lit(near)), lambda p: F.left(p, F.lit(near * 6)))
+        left = F.substring(narrow(F.concat(F.array_join(before, _MARK), F.lit(" "))), F.when(first == 1, 2).otherwise(1), F.lit(1 << 30))
+        right = narrow(F.concat(F.lit(" "), F.array_join(after, _MARK)))
         return F.concat(F.lit(" "), F.right(back(left), F.lit(CONTEXT)), phrase, F.left(back(right), F.lit(CONTEXT)), F.lit(" "))
 
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)

@@ -6,6 +6,10 @@ capability that wasn't seen is insufficiently evidenced, and scores that can't b
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache, reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +25,25 @@ CAPABILITIES = ("identity", "offer", "pricing", "conversion", "availability", "p
 CONTACT_LINK = "(?i)mailto:|tel:|wa\\.me|whatsapp"
 
 
-def worded(text: Column, words: str) -> Column:
-    """Whether one of the alternatives stands between ASCII word edges."""
-    return text.rlike(f"(?iu){_EDGE}(?:{words}){_EDGE}")
+@lru_cache(maxsize=None)
+def _literals(words: str) -> tuple[str, ...]:
+    """The strings that a list of alternatives stands for; its classes have single characters."""
+    out: list[str] = []
+    for one in words.split("|"):
+        options = [list(p[1:-1]) if p.startswith("[") else [p] for p in re.split(r"(\[[^\]]*\])", one) if p]
+        out += ["".join(x) for x in product(*options)]
+    return tuple(dict.fromkeys(out))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters whose capital or small form is an ASCII letter as that letter: what the patterns take as equal."""
+    return F.lower(F.translate(text, "ſ\u212aİı", "skii"))
+
+
+def worded(text: Column, words: str, low: Column | None = None) -> Column:
+    """Whether one of the alternatives stands between ASCII word edges. ``low`` is the text folded: the pattern is tried only where that holds one of them."""
+    exact = text.rlike(f"(?iu){_EDGE}(?:{words}){_EDGE}")
+    return exact if low is None else reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in _literals(words))) & exact
 
 
 def decode(value: Column) -> Column:
@@ -85,24 +105,25 @@ def inspect(pages: DataFrame, url: str = "url", html: str = "html", method: str
         _sources(h).alias("sources"),
         F.regexp_count(h, F.lit(r"(?i)<script(?![A-Za-z0-9_])")).alias("n_scripts"),
     )
-    joined = F.array_join("sources", " ")
-    both = F.concat(h, F.lit(" "), F.col("visible"))
+    joined, both, low = F.col("_joined"), F.col("_both"), F.col("_low")
+    seen = seen.select("*", F.array_join("sources", " ").alias("_joined"), F.concat(h, F.lit(" "), F.col("visible")).alias("_both"))
+    seen = seen.select("*", folded(both).alias("_low"), folded(F.col("visible")).alias("_seen"), folded(joined).alias("_asked"))
     seen = seen.select(
         "*",
         F.length("visible").alias("n_visible"),
         page_prices(F.col("visible")).alias("prices"),
         F.slice(F.filter("sources", lambda x: worded(x, L.PAGE_CTA) | x.rlike(CONTACT_LINK)), 1, 8).alias("actions"),
-        worded(joined, L.PAGE_BOOKING).alias("says_booking"),
-        worded(joined, L.PAGE_QUOTE).alias("says_quote"),
-        worded(joined, L.PAGE_PURCHASE).alias("says_purchase"),
-        (worded(joined, L.PAGE_CONTACT) | joined.rlike(CONTACT_LINK)).alias("says_contact"),
+        worded(joined, L.PAGE_BOOKING, F.col("_asked")).alias("says_booking"),
+        worded(joined, L.PAGE_QUOTE, F.col("_asked")).alias("says_quote"),
+        worded(joined, L.PAGE_PURCHASE, F.col("_asked")).alias("says_purchase"),
+        (worded(joined, L.PAGE_CONTACT, F.col("_asked")) | joined.rlike(CONTACT_LINK)).alias("says_contact"),
         F.filter("headings", lambda x: worded(x, L.PAGE_COMMERCIAL)).alias("commercial_headings"),
         F.exists("schemas", lambda x: x.rlike(rf'(?i)"@type"{BLANK}*:{BLANK}*"(?:Product|Service|Offer|Course|Event|LocalBusiness)"')).alias("schema_commerce"),
-        worded(both, L.PAGE_BOT_BLOCK).alias("is_blocked"),
-        worded(both, L.PAGE_JS_REQUIRED).alias("needs_js"),
-        worded(F.col("visible"), L.PAGE_AVAILABILITY).alias("has_availability"),
-        worded(F.col("visible"), L.PAGE_PAYMENT).alias("has_payment"),
-        worded(F.col("visible"), L.PAGE_AREA).alias("has_geography"),
+        worded(both, L.PAGE_BOT_BLOCK, low).alias("is_blocked"),
+        worded(both, L.PAGE_JS_REQUIRED, low).alias("needs_js"),
+        worded(F.col("visible"), L.PAGE_AVAILABILITY, F.col("_seen")).alias("has_availability"),
+        worded(F.col("visible"), L.PAGE_PAYMENT, F.col("_seen")).alias("has_payment"),
+        worded(F.col("visible"), L.PAGE_AREA, F.col("_seen")).alias("has_geography"),
         ((F.col("canonical") != "") & (_resolved_host(F.col("canonical"), F.col(url)) == urls.host(F.col(url)))).alias("same_host_canonical"),
     )
     thin, shell = F.col("n_visible") < 180, (F.col("n_visible") < 500) & (F.col("n_scripts") >= 5)
