@@ -200,14 +200,37 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def report_html(scores: DataFrame, issues: DataFrame) -> DataFrame:
-    """(site_id, html): one small page per site, all values escaped; text stays in the JVM."""
-    item = F.concat(F.lit("<li><b>"), escaped(F.col("priority")), F.lit("</b> "), escaped(F.col("title")), F.lit(" ("), F.col("impact").cast("string"), F.lit(")</li>"))
-    listed = issues.select("site_id", F.struct((-F.col("impact")).alias("m"), "rule_id", item.alias("x")).alias("i")).groupBy("site_id").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    cell = lambda c: F.concat(F.lit(f"<p>{c}: "), F.col(c).cast("string"), F.lit("</p>"))
-    joined = scores.join(listed, "site_id", "left")
-    items: Column = F.coalesce(F.array_join(F.transform("i", lambda x: x["x"]), ""), F.lit("<li>-</li>"))
-    html = F.concat(F.lit("<!doctype html><html><body><h1>"), escaped(F.col("site_id")), F.lit("</h1>"), *(cell(c) for c in ("ai_readiness", "ai_discoverability", "understanding", "buyability")), F.lit("<ul>"), items, F.lit("</ul></body></html>"))
+#: Proofs of one fact in a report at most.
+PROOFS = 8
+
+
+def _rows(df: DataFrame, order: list[Column], *cells: Column) -> DataFrame:
+    """(site_id, rows): one HTML table row per row of a site, in order; all cells escaped."""
+    row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+    keyed = df.select("site_id", F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), row.alias("x")).alias("i"))
+    return keyed.groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["x"]), "").alias("rows"))
+
+
+def report_html(scores: DataFrame, issues: DataFrame, facts: DataFrame | None = None, offers: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """(site_id, html): a page per site with scores, issues and, where given, facts with proofs, offers and rules. Values are escaped; text stays in the JVM."""
+    proofs = lambda: F.array_join(F.transform(F.slice("evidence", 1, PROOFS), lambda e: F.concat_ws(": ", e["url"], e["excerpt"])), " | ")
+    c = F.col
+    parts: dict[str, tuple[DataFrame, tuple[str, ...]]] = {
+        "Issues": (_rows(issues, [-c("impact"), c("issue_id") if "issue_id" in issues.columns else c("rule_id")], c("priority"), c("title"), c("impact")), ("Priority", "Issue", "Impact")),
+    }
+    if facts is not None:
+        parts["Facts"] = _rows(facts.where("state <> 'unknown'"), [c("field")], c("field"), c("state"), F.array_join("values", ", "), c("confidence"), proofs()), ("Fact", "State", "Values", "Confidence", "Proof")
+    if offers is not None:
+        parts["Offers"] = _rows(offers, [c("rank")], c("name"), c("offer_type"), c("price"), c("availability"), c("cta"), c("url"), proofs()), ("Offer", "Kind", "Price", "Availability", "Next step", "Page", "Proof")
+    if results is not None:
+        parts["Rules"] = _rows(results, [c("ord")], c("rule_id"), c("status"), c("points_awarded"), c("points_possible")), ("Rule", "Status", "Points", "Of")
+    joined, body = scores, []
+    for name, (rows, heads) in parts.items():
+        joined = joined.join(rows.withColumnRenamed("rows", name), "site_id", "left")
+        head = "".join(f"<th>{h}</th>" for h in heads)
+        body += [F.lit(f"<h2>{name}</h2><table><tr>{head}</tr>"), F.coalesce(name, F.lit("")), F.lit("</table>")]
+    card = lambda s: F.concat(F.lit(f"<p>{s}: "), c(s).cast("string"), F.lit("</p>"))
+    html = F.concat(F.lit("<!doctype html><html><body><h1>"), escaped(c("site_id")), F.lit("</h1>"), *map(card, ("ai_readiness", "ai_discoverability", "understanding", "buyability")), *body, F.lit("</body></html>"))
     return joined.select("site_id", html.alias("html"))
 
 

@@ -138,3 +138,17 @@ def test_bounded_fetch():
     want = {"loop": "too_many_redirects", "in": "unsafe_url", "500": "http_error", "pdf": "not_html", "big": "too_large", "no": "bad_redirect"}
     assert {k: get(f"https://a.test/{k}")["error"] for k in want} == want
     assert get("https://localhost/")["error"] == "unsafe_url"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievemark import cli
+
+    get = sitecrawl.stored(made.small_web(spark))
+    assert cli.main(["https://h2.test", "--max-pages", "4", "--max-depth", "1", "--json", str(tmp_path / "j"), "--html", str(tmp_path / "h")], get) == 0
+    page = spark.read.text(str(tmp_path / "h")).first().value
+    assert all(f"<h2>{x}</h2>" in page for x in ("Issues", "Facts", "Offers", "Rules")) and "DISC.LINKS.006" in page
+    row = spark.read.json(str(tmp_path / "j")).first()
+    assert row.site_id == "h2.test" and row.page_limit_reached and row.pages_analyzed == 4 and row.coverage_confidence <= 74
+    assert cli.main([]) == 2 and cli.main(["https://gone.test"], sitecrawl.stored(made.small_web(spark).where("false"))) == 0
+    args = cli.parser().parse_args(["https://a.test"])
+    assert (args.max_pages, args.max_depth, args.timeout) == (40, 3, 12)
