@@ -151,8 +151,9 @@ def _pieces(words: int):
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_nodes: int) -> tuple[int, Iterator[list[Piece]]]:
     """The number of blocks, and the blocks: pieces of items with ``block_nodes`` nodes at most together, brought one at a time."""
     slim = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
-    pieces = materialize(map_arrow(slim, _pieces(max(1, block_nodes // (2 * WINDOW) // PIECE_SHARE)), "item string, text string, nodes bigint"), "benchmark")
-    total = pieces.agg(F.sum("nodes")).first()[0] or 0
+    pieces = materialize(map_arrow(slim, _pieces(max(1, block_nodes // (2 * WINDOW) // PIECE_SHARE)), "item string, text string, nodes bigint").distinct(), "benchmark")
+    total, largest = pieces.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.max("nodes"), F.lit(0))).first()
+    block_nodes = max(block_nodes, largest)
     n = 1 if total <= block_nodes else -(-2 * total // block_nodes)
     block = lambda: F.pmod(F.xxhash64("item", "text"), F.lit(n))
     while n > 1 and pieces.groupBy(block().alias("b")).agg(F.sum("nodes").alias("n")).agg(F.max("n")).first()[0] > block_nodes:

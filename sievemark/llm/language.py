@@ -174,10 +174,12 @@ def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str], text:
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
-    slim = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_arrow(slim, _predictor(*model, keep, text), f"{schema}, lang_pred string, score double")
+    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` (the cosine, not below 0), in place of columns that have these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    own = [f"c{k}" for k in range(len(keep))]
+    slim = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, own)), F.col(text).cast("string").alias("text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in slim.drop("text").schema)
+    return map_arrow(slim, _predictor(*model, own, "text"), f"{schema}lang_pred string, score double").toDF(*keep, "lang_pred", "score")
 
 
 def held_out_prediction(docs: DataFrame) -> DataFrame:

@@ -95,6 +95,9 @@ def repeat_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     are neither joined nor shuffled. Documents that share an id share its place.
     """
     mixed = materialize(mix(docs, doc_id, text, source, weights, share, most), "mixed")
+    columns = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    doc_id, text, source = (f"c{columns.index(c)}" for c in (doc_id, text, source))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("n")
     # Copies fall along the order of keys by one at most: the last place of the larger number is the cut.
     per_source = mixed.where("size > 0").select("source", copies, F.struct("key", F.col("doc_id").cast("string").alias("id")).alias("at"))
@@ -105,7 +108,7 @@ def repeat_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # At most MAX_SOURCES rows.
     dealt = docs.join(F.broadcast(cuts), F.col(source).cast("string").eqNullSafe(F.col("_source")))
     times = F.when(n_words(F.col(text).cast("string")) == 0, 0).when(place <= F.col("_cut"), F.col("_high")).otherwise(F.col("_low"))
-    return dealt.withColumn("_turn", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return dealt.withColumn("_turn", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns).toDF(*columns)
 
 
 def digest(mixed: DataFrame) -> DataFrame:

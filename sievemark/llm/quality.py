@@ -211,9 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
-    scored = with_statistics(docs, text).withColumn("score", model.column())
-    return scored.select(*docs.columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """``docs`` with ``score`` and ``predicted``, in place of columns that have these names."""
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    scored = with_statistics(docs.toDF(*own.values()), own[text]).withColumn("score", model.column())
+    kept = (F.col(n).alias(c) for c, n in own.items() if c not in ("score", "predicted"))
+    return scored.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out_score(docs: DataFrame, labels: DataFrame) -> DataFrame:

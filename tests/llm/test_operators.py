@@ -324,3 +324,41 @@ def test_search_against_brute_force(spark, docs, none):
     key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
     assert [key(r) for r in sorted(map(tuple, got), key=key)] == [key(r) for r in sorted(want, key=key)]
     assert search.top_k(none, F.lit(True)).count() == 0
+
+
+def test_clashing_column_names(spark, docs):
+    """Extra columns that have the operators' own names neither break them nor come twice."""
+    own = ["score", "predicted", "lang_pred", "_cut", "_source", "_turn", "_words", "_chars", "stat_log_words", "c0", "key", "size", "row", "code", "r"]
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(k).alias(n) for k, n in enumerate(own)))
+    mixed = mixing.repeat_to_targets(more)
+    assert mixed.columns == more.columns and mixed.count() == mixing.repeat_to_targets(docs).count()
+    scored = quality.score(more, quality.RuleModel(0.5))
+    assert sorted(scored.columns) == sorted(more.columns) and {r.score for r in scored.collect()} == {1 / (1 + np.exp(-0.5))}
+    said = language.predict(more, language.train(more), more.columns)
+    assert sorted(said.columns) == sorted(more.columns) and said.where("lang_pred = 'en'").count() > 20
+    assert language.drop_unknown(more).columns == simhash.keep_one(more).columns == more.columns
+    bench = spark.createDataFrame([(1, "short")], "item_id bigint, text string")
+    assert decontaminate.drop_contaminated(more, bench, block_nodes=1).columns == more.columns
+
+
+def test_held_out_queries_against_their_parts(spark):
+    """The bodies of op5 and op8: learned from the one part, right about the other, and never from the columns they may not see."""
+    en, fr = "the cat sat on the mat and then the dog ran off into the wood", "le chat est sur la table et puis le chien court vers la forêt"
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        good = k % 2
+        words = rng.permutation((en if k % 3 else fr).split() * 4).tolist()
+        rows.append((k, (" ".join(words).capitalize() + ".") if good else " ".join(w.upper() + "!!! $$$" for w in words[:6]), "en" if k % 3 else "fr", "s", good))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4], 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    got = language.held_out_prediction(docs).collect()
+    assert [r.held_out for r in sorted(got, key=lambda r: r.doc_id)] == [zlib.crc32(str(k).encode()) % 3 == 1 for k in range(300)]
+    assert all(r.lang_pred == rows[r.doc_id][2] and 0 <= r.score <= 1 for r in got)
+    # Languages of held-out rows are never seen: with them overwritten, every prediction stays.
+    hidden = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, "xx").otherwise(F.col("lang"))).withColumn("source", F.lit(None).cast("string"))
+    assert sorted(map(repr, language.held_out_prediction(hidden).collect())) == sorted(map(repr, got))
+    scored = quality.held_out_score(docs, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) == rows[r.doc_id][4] for r in scored)
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.lit(1))
+    assert sorted(map(repr, quality.held_out_score(docs, flipped).collect())) == sorted(map(repr, scored))
