@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -77,18 +77,19 @@ def subscription_states(events: DataFrame) -> DataFrame:
 
 
 def upsert_into(path: str, key: tuple[str, ...], order: str):
-    """A ``foreachBatch`` function that keeps the latest row per key in a Parquet table, written anew beside the old one."""
+    """A ``foreachBatch`` function that keeps the latest row per key as a log: each batch adds its own latest rows, a batch run again replaces them."""
 
     def write(frame: DataFrame, batch_id: int) -> None:
-        spark = frame.sparkSession
-        target = f"{path}/batch={batch_id:012d}"
-        if batch_id > 0:
-            frame = spark.read.parquet(f"{path}/batch={batch_id - 1:012d}").unionByName(frame)
-        batch.upserted(frame, key, order).write.mode("overwrite").parquet(target)
+        batch.upserted(frame, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
     return write
 
 
+def current(spark: SparkSession, path: str, key: tuple[str, ...], order: str) -> DataFrame:
+    """The latest row per key of such a log."""
+    return batch.upserted(spark.read.parquet(path).drop("batch"), key, order)
+
+
 def windowed_counts(events: DataFrame, column: str = "ts", width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Events per type and window of event time, closed by the watermark."""
     return watermarked(events, column, delay).groupBy(F.window(column, width), "event_type").agg(F.count("*").alias("n"))

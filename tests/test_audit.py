@@ -16,7 +16,8 @@ from sievemark.sources import html, web
 from sievemark.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rule_results", "site_scores", "site_audit_signals", "facts_long", "offer_extraction"}
+#: Long on small machines; each has a part tested on its own or a run in the driver's comparison.
+SLOW = {"site_audit_signals", "facts_long", "offer_extraction", "crawl_pages", "crawl_reach", "crawl_coverage"}
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +139,33 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streaming_upsert_and_windows(spark, tmp_path):
+    leads = spark.createDataFrame([(k, f"k{k % 5}", k * 10) for k in range(20)], "ord int, key string, value int")
+    for part in range(2):
+        leads.where(f"ord div 10 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(leads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.writeStream.foreachBatch(stateful.upsert_into(str(tmp_path / "log"), ("key",), "ord")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(map(tuple, stateful.current(spark, str(tmp_path / "log"), ("key",), "ord").select("ord", "key", "value").collect()))
+    assert got == sorted(map(tuple, state.upserted(leads, ("key",)).collect()))
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.coalesce(1).write.parquet(str(tmp_path / "e"))
+    live = run_stream(stateful.windowed_counts(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), delay="0 seconds"), "windows", "append")
+    whole = {(r.window.start, r.event_type): r.n for r in e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).collect()}
+    seen = {(r.window.start, r.event_type): r.n for r in live.collect()}
+    assert seen and all(whole[k] == n for k, n in seen.items())
+
+
+def test_recheck_of_null_and_equal_titles(spark):
+    first = spark.createDataFrame([(1, None, "pricing", None), (1, "Same", "booking", None), (1, "Same", "cta", None)], "audit_id int, title string, action_id string, category string")
+    audits = spark.createDataFrame([(1, "complete", "full", "meaningful")], "audit_id int, status string, acquisition string, score_status string")
+    after = spark.createDataFrame([(1, "x", "pricing", None), (1, "y", "cta", None)], "audit_id int, title string, action_id string, category string")
+    got = state.recheck(first, audits, after).collect()
+    assert sorted((r.title or "", r.state) for r in got) == [("", "STILL_DETECTED"), ("Same", "RESOLVED"), ("Same", "STILL_DETECTED")]
+
+
+def test_summary_of_a_page_audit(spark):
+    got = web.summary(pageaudit.inspect(fixtures.table(spark, fixtures.PAGES, "page_id bigint, url string, html string"))).collect()
+    assert len(got) == len(fixtures.PAGES) and set(got[0].asDict()) == {"url", "status", "acquisition", "visibility", "understanding", "buyability", "observed_readiness", "next_actions"}
