@@ -8,10 +8,10 @@ its ``code``, a 64-bit hash of its set, so copies with equal sets are one node f
    is confirmed on the whole sets. That joins the closest copies with no pair of a group ever listed.
 2. The rest: at a similarity of 0.8 fingerprints differ in some ten bits, which no index of 64-bit codes separates from chance. Shingles are
    put in one order, and two sets that link share a shingle among the first n - ceil(4n/5) + 1 of each, so no pair is lost. For ``ROUNDS`` rounds,
-   every set is compared with one random leader among the sets of another group that share its prefix shingles: linearly many pairs, which
-   join what is left of large groups. Then all pairs that still lie in different groups and whose sizes and number of shared prefix shingles allow a link.
+   every set is compared with some random ones (``LEADERS``) of other groups that share its prefix shingles: linearly many pairs, which join what is left
+   of large groups. Then all pairs that still lie in different groups and whose sizes, places and number of shared prefix shingles allow a link.
 
-Shingles that are common in a sample go last in their order, which changes the number of candidates and nothing else. Every candidate is
+Shingles that are common in a sample go last in their order, the commonest at the end, which changes the number of candidates and nothing else. Every candidate is
 confirmed on the whole sets. Sets are built anew from the texts that have candidates, chosen by a bitmap of fixed size
 (``BITMAP`` bits, with the common shingles the only broadcast); texts are not shuffled for it.
 
@@ -34,8 +34,8 @@ from .common import byte_runs, map_arrow, materialize, text_bytes
 SHINGLE = 5
 #: Jaccard similarity of a link: ALIKE[0] / ALIKE[1].
 ALIKE = (4, 5)
-#: Rounds of leaders, at most: one that finds no link is the last.
-ROUNDS = 3
+#: Rounds of leaders, at most (one that finds no link is the last), and leaders of a shingle and of a set in a round.
+ROUNDS, LEADERS = 3, 8
 #: Share of the sets in the sample of common shingles, its count of a common shingle, and common shingles at most (8 bytes each).
 SAMPLE, COMMON, MAX_COMMON = 0.2, 3, 1 << 20
 BITMAP = 1 << 24
@@ -94,8 +94,8 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
 
-def _prefixes(common: np.ndarray):
-    """(token, code, n) of the first shingles of each set; a task gives a set once."""
+def _prefixes(common: np.ndarray, place: np.ndarray):
+    """(token, code, n, at) of the first shingles of each set, and their places; a task gives a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,15 +107,15 @@ def _prefixes(common: np.ndarray):
                 if len(seen) < 1 << 17:
                     seen.add(code)
                 found = shingles(data)
-                last = np.zeros(len(found), bool)
-                if len(common):
-                    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
                 n = prefix_length(len(found))
-                first = np.concatenate([found[~last], found[last]])[:n] if last.any() else found[:n]
-                out.append((first, np.full(n, code, np.int64), np.full(n, len(found), np.int32)))
+                first = found[:n]
+                if len(common):
+                    k = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    first = found[np.argsort(np.where(common[k] == found, place[k], -1), kind="stable")[:n]]
+                out.append((first, np.full(n, code, np.int64), np.full(n, len(found), np.int32), np.arange(n, dtype=np.int32)))
             if out:
-                token, code, n = map(np.concatenate, zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(code), pa.array(n)], names=["token", "code", "n"])
+                token, code, n, at = map(np.concatenate, zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(code), pa.array(n), pa.array(at)], names=["token", "code", "n", "at"])
 
     return run
 
@@ -163,25 +163,30 @@ def printed(codes: DataFrame) -> DataFrame:
     return codes.join(prints, "print").where("rep <> code").select(F.col("rep").alias("a"), F.col("code").alias("b")).unionByName(near)
 
 
-def common_shingles(marked: DataFrame) -> np.ndarray:
+def common_shingles(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order of their hashes, and the place of each among them by its count in the sample."""
     some = marked.where(F.pmod(F.xxhash64(F.lit("common"), "code"), F.lit(1000)) < int(SAMPLE * 1000))
     counted = map_arrow(some.select("code", "text"), _flat, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
-    top = counted.orderBy(F.desc("count"), "token").limit(MAX_COMMON).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().view(np.uint64))
+    top = counted.orderBy(F.desc("count"), "token").limit(MAX_COMMON).toArrow()
+    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(tokens)
+    place = np.empty(len(tokens), np.int32)
+    place[np.lexsort((tokens[order], counts[order]))] = np.arange(len(tokens))
+    return tokens[order], place
 
 
 def shared_tokens(marked: DataFrame) -> DataFrame:
-    """(token, code, n): the prefix shingles that at least two sets have."""
-    tokens = map_arrow(marked.select("code", "text"), _prefixes(common_shingles(marked)), "token bigint, code bigint, n int")
+    """(token, code, n, at): the prefix shingles that at least two sets have."""
+    tokens = map_arrow(marked.select("code", "text"), _prefixes(*common_shingles(marked)), "token bigint, code bigint, n int, at int")
     same = Window.partitionBy("token")
-    return tokens.withColumn("lo", F.min("code").over(same)).withColumn("hi", F.max("code").over(same)).where("lo <> hi").select("token", "code", "n").distinct()
+    return tokens.withColumn("lo", F.min("code").over(same)).withColumn("hi", F.max("code").over(same)).where("lo <> hi").select("token", "code", "n", "at").distinct()
 
 
 def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """(token, code, n, label): the shingles that sets of at least two groups have."""
+    """(token, code, n, at, label): the shingles that sets of at least two groups have."""
     known = shared.join(label.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
     same = Window.partitionBy("token")
-    return materialize(known.withColumn("lo", F.min("label").over(same)).withColumn("hi", F.max("label").over(same)).where("lo <> hi").select("token", "code", "n", "label"), "open")
+    return materialize(known.withColumn("lo", F.min("label").over(same)).withColumn("hi", F.max("label").over(same)).where("lo <> hi").select("token", "code", "n", "at", "label"), "open")
 
 
 def _allowed(a_n: Column, b_n: Column) -> Column:
@@ -196,20 +201,42 @@ def _enough(met: DataFrame) -> DataFrame:
     return met.where((ALIKE[0] + ALIKE[1]) * (F.col("c") + after) >= ALIKE[0] * (a_n + b_n))
 
 
+def _early(a_n: Column, a_at: Column, b_n: Column, b_at: Column) -> Column:
+    """Whether a shingle stands so early in both sets that as many as a link needs can follow it, and the sizes allow one.
+
+    Sets that link have at least ``least`` shingles in common; the first of those has no more than n - least before it.
+    """
+    least = F.ceil(ALIKE[0] * (a_n + b_n) / (ALIKE[0] + ALIKE[1]))
+    return _allowed(a_n, b_n) & (a_n - a_at >= least) & (b_n - b_at >= least)
+
+
 def led(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set b with that leader a of its shingles which shares most of them; a shingle's leader is random."""
-    lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(f"turn {turn}"), "code").alias("h"), "code", "n", "label")).alias("l"))
-    met = live.join(lead, "token").where((F.col("label") != F.col("l.label")) & _allowed(F.col("n"), F.col("l.n")))
-    met = met.groupBy(F.col("l.code").alias("a"), F.col("code").alias("b")).agg(F.count("*").alias("c"), F.max("l.n").alias("a_n"), F.max("n").alias("b_n"))
-    return _enough(met).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+    """(a, b): each set b with up to ``LEADERS`` of the random leaders a of its shingles; a shingle has as many leaders."""
+    order = lambda k: F.xxhash64(F.lit(f"turn {turn} {k}"), "token", "code").alias("h")
+    heads = live.groupBy("token").agg(*(F.min(F.struct(order(k), "code", "n", "at", "label")).alias(f"l{k}") for k in range(LEADERS)))
+    heads = heads.select("token", F.array_distinct(F.array(*(F.struct(*(F.col(f"l{k}")[c].alias(c) for c in ("code", "n", "at", "label"))) for k in range(LEADERS)))).alias("heads"))
+    met = live.join(heads, "token").select("code", "n", "at", "label", F.explode("heads").alias("l"))
+    met = met.where((F.col("label") != F.col("l.label")) & _early(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
+    met = met.groupBy(F.col("l.code").alias("a"), F.col("code").alias("b")).agg(F.count("*").alias("c"))
+    # A set has LEADERS times as many leaders as prefix shingles at most.
+    best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, LEADERS).alias("l"))
+    return best.select(F.explode("l.a").alias("a"), "b")
+
+
+def met_pairs(live: DataFrame) -> DataFrame:
+    """(a, b, a_n, b_n): sets of different groups that have a shingle early in both."""
+    side = lambda c: live.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "at", "label")))
+    c = F.col
+    fit = (c("a_code") < c("b_code")) & (c("a_label") != c("b_label")) & _early(c("a_n"), c("a_at"), c("b_n"), c("b_at"))
+    return side("a").hint("merge").join(side("b"), "token").where(fit).select(c("a_code").alias("a"), c("b_code").alias("b"), "a_n", "b_n").distinct()
 
 
 def pairs_left(live: DataFrame) -> DataFrame:
     """(a, b): all sets of different groups whose prefixes share enough shingles for their sizes."""
-    side = lambda c: live.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "label")))
-    fit = (F.col("a_code") < F.col("b_code")) & (F.col("a_label") != F.col("b_label")) & _allowed(F.col("a_n"), F.col("b_n"))
-    met = side("a").hint("merge").join(side("b"), "token").where(fit).groupBy(F.col("a_code").alias("a"), F.col("b_code").alias("b"))
-    return _enough(met.agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))).select("a", "b")
+    met = materialize(met_pairs(live), "met")
+    tokens = lambda c: live.groupBy(F.col("code").alias(c)).agg(F.collect_list("token").alias(f"{c}_t"))
+    both = met.hint("merge").join(tokens("a"), "a").hint("merge").join(tokens("b"), "b")
+    return _enough(both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_t", "b_t")).alias("c"))).select("a", "b")
 
 
 def links(marked: DataFrame, codes: DataFrame, by_print: bool = True, rounds: int = ROUNDS) -> DataFrame:
