@@ -131,19 +131,19 @@ RULES = (
     ("BUY.CONVERSION.001", "buyability", 30), ("BUY.PRICE.002", "buyability", 15), ("BUY.AVAILABILITY.003", "buyability", 10),
     ("BUY.AREA.004", "buyability", 10), ("BUY.PAYMENT.005", "buyability", 10), ("BUY.POLICY.006", "buyability", 10), ("BUY.MACHINE.007", "buyability", 15),
 )
-#: rule, impact, title, kind, what the owner must supply
+#: Rule, impact, title (which tells issues apart), kind; and a code of our own for what the owner must supply.
 RECOMMENDATIONS = (
-    ("UNDR.OFFERS.003", 100, "Offres insuffisamment explicites", "content", ("détails validés de chaque offre",)),
-    ("BUY.CONVERSION.001", 98, "Parcours commercial introuvable", "content", ("étapes réelles du parcours",)),
-    ("UNDR.PRICE.004", 94, "Information tarifaire absente", "commercial_information", ("modèle tarifaire validé",)),
-    ("BUY.PRICE.002", 94, "Prix ou devis indéterminable", "commercial_information", ("prix ou règles de devis",)),
-    ("UNDR.AREA.005", 91, "Zone desservie inconnue", "commercial_information", ("zones réellement desservies",)),
-    ("BUY.AREA.004", 91, "Éligibilité géographique inconnue", "commercial_information", ("zones réellement desservies",)),
-    ("BUY.AVAILABILITY.003", 90, "Disponibilité inconnue", "commercial_information", ("règle de disponibilité réelle",)),
-    ("UNDR.IDENTITY.001", 89, "Identité de l'entreprise ambiguë", "content", ("nom légal ou commercial validé",)),
-    ("UNDR.ACTIVITY.002", 88, "Activité ou marché peu explicite", "content", ("activité et clientèle validées",)),
-    ("BUY.PAYMENT.005", 82, "Modalités de paiement inconnues", "commercial_information", ("moyens de paiement acceptés",)),
-    ("BUY.POLICY.006", 80, "Politique commerciale manquante", "commercial_information", ("politique validée",)),
+    ("UNDR.OFFERS.003", 100, "Offres insuffisamment explicites", "content", ("offer_details",)),
+    ("BUY.CONVERSION.001", 98, "Parcours commercial introuvable", "content", ("purchase_steps",)),
+    ("UNDR.PRICE.004", 94, "Information tarifaire absente", "commercial_information", ("price_model",)),
+    ("BUY.PRICE.002", 94, "Prix ou devis indéterminable", "commercial_information", ("price_or_quote_rules",)),
+    ("UNDR.AREA.005", 91, "Zone desservie inconnue", "commercial_information", ("served_areas",)),
+    ("BUY.AREA.004", 91, "Éligibilité géographique inconnue", "commercial_information", ("served_areas",)),
+    ("BUY.AVAILABILITY.003", 90, "Disponibilité inconnue", "commercial_information", ("availability_rule",)),
+    ("UNDR.IDENTITY.001", 89, "Identité de l'entreprise ambiguë", "content", ("business_name",)),
+    ("UNDR.ACTIVITY.002", 88, "Activité ou marché peu explicite", "content", ("activity_and_market",)),
+    ("BUY.PAYMENT.005", 82, "Modalités de paiement inconnues", "commercial_information", ("payment_methods",)),
+    ("BUY.POLICY.006", 80, "Politique commerciale manquante", "commercial_information", ("policy",)),
     ("UNDR.SCHEMA.006", 64, "Données structurées absentes", "structured_data", ()),
     ("BUY.MACHINE.007", 62, "Offre non structurée pour les machines", "structured_data", ()),
     ("DISC.ACCESS.001", 78, "Pages publiques difficilement accessibles", "technical", ()),
