@@ -54,6 +54,14 @@ def page_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.explode_outer("capabilities").alias("capability", "state")).groupBy("capability", "state").agg(F.count("*").alias("n_pages"))
 
 
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs per page, group and label."""
+    out = pageaudit.inspect(all_pages(spark, sf_dir))
+    groups = F.array(*(F.struct(F.lit(g).alias("group"), F.col(f"evidence.{g}").alias("proofs")) for g in ("acquisition", "visibility", "understanding", "buyability")))
+    each = out.select("page_id", F.explode_outer(groups).alias("g")).select("page_id", "g.group", F.explode_outer("g.proofs").alias("p")).where("p is not null")
+    return each.groupBy("page_id", "group", "p.label").agg(F.count("*").alias("n"))
+
+
 def page_next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pageaudit.primary_finding(pageaudit.inspect(signal_pages(spark)))
     return out.select("page_id", F.array_join(F.col("next_actions.title"), "|").alias("titles"), F.col("finding.title").alias("finding"), F.col("finding.priority").alias("finding_priority"), "main_gap", "monitoring_eligible")
@@ -69,7 +77,7 @@ def page_rendered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (page_audit_scores, page_visible_text_stats, page_title_headings, page_acquisition_mix, page_actions_journey, page_capabilities, page_next_actions, page_rendered_fallback)
+    for f in (page_audit_scores, page_visible_text_stats, page_title_headings, page_acquisition_mix, page_actions_journey, page_capabilities, page_evidence, page_next_actions, page_rendered_fallback)
 }
 
 _BLANK = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"

@@ -75,6 +75,34 @@ def _described(html: Column) -> Column:
     return F.when(first != "", first).otherwise(second)
 
 
+#: Characters of a proof that are kept.
+EXCERPT = 220
+
+
+def _evidence(url: Column, has: dict[str, Column], identity: Column, blocked: Column, limited: Column, thin: Column) -> Column:
+    """Proofs (label, excerpt) in four groups; what isn't text of the page is a code."""
+    proof = lambda label, excerpt: F.struct(F.lit(label).alias("label"), F.substring(decode(excerpt), 1, EXCERPT).alias("excerpt"))
+    when = lambda test, label, excerpt: F.when(test, proof(label, excerpt))
+    some = lambda *items: F.filter(F.array(*items), lambda x: x.isNotNull())
+    each = lambda label, values: F.transform(values, lambda v: proof(label, v))
+    code, c = F.lit, F.col
+    acquisition = some(
+        when(blocked, "blocked", code("challenge_page")), when(limited & (c("_first") == "hard_limited"), "limited", code("javascript_required")),
+        when(limited & (c("_first") != "hard_limited") & thin, "limited", code("thin_text")), when(limited & (c("_first") != "hard_limited") & c("_shell"), "limited", code("script_shell")),
+    )
+    visibility = some(
+        proof("page", url), when(c("title") != "", "title", c("title")), when(c("description") != "", "description", c("description")), when(c("same_host_canonical"), "canonical", c("canonical")),
+    )
+    name = F.when(c("title") != "", c("title")).otherwise(F.try_element_at("headings", F.lit(1)))
+    understanding = F.concat(
+        some(when(identity, "identity", name)), each("commercial_heading", c("commercial_headings")), some(when(c("schema_commerce"), "structured_data", code("commercial_jsonld"))), each("price", c("prices")),
+    )
+    buyability = F.concat(each("action", F.slice("actions", 1, 5)), some(*(when(has[k], k, code("wording")) for k in ("availability", "payment", "geography"))))
+    none = F.array().cast("array<struct<label:string,excerpt:string>>")
+    groups = {"acquisition": acquisition, "visibility": visibility, "understanding": understanding, "buyability": buyability}
+    return F.struct(*((g if k == "acquisition" else F.when(blocked, none).otherwise(g)).alias(k) for k, g in groups.items()))
+
+
 def _sources(html: Column) -> Column:
     return F.concat(
         _all(html, r"(?i)<(?:a|button)[^>]*>([\s\S]*?)</(?:a|button)>", 40),
@@ -163,6 +191,7 @@ def inspect(pages: DataFrame, url: str = "url", html: str = "html", method: str
         n_visibility.alias("n_visibility_evidence"),
         n_understanding.alias("n_understanding_evidence"),
         n_buyability.alias("n_buyability_evidence"),
+        _evidence(F.col(url), has, identity, blocked, limited, thin).alias("evidence"),
         _next_actions(has, blocked, limited).alias("next_actions"),
         _gaps(has, blocked, n_buyability).alias("gaps"),
     )
@@ -196,6 +225,7 @@ def inspect(pages: DataFrame, url: str = "url", html: str = "html", method: str
         F.try_element_at("gaps", F.lit(1)).alias("main_gap"),
         F.when(F.size("gaps") >= 2, "HIGH").when(F.size("gaps") == 1, "MEDIUM").otherwise("LOW").alias("fix_potential"),
         "n_visible",
+        "evidence",
     )
 
 

@@ -169,3 +169,11 @@ def test_recheck_of_null_and_equal_titles(spark):
 def test_summary_of_a_page_audit(spark):
     got = web.summary(pageaudit.inspect(fixtures.table(spark, fixtures.PAGES, "page_id bigint, url string, html string"))).collect()
     assert len(got) == len(fixtures.PAGES) and set(got[0].asDict()) == {"url", "status", "acquisition", "visibility", "understanding", "buyability", "observed_readiness", "next_actions"}
+
+
+def test_evidence_groups(spark):
+    got = {r.page_id: r.evidence for r in pageaudit.inspect(fixtures.table(spark, fixtures.PAGES, "page_id bigint, url string, html string")).select("page_id", "evidence").collect()}
+    labels = lambda page, group: [x.label for x in got[page][group]]
+    assert labels(900001, "visibility")[:3] == ["page", "title", "description"] and "price" in labels(900001, "understanding") and "action" in labels(900001, "buyability")
+    assert [x.excerpt for x in got[900007].acquisition] == ["challenge_page"] and not got[900007].visibility and [x.excerpt for x in got[900005].acquisition] == ["javascript_required"]
+    assert {x.excerpt for x in got[900004].acquisition} <= {"thin_text", "script_shell"} and got[900004].acquisition and not got[900001].acquisition
