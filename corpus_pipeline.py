@@ -1,7 +1,7 @@
 """A corpus from raw documents to token files: five stages, each on all that the one before kept.
 
-Order: language ID drops what no language claims, near-copy removal keeps one document of each group linked by five-word Jaccard similarity
-of 0.8 or more (exact; op6's three words and two bits bind only its query), decontamination drops documents with benchmark passages, mixing repeats or leaves out documents to meet the sources' targets, and the rest is
+Order: language ID drops what no language claims, SimHash near-dedup keeps one document of each group linked by five-word Jaccard similarity
+of 0.8 or more (links of op6's index confirmed, the rest found exactly; its three words and two bits bind only its query), decontamination drops documents with benchmark passages, mixing repeats or leaves out documents to meet the sources' targets, and the rest is
 encoded to framed token files that are read back. Every stage's result is written as Parquet in the shared folder and
 read again as the next one's input.
 """
