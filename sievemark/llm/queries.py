@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, license, mixing, quality, search, simhash, tokencount, tokenfile, urlfilter
+from . import decontaminate, language, license, mixing, packing, quality, search, simhash, spelling, tokencount, tokenfile, trie, urlfilter
 from .common import table
 
 #: End-of-document ids: the vocabulary's own for flat files, the contract's for framed files.
@@ -66,6 +66,19 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), FRAMED_END_ID)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), typos=True)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 #: A small host graph (src, dst, n) with a chain, a link farm, a cycle, hosts without outgoing links and one without any, and the seeds.
 HOST_LINKS = [
     ("c1", "c2", 1), ("c2", "c3", 1), ("c3", "c4", 1), ("f1", "bad", 3), ("f2", "bad", 1), ("f3", "bad", 2), ("f1", "f2", 1), ("f2", "f3", 1), ("f3", "f1", 1), ("x", "y", 1), ("y", "z", 2), ("z", "x", 1), ("z", "c1", 1),
@@ -107,6 +120,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_search": op10_exact_search,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_exact_search": search.ORACLE, "host_propagation": _propagation_sql()}
+ORACLES = {"op3_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_exact_search": search.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_conversation_trie": trie.ORACLE, "host_propagation": _propagation_sql()}
