@@ -15,6 +15,8 @@ SUBSCRIPTION_EVENTS = ("customer.subscription.created", "customer.subscription.u
 WELCOME_EVENTS = ("invoice.paid", "customer.subscription.created", "customer.subscription.updated")
 EMAIL_CHARS, URL_CHARS = 254, 2048
 TOLERANCE_SECONDS, TOKEN_SECONDS = 300, 30 * 24 * 3600
+#: How long a delivery key is remembered after its last event.
+DELIVERY_SECONDS = 30 * 24 * 3600
 
 
 # -- monitoring ---------------------------------------------------------------------------------------------------------
@@ -171,6 +173,25 @@ def settled(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
     return ledger.join(new.select("delivery_key"), "delivery_key", "left_anti").unionByName(new)
 
 
+def deliveries(events: DataFrame, time: str = "at", tie: str = "ord", life_seconds: int = DELIVERY_SECONDS) -> DataFrame:
+    """The ledger replayed: (delivery_key, at, ord, event, granted, status) of each event (delivery_key, event, at, ord) that counts.
+
+    A ``reserve`` is granted to a new key and to one whose last event is a failure; ``sent`` and ``failed`` set the status of a reserved key.
+    A key that rests for longer than its life is new again.
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    w = Window.partitionBy("delivery_key").orderBy("_us", tie)
+    rows = events.withColumn("_us", us).withColumn("_gap", F.col("_us") - F.lag("_us").over(w))
+    rows = rows.withColumn("_life", F.sum((F.coalesce("_gap", F.lit(0)) > life_seconds * 1_000_000).cast("int")).over(w))
+    inside = Window.partitionBy("delivery_key", "_life").orderBy("_us", tie)
+    # Outcomes of a key that nothing reserved change nothing.
+    rows = rows.withColumn("_reserved", F.max((F.col("event") == "reserve").cast("int")).over(inside)).where("_reserved = 1")
+    rows = rows.withColumn("_before", F.lag("event").over(inside))
+    rows = rows.withColumn("granted", F.when(F.col("event") == "reserve", F.coalesce(F.col("_before") == "failed", F.lit(True))))
+    own = F.when(F.col("event") != "reserve", F.col("event")).when(F.col("granted"), "pending")
+    return rows.select("delivery_key", F.timestamp_micros("_us").alias("at"), F.col(tie).cast("bigint").alias("ord"), "event", "granted", F.last(own, ignorenulls=True).over(inside).alias("status"))
+
+
 # -- remediation --------------------------------------------------------------------------------------------------------
 
 

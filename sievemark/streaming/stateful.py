@@ -1,26 +1,31 @@
-"""Streaming forms of the stateful operators. Each gives what its batch twin in ``operators.state`` gives over the same rows.
+"""Streaming forms of the stateful operators. Each gives what its batch twin in ``operators.state`` gives over the same rows, in whatever
+batches and order these arrive within the watermark (see ``ordered``).
 
 State is keyed and bounded: one slot per session for monitoring, the last status per subscription, event ids within the
-watermark for idempotence, one status per delivery key. Checkpoints and state live where the query's ``checkpointLocation`` says.
+watermark for idempotence, one status per delivery key for as long as it may be retried, a lead's live tokens until they expire.
+Checkpoints and state live where the query's ``checkpointLocation`` says; the state store must be RocksDB's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from ..functions import urls
 from ..operators import state as batch
-from ..shipping import ship
+from . import ordered
 
-MONITOR_OUT = "session string, at timestamp, url string, score int, eligible boolean, previous_score int, delta int, alert boolean"
-SLOT = StructType([StructField("url", StringType()), StructField("score", LongType()), StructField("eligible", LongType())])
-LAST = StructType([StructField("place", LongType()), StructField("status", StringType()), StructField("customer", StringType()), StructField("lead", StringType())])
+MONITOR_OUT = "session string, us bigint, tie bigint, url string, score int, eligible boolean, previous_score int, delta int, alert boolean"
 SUBSCRIPTION_OUT = "subscription string, status string, customer string, lead_id string, place bigint"
+DELIVERY_OUT = "delivery_key string, us bigint, tie bigint, event string, granted boolean, status string"
+LEAD = StructType([StructField("website_url", StringType()), StructField("good", BooleanType())])
+TOKEN = StructType([StructField("website_url", StringType()), StructField("exp", LongType())])
+ACTIVE = StructType([StructField("active", BooleanType())])
+TOKEN_OUT = "lead_id string, website_url string, exp bigint, active boolean, us bigint"
 
 
 def watermarked(events: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -33,47 +38,101 @@ def deduplicated(events: DataFrame, key: str = "event_id", column: str = "ts", d
     return watermarked(events, column, delay).dropDuplicatesWithinWatermark([key])
 
 
-def _slot(key: tuple, frames: Iterator[pd.DataFrame], slot: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-    last = slot.get if slot.exists else None
-    out = []
-    for r in rows.itertuples():
-        score = None if pd.isna(r.score) else int(r.score)
-        ok = score is not None and r.readiness_state == "observed" and (r.may_monitor is None or bool(r.may_monitor))
-        same = bool(last and ok and last[2] and last[0] == r.url)
-        delta = score - int(last[1]) if same else None
-        out.append((key[0], r.at, r.url, score, ok, int(last[1]) if same else None, delta, bool(ok and (score < 60 or (delta is not None and delta < 0)))))
-        last = (r.url, score, int(ok))
-    slot.update(last)
-    frame = pd.DataFrame(out, columns=["session", "at", "url", "score", "eligible", "previous_score", "delta", "alert"])
-    yield frame.astype({c: "Int32" for c in ("score", "previous_score", "delta")})
-
-
-def monitoring(history: DataFrame) -> DataFrame:
-    """Each audit with the session's one before it; rows of one batch are ordered by time."""
-    ship(history.sparkSession)
-    return history.groupBy("session").applyInPandasWithState(_slot, MONITOR_OUT, SLOT, "append", GroupStateTimeout.NoTimeout)
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
-    place, status, customer, lead = kept.get if kept.exists else (-1, None, None, None)
-    clean = lambda v: None if v is None or pd.isna(v) else v
-    changed = False
-    for r in rows.itertuples():
-        lead = clean(r.lead_id) or lead
-        new = "active" if r.type == "invoice.paid" else clean(r.status) or ("canceled" if r.type == "customer.subscription.deleted" else None)
-        if r.type in batch.SUBSCRIPTION_EVENTS and new and r.ord > place and (r.type != "invoice.paid" or lead):
-            place, status, customer, changed = int(r.ord), new, clean(r.customer) or customer, True
-    kept.update((place, status, customer, lead))
-    if changed:
-        yield pd.DataFrame([(key[0], status, customer, lead, place)], columns=["subscription", "status", "customer", "lead_id", "place"])
-
-
-def subscription_states(events: DataFrame) -> DataFrame:
-    """A row per subscription and batch that changed it; the largest ``place`` is the current state."""
-    ship(events.sparkSession)
-    return events.where("subscription is not null").groupBy("subscription").applyInPandasWithState(_fold, SUBSCRIPTION_OUT, LAST, "update", GroupStateTimeout.NoTimeout)
+def _slot(key: tuple, last: tuple | None, row: dict) -> tuple[list[tuple], tuple]:
+    score, ok = row["score"], bool(row["eligible"])
+    same = bool(last and ok and last[2] and last[0] == row["url"])
+    delta = score - last[1] if same else None
+    alert = bool(ok and (score < 60 or (delta is not None and delta < 0)))
+    return [(key[0], row["us"], row["tie"], row["url"], score, ok, last[1] if same else None, delta, alert)], (row["url"], score, ok)
+
+
+def monitoring(history: DataFrame, tie: str | None = None) -> DataFrame:
+    """Each audit with the session's one before it, once the watermark on ``at`` has passed it; ``tie`` orders audits of one time."""
+    columns = {"url": F.col("url"), "score": F.col("score").cast("int"), "eligible": batch.eligible()}
+    out = ordered.fold(history, "session", MONITOR_OUT, "url string, score int, eligible boolean", _slot, columns, tie=tie)
+    return out.select("session", F.timestamp_micros("us").alias("at"), "tie", "url", "score", "eligible", "previous_score", "delta", "alert")
+
+
+def _subscription(key: tuple, kept: tuple | None, row: dict) -> tuple[list[tuple], tuple]:
+    status, customer, lead = kept or (None, None, None)
+    lead = row["lead_id"] or lead
+    new = "active" if row["type"] == "invoice.paid" else row["status"] or ("canceled" if row["type"] == "customer.subscription.deleted" else None)
+    if row["type"] in batch.SUBSCRIPTION_EVENTS and new and (row["type"] != "invoice.paid" or lead):
+        return [(key[0], new, row["customer"] or customer, lead, row["tie"])], (new, row["customer"] or customer, lead)
+    return [], (status, customer, lead)
+
+
+def subscription_states(events: DataFrame, time: str = "at") -> DataFrame:
+    """A row for each event that changed a subscription, in order of event time and then ``ord``; a subscription's last row is its current state."""
+    columns = {c: F.col(c) for c in ("type", "status", "customer", "lead_id")}
+    return ordered.fold(events, "subscription", SUBSCRIPTION_OUT, "status string, customer string, lead_id string", _subscription, columns, time=time, tie="ord", mode="Update")
+
+
+def _delivery(key: tuple, kept: tuple | None, row: dict) -> tuple[list[tuple], tuple | None]:
+    event = row["event"]
+    out = lambda granted, status: [(key[0], row["us"], row["tie"], event, granted, status)]
+    if event == "reserve":
+        granted = kept is None or kept[1] == "failed"
+        status = "pending" if granted else kept[0]
+        return out(granted, status), (status, event)
+    return ([], None) if kept is None else (out(None, event), (event, event))
+
+
+def deliveries(events: DataFrame, time: str = "at", life_seconds: int = batch.DELIVERY_SECONDS) -> DataFrame:
+    """The delivery ledger as a stream of (delivery_key, event, at, ord): which reservations are granted, and each key's status."""
+    out = ordered.fold(events, "delivery_key", DELIVERY_OUT, "status string, last_event string", _delivery, {"event": F.col("event")}, time=time, tie="ord", life=life_seconds * 1_000_000)
+    return out.select("delivery_key", F.timestamp_micros("us").alias("at"), F.col("tie").alias("ord"), "event", "granted", "status")
+
+
+class _Tokens(ordered.InOrder):
+    """A lead as it stands, and its tokens until they expire."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.lead = handle.getValueState("lead", LEAD)
+        self.tokens = handle.getMapState("tokens", TOKEN, ACTIVE)
+
+    def _judged(self, key: tuple, token: tuple, us: int, known: bool | None) -> Iterator[tuple]:
+        lead = self.lead.get() if self.lead.exists() else None
+        active = bool(lead and lead[1] and lead[0] is not None and lead[0] == token[0])
+        if active != known:
+            self.tokens.updateValue(token, (active,))
+            yield (key[0], *token, active, us)
+
+    def due(self, key: tuple, row: dict) -> Iterator[tuple]:
+        if row["exp"] is None:
+            self.lead.update((row["website_url"], row["good"]))
+            for token, (active,) in [(tuple(t), tuple(v)) for t, v in self.tokens.iterator()]:
+                if token[1] * 1_000_000 > row["us"]:
+                    yield from self._judged(key, token, row["us"], active)
+        elif row["exp"] * 1_000_000 > row["us"]:
+            token = (row["website_url"], row["exp"])
+            yield from self._judged(key, token, row["us"], self.tokens.getValue(token)[0] if self.tokens.containsKey(token) else None)
+        else:
+            yield (key[0], row["website_url"], row["exp"], False, row["us"])
+
+    def idle(self, key: tuple, now: int) -> Iterator[tuple]:
+        for token, (active,) in [(tuple(t), tuple(v)) for t, v in self.tokens.iterator()]:
+            if token[1] * 1_000_000 <= now:
+                self.tokens.removeKey(token)
+                if active:
+                    yield (key[0], *token, False, token[1] * 1_000_000)
+
+    def wake(self) -> int | None:
+        return min((tuple(t)[1] * 1_000_000 for t in self.tokens.keys()), default=None)
+
+
+def entitlements(events: DataFrame, time: str = "at") -> DataFrame:
+    """A row whenever a token's ``active`` changes, and a last one when an active token expires.
+
+    ``events``: lead_id, at, ord, website_url; a token has ``exp``, a lead's new state has none but subscription_status, price_locked and
+    subscription_id. The batch twin is ``operators.state.entitlements`` with the leads as they last stood.
+    """
+    good = F.coalesce((F.col("subscription_status") == "active") & F.col("price_locked") & (F.coalesce("subscription_id", F.lit("")) != ""), F.lit(False))
+    site = F.when(F.col("exp").isNull(), F.col("website_url")).otherwise(urls.with_scheme(F.col("website_url")))
+    df, waiting = ordered.slim(events, "lead_id", time, "ord", website_url=site, good=good, exp=F.col("exp").cast("bigint"))
+    out = StructType.fromDDL(TOKEN_OUT)
+    return ordered.run(df, _Tokens(waiting, out), out, "Update").withColumn("at", F.timestamp_micros("us")).drop("us")
 
 
 def upsert_into(path: str, key: tuple[str, ...], order: str):

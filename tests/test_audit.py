@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievemark import catalog, fixtures
 from sievemark.catalog import state as state_catalog
 from sievemark.functions import money, text, urls
-from sievemark.operators import consolidate, state
+from sievemark.operators import state
 from sievemark.plans import pageaudit
 from sievemark.sources import html, web
 from sievemark.streaming import stateful
@@ -91,13 +91,6 @@ def test_money_and_urls(spark):
     assert one.select(text.normalized(F.lit(None).cast("string"))).first()[0] is None
 
 
-def test_consolidation_attaches_sections():
-    base = dict(page_ord=1, url="u", description=None, price=None, price_value=float("nan"), price_original=None, price_evidence=[], currency=None, frequency=None, availability=None, cta=None, cta_url=None, evidence=[], page="u")
-    rows = [base | dict(ord=1, name="Lampe", norm="lampe", offer_type="product", candidate_role="product", confidence=0.9), base | dict(ord=2, name="Nos valeurs", norm="nos valeurs", offer_type="service", candidate_role="service", confidence=0.5)]
-    out = consolidate.consolidate_site(rows, "ecommerce")
-    assert len(out) == 1 and out[0]["merged_count"] == 2 and out[0]["absorbed"][0]["role"] == "informative_section"
-
-
 def test_data_source_and_report(spark):
     rows = {"https://a.test/": (200, "text/html", b"<h1>x</h1>", "https://a.test/")}
     got = web.fetch_pages(spark.createDataFrame([("https://a.test/",), ("https://b.test/",)], "url string"), lambda u: rows[u] if u in rows else (_ for _ in ()).throw(OSError("down"))).collect()
@@ -116,15 +109,18 @@ def run_stream(df, name, mode):
 
 def test_streaming_equals_batch(spark, tmp_path):
     history = fixtures.table(spark, fixtures.HISTORY, state_catalog.HISTORY_SCHEMA).withColumn("at", F.to_timestamp("at"))
-    history.coalesce(1).write.parquet(str(tmp_path / "h"))
-    live = run_stream(stateful.monitoring(spark.readStream.schema(history.schema).parquet(str(tmp_path / "h"))), "slots", "append")
+    # A row far ahead lets the watermark pass all others.
+    end = history.limit(1).withColumn("session", F.lit("~")).withColumn("at", F.to_timestamp(F.lit("2100-01-01 00:00:00")))
+    history.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "h"))
+    live = run_stream(stateful.monitoring(spark.readStream.schema(history.schema).parquet(str(tmp_path / "h")).withWatermark("at", "1 hour")), "slots", "append").where("session <> '~'")
     key = lambda r: repr((r.session, r.at, r.eligible, r.previous_score, r.delta, r.alert))
     assert sorted(map(key, live.collect())) == sorted(map(key, state.monitoring(history).collect()))
-    events = fixtures.table(spark, fixtures.EVENTS, state_catalog.EVENT_SCHEMA)
-    state.deduplicated(events).coalesce(1).write.parquet(str(tmp_path / "e"))
-    live = run_stream(stateful.subscription_states(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))), "subs", "update")
-    key = lambda r: repr((r.subscription, r.status, r.customer, r.lead_id))
-    assert sorted(map(key, live.collect())) == sorted(map(key, state.subscription_states(events).collect()))
+    events = fixtures.table(spark, fixtures.EVENTS, state_catalog.EVENT_SCHEMA).withColumn("at", F.timestamp_seconds(F.col("ord") + 1_700_000_000))
+    end = events.limit(1).withColumn("subscription", F.lit("~")).withColumn("at", F.to_timestamp(F.lit("2100-01-01 00:00:00")))
+    state.deduplicated(events).unionByName(end).coalesce(1).write.parquet(str(tmp_path / "e"))
+    live = run_stream(stateful.subscription_states(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")).withWatermark("at", "1 hour")), "subs", "update").where("subscription <> '~'")
+    last = {r.subscription: (r.status, r.customer, r.lead_id) for r in sorted(live.collect(), key=lambda r: r.place)}
+    assert last == {r.subscription: (r.status, r.customer, r.lead_id) for r in state.subscription_states(events).collect()}
 
 
 def test_streaming_dedup(spark, tmp_path):
