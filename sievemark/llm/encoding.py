@@ -26,6 +26,7 @@ MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 48 << 20, 150, 64
 #: Words encoded by one call.
 WORDS_AT_ONCE = 512
 
+_SPACE = re.compile(f"[{SPACES}]")
 _DOUBLE = re.compile(f"[{SPACES}]{{2}}")
 _SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Letters of Latin-1 and sentence punctuation: between the two, the library always cuts.
@@ -46,6 +47,13 @@ class Memo:
         if self.size > self.half:
             self.old, self.young, self.size = self.young, {}, 0
 
+    def put_all(self, found: dict[str, bytes]) -> None:
+        """Many entries of one size class at once; they may overstep the half by themselves."""
+        self.young.update(found)
+        self.size += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+
     def recall(self, key: str) -> bytes | None:
         """From the old half, which makes it young again."""
         ids = self.old.get(key)
@@ -79,11 +87,11 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a space; one call for many."""
+        """Ids of each word (any piece without white space) after a space; one call for many."""
         out: list[bytes] = []
         for k in range(0, len(words), WORDS_AT_ONCE):
             some = words[k : k + WORDS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(some):
                 out += self.whole([f" {w}" for w in some])
@@ -94,26 +102,34 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces; a piece stands for a space and itself, or for itself if it begins with a line feed."""
-        found: dict[str, bytes] = {}
-        words: dict[str, list[str]] = {}
+        words = [p for p in pieces if p.isascii() and p.isalpha()]
+        found = dict(zip(words, self._words(words)))
+        ended: list[tuple[str, str]] = []
+        rest: list[str] = []
+        stems: dict[str, bytes | None] = {}
         tails: dict[str, bytes] = {"": b""}
-        rest = []
         for p in pieces:
-            w = p if p.isascii() and p.isalpha() else p.rstrip(".,;:!?")
-            if not (w.isascii() and w.isalpha()) and not _WORD.fullmatch(w):
-                rest.append(p)
-            else:
-                words.setdefault(w, []).append(p)
+            if p in found:
+                continue
+            w = p.rstrip(".,;:!?")
+            if w.isascii() and w.isalpha() or _WORD.fullmatch(w):
+                ended.append((p, w))
+                stems[w] = found.get(w) or self.memo.young.get(w)
                 tails[p[len(w) :]] = b""
+            else:
+                rest.append(p)
+        new = [w for w, ids in stems.items() if ids is None]
+        stems.update(zip(new, self._words(new)))
         ends = [t for t in tails if t]
         tails.update(zip(ends, self.whole(ends)))
-        for w, ids in zip(words, self._words(list(words))):
-            for p in words[w]:
-                found[p] = ids + tails[p[len(w) :]]
-        found.update(zip(rest, self.whole([p if p[:1] == "\n" else f" {p}" for p in rest])))
-        for p, ids in found.items():
-            if len(p) <= MEMO_CHARS:
-                self.memo.put(p, ids)
+        for p, w in ended:
+            found[p] = stems[w] + tails[p[len(w) :]]
+        # A space belongs to what follows it, and nothing else opens with one: pieces without white space go together as words do.
+        odd = [p for p in rest if not p or _SPACE.search(p)]
+        joined = [p for p in rest if p and not _SPACE.search(p)] if odd else rest
+        found.update(zip(joined, self._words(joined)))
+        found.update(zip(odd, self.whole([p if p[:1] == "\n" else f" {p}" for p in odd])))
+        self.memo.put_all({p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS})
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -145,9 +161,9 @@ class Encoder:
         return [odd[k] if k in odd else heads[k] + b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
-def encoder(path: str, literal: bool = False) -> Encoder:
+def encoder(path: str, literal: bool = False, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """One per worker process; another file's, or another operator's table, takes its place."""
-    return held(("encoder", path, literal), lambda: Encoder(path, literal))
+    return held(("encoder", path, literal, memo_bytes), lambda: Encoder(path, literal, memo_bytes))
 
 
 def filesystem(uri: str):

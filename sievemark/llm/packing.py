@@ -33,6 +33,8 @@ from .common import map_arrow, materialize
 from .encoding import encoder
 
 LIMIT = 1024
+#: Bytes of the encoder's memo: nothing else of size is in this operator's workers.
+MEMO_BYTES = 128 << 20
 RANK_BITS = 44
 
 
@@ -105,7 +107,7 @@ def _cutter(tokenizer: str, end_id: int, limit: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo_bytes=MEMO_BYTES)
         part = TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
         for batch in batches:
@@ -154,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, doc_i
     plan = best_fit({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit)  # one row a length: limit rows at most
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     before = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "p", "l", "before")
+    # Merged at every size: one row a task and length, which grows with the input.
+    ranked = pieces.join(before.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "p", "l", "before")
     placed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
     return map_arrow(ranked, _slots(plan), f"{placed}, sequence_id bigint, offset bigint")
 
