@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from .. import lexicons as L
-from ..functions import money, text, urls
+from ..functions import money, phrases, text, urls
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ def phrase_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_hits_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per field whose text has one of the field's phrases, and a control phrase that the corpus has."""
-    norm = _documents(spark, sf_dir).select(text.normalized(F.col("text")).alias("n"))
     fields = L.FACT_PHRASES | {"license": ("license", "licensed under")}
-    counted = norm.agg(*(F.count_if(text.has_any(F.col("n"), p)).alias(k) for k, p in fields.items()))
+    found = _documents(spark, sf_dir).select(phrases.found_in(text.normalized(F.col("text")), [p for listed in fields.values() for p in listed]).alias("f"))
+    counted = found.agg(*(F.count_if(phrases.any_of(F.col("f"), p)).alias(k) for k, p in fields.items()))
     return counted.unpivot([], list(fields), "field", "n_documents")
 
 
