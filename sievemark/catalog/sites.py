@@ -211,8 +211,8 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixtures.table(spark, fixtures.ROBOTS, "site_id string, robots_txt string")
-    paths = t.select("site_id", "robots_txt", F.explode(F.array(*map(F.lit, ("/", "/private", "/private/open/x", "/else")))).alias("path"))
-    return crawl.may_fetch(paths.withColumn("url", F.concat(F.lit("https://x.test"), "path")), "sievemark").select("site_id", "path", "allowed")
+    paths = t.select("site_id", F.explode(F.array(*map(F.lit, ("/", "/private", "/private/open/x", "/else")))).alias("path"))
+    return crawl.may_fetch(paths.withColumn("url", F.concat(F.lit("https://x.test"), "path")), crawl.robots_rules(t, "sievemark")).select("site_id", "path", "allowed")
 
 
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

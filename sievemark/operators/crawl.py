@@ -6,11 +6,10 @@ to the driver.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import text as T
 from ..functions import urls
 
 MAX_PAGES, MAX_DEPTH = 200, 8
@@ -52,20 +51,20 @@ def sitemaps_of(robots_txt: Column, origin: Column) -> Column:
     return F.slice(F.when(F.size(named) > 0, named).otherwise(F.array(F.concat(origin, F.lit("/sitemap.xml")))), 1, SITEMAPS)
 
 
-@F.pandas_udf(T.StructType().add("is_index", T.BooleanType()).add("pages", T.ArrayType(T.StringType())).add("children", T.ArrayType(T.StringType())))
-def sitemap_entries(bodies: pd.Series) -> pd.DataFrame:
-    """What a sitemap's XML (text or bytes) lists; null if it isn't XML."""
-    from xml.etree import ElementTree
+_LOCATIONS = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
 
-    def one(body) -> tuple:
-        try:
-            root = ElementTree.fromstring(body)
-        except (ElementTree.ParseError, TypeError, ValueError, LookupError):
-            return None, None, None
-        locs = lambda kind: [node.text.strip() for node in root.findall(f".//{{*}}{kind}/{{*}}loc") if node.text]
-        return root.tag.endswith("sitemapindex"), locs("url"), locs("sitemap")
 
-    return pd.DataFrame([one(b) for b in bodies], columns=["is_index", "pages", "children"])
+def sitemap_entries(xml: Column) -> Column:
+    """(is_index, pages, children) of a sitemap's XML; null if it isn't well-formed, or if it declares entities or a document type,
+    which sitemaps have no use for."""
+    text = F.regexp_replace(xml, "^\ufeff", "")
+    read = F.from_xml(text, _LOCATIONS, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # The first element after declarations and comments.
+    root = F.regexp_extract(text, r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1)
+    locs = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<loc:string>>")), lambda x: F.regexp_replace(x["loc"], r"^\s+|\s+$", "")), lambda u: F.coalesce(u != "", F.lit(False)))
+    good = (root != "") & ~text.rlike("<!(DOCTYPE|ENTITY)")
+    made = T.let(read, lambda r: F.when(r.isNotNull() & r["_corrupt_record"].isNull(), F.struct(F.endswith(root, F.lit("sitemapindex")).alias("is_index"), locs(r["url"]).alias("pages"), locs(r["sitemap"]).alias("children"))))
+    return F.when(good, made)
 
 
 def sitemap_pages(start: DataFrame, documents: DataFrame) -> DataFrame:
@@ -85,22 +84,73 @@ def sitemap_pages(start: DataFrame, documents: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def may_fetch(pages: DataFrame, agent: str, url: str = "url", robots: str = "robots_txt") -> DataFrame:
-    """Adds ``allowed`` by the standard library's robots parser, batched; an empty robots.txt allows all."""
+# -- robots ------------------------------------------------------------------------------------------------------------
 
-    @F.pandas_udf("boolean")
-    def allowed(texts: pd.Series, targets: pd.Series) -> pd.Series:
-        from urllib.robotparser import RobotFileParser
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 
-        parsers: dict[str, RobotFileParser] = {}
-        out = []
-        for text, target in zip(texts.fillna(""), targets.fillna("")):
-            if text not in parsers:
-                if len(parsers) > 1000:
-                    parsers.clear()
-                parsers[text] = RobotFileParser()
-                parsers[text].parse(text.splitlines())
-            out.append(parsers[text].can_fetch(agent, target))
-        return pd.Series(out)
 
-    return pages.withColumn("allowed", allowed(F.col(robots), F.col(url)))
+def _unquoted(c: Column) -> Column:
+    """Percent escapes decoded; a plus and a lone percent sign stay."""
+    return F.try_url_decode(F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _quoted(c: Column) -> Column:
+    """Everything escaped but letters, digits and ``_ . - ~ /``."""
+    out = F.url_encode(c)
+    for raw, name in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(raw), F.lit(name))
+    return out
+
+
+def _reparsed(c: Column) -> Column:
+    """Without markers of parameters, queries and fragments that are empty."""
+    bare = F.regexp_replace(c, r"^([^#]*)#$", "$1")
+    bare = F.regexp_replace(bare, r"^([^?#]*)\?(?=#|$)", "$1")
+    return F.regexp_replace(bare, r"^((?:[^?#]*/)?[^;/?#]*);(?=[?#]|$)", "$1")
+
+
+def robots_rules(sites: DataFrame, agent: str) -> DataFrame:
+    """(site_id, ord, path, allow): the rules of each site's robots.txt (site_id, robots_txt) that hold for ``agent``, in order.
+
+    A group is a run of agents and the rules after it; a blank line ends it, and rules before any agent don't count. The first group that names
+    a part of the agent's name holds, else the first for all agents. Native: lines are rows.
+    """
+    lines = sites.where(F.col("robots_txt").isNotNull()).select("site_id", F.posexplode(F.split("robots_txt", _LINE_END)).alias("n", "raw"))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    said = strip(F.regexp_replace("raw", "(?s)#.*$", ""))
+    parts = F.split(said, ":", 2)
+    key = F.when(F.size(parts) == 2, F.lower(strip(parts[0])))
+    kind = F.when(F.col("raw") == "", "blank").when(key == "user-agent", "agent").when(key.isin("allow", "disallow", "crawl-delay", "request-rate"), key)
+    told = lines.select("site_id", "n", kind.alias("kind"), F.when(F.size(parts) == 2, _unquoted(strip(parts[1]))).alias("value")).where("kind is not null")
+    order = Window.partitionBy("site_id").orderBy("n")
+    told = told.withColumn("part", F.sum((F.col("kind") == "blank").cast("int")).over(order)).where("kind <> 'blank'")
+    in_part = Window.partitionBy("site_id", "part").orderBy("n")
+    told = told.withColumn("named", F.max((F.col("kind") == "agent").cast("int")).over(in_part)).where("named = 1")
+    begins = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(in_part), F.lit("")) != "agent")
+    told = told.withColumn("group", F.sum(begins.cast("int")).over(order))
+    name = agent.split("/")[0].lower()
+    is_agent = F.col("kind") == "agent"
+    # One small row a group: does it hold for this agent, or for all?
+    groups = told.groupBy("site_id", "group").agg(
+        F.count_if(~is_agent).alias("rules"), F.coalesce(F.bool_or(F.when(is_agent, F.col("value") == "*")), F.lit(False)).alias("all"),
+        F.coalesce(F.bool_or(F.when(is_agent, F.contains(F.lit(name), F.lower("value")))), F.lit(False)).alias("ours"),
+    )
+    chosen = groups.where("rules > 0 and (`all` or ours)").groupBy("site_id").agg(F.min(F.struct("all", "group")).alias("g")).select("site_id", F.col("g.group").alias("group"))
+    allow = (F.col("kind") == "allow") | (F.col("value") == "")
+    rules = told.where("kind in ('allow', 'disallow')").join(chosen, ["site_id", "group"])
+    return rules.select("site_id", F.col("n").alias("ord"), _quoted(_reparsed(F.col("value"))).alias("path"), allow.alias("allow"))
+
+
+def robots_path(url: Column) -> Column:
+    """What of a URL rules are held against."""
+    path = F.regexp_replace(F.regexp_replace(_unquoted(url), r"^[A-Za-z][A-Za-z0-9+.\-]*:", ""), r"^//[^/?#]*", "")
+    path = _reparsed(path)
+    return F.coalesce(F.nullif(_quoted(F.when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path)).otherwise(path)), F.lit("")), F.lit("/"))
+
+
+def may_fetch(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``allowed`` to (site_id, url, ...): what the first of the site's rules says whose path the URL's begins with; true without one."""
+    asked = pages.select("site_id", "url").distinct().withColumn("target", robots_path(F.col("url")))
+    met = asked.join(rules, "site_id").where(F.startswith("target", F.col("path")))
+    verdict = met.groupBy("site_id", "url").agg(F.min_by("allow", "ord").alias("allowed"))
+    return pages.join(verdict, ["site_id", "url"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))

@@ -74,7 +74,7 @@ def _sitemaps(start: DataFrame, get: Get) -> tuple[DataFrame, DataFrame]:
     level = start.select("site_id", "origin", F.explode(C.sitemaps_of(F.coalesce("robots_txt", F.lit("")), F.col("origin"))).alias("sitemap"))
     found, read = [], []
     for depth in range(C.SITEMAP_DEPTH + 1):
-        got = get(level.select(F.col("sitemap").alias("url")).distinct()).where("fetch_error is null").select(F.col("url").alias("sitemap"), C.sitemap_entries(F.col("body")).alias("e")).where("e.is_index is not null")
+        got = get(level.select(F.col("sitemap").alias("url")).distinct()).where("fetch_error is null").select(F.col("url").alias("sitemap"), _decoded("body", F.lit("")).alias("xml")).select("sitemap", C.sitemap_entries(F.col("xml")).alias("e")).where("e.is_index is not null")
         here = written(level.join(got, "sitemap"), "sitemaps")
         read.append(here.select("site_id", "sitemap"))
         goes_on = F.col("e.is_index") & F.lit(depth < C.SITEMAP_DEPTH)
@@ -131,7 +131,9 @@ def crawl(seeds: DataFrame, get: Get, max_pages: int = 40, max_depth: int = 3, r
     start = written(asked.join(got, "robots_url", "left"), "sites")
     listed, sitemaps = _sitemaps(start, get)
 
-    site = start.select("site_id", "origin", "robots_txt")
+    site = start.select("site_id", "origin")
+    # Each robots.txt becomes rules once; waves join those, never its text.
+    rules = written(C.robots_rules(start, agent), "robots")
     queue_order = Window.partitionBy("site_id").orderBy((~urls.relevant(F.col("url"))).cast("int"), F.length("url"), "url")
     first = listed.withColumn("ord", F.row_number().over(queue_order)).where(F.col("ord") <= 3 * max_pages)
     wave = start.select("site_id", "url", F.lit(0).alias("ord"), F.lit(0).alias("depth")).unionByName(first.select("site_id", "url", "ord", F.lit(1).alias("depth")))
@@ -147,7 +149,7 @@ def crawl(seeds: DataFrame, get: Get, max_pages: int = 40, max_depth: int = 3, r
         todo = todo.where(urls.same_site(F.col("url"), F.col("origin")) & ~urls.excluded(F.col("url")))
         if visited is not None:
             todo = todo.join(visited, ["site_id", "url"], "left_anti")
-        todo = written(C.may_fetch(todo, agent, "url", "robots_txt").select("site_id", "url", "ord", "depth", "allowed"), "todo")
+        todo = written(C.may_fetch(todo, rules).select("site_id", "url", "ord", "depth", "allowed"), "todo")
         counts = lambda: reduce(DataFrame.unionByName, pages).groupBy("site_id").agg(F.count("*").alias("n"), F.count_if("tried").alias("n_used")) if pages else None  # noqa: E731, B023
         place, mine = None, []
         while True:
