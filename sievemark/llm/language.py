@@ -7,8 +7,8 @@ cosine with it.
 
 Symbols: 0 is any run of non-letters, 1 to 26 are a to z, every other letter is dealt to one of 37 more by its lower-case code
 point. Letters of rare scripts share symbols, which leaves memory bounded by 64 ** 3 trigrams. Training sums trigram counts
-per language with a partial aggregation over all training rows: no sample. What reaches the driver is one count per
-(language, trigram), at most ``MAX_LANGUAGES`` * 64 ** 3 numbers.
+per language over all training rows (no sample), and every task bundles its own counts; what is shuffled and reaches the driver is one
+vector per language: ``MAX_LANGUAGES`` * ``DIMENSIONS`` numbers at most.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; if no row has a language, so is every text; equal
 cosines go to the language first in code point order; repeated rows stay.
@@ -34,6 +34,10 @@ MAX_LANGUAGES = 128
 #: Characters and texts handled at once, and trigram vectors held at once.
 RUN_CHARS, RUN_TEXTS, RUN_GRAMS = 1 << 19, 256, 4096
 UNKNOWN = "und"
+#: Cosine that an unrelated text stays below but once in some 700: three deviations of a random vector's.
+CHANCE = 3 / DIMENSIONS**0.5
+#: Letters from which on a document with such a cosine is rejected.
+ENOUGH = 100
 
 _SYMBOL_OF: list[np.ndarray] = []
 
@@ -118,25 +122,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     sums[n] = np.zeros(GRAMS, np.int64)
                 sums[n][keys[own] % GRAMS] += counts[own]
+    letters = letter_vectors()
     for n, total in sums.items():
+        bundle = np.zeros(DIMENSIONS, np.int64)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "gram", "n"])
+        for k in range(0, len(some), RUN_GRAMS):
+            bundle += total[some[k : k + RUN_GRAMS]] @ gram_vectors(some[k : k + RUN_GRAMS], letters).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([n] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(bundle)], names=["lang", "k", "v"])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and their prototypes, one row each and of length 1."""
+    """Languages in code point order and their prototypes, one row each and of length 1. Tasks bind and bundle what they read; whole
+    numbers are summed, so that the order doesn't matter."""
     known = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = map_arrow(known, _count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums: dict[str, list[tuple[int, int]]] = {}
-    for r in counted.toLocalIterator():
-        sums.setdefault(r.lang, []).append((r.gram, r.n))
-        if len(sums) > MAX_LANGUAGES:
+    summed = map_arrow(known, _count, "lang string, k int, v bigint").groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    found: dict[str, np.ndarray] = {}
+    for r in summed.toLocalIterator():  # DIMENSIONS rows a language
+        if r.lang not in found and len(found) == MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    letters, names, rows = letter_vectors(), sorted(sums), []
-    for n in names:
-        gram, count = np.array(sorted(sums[n]), np.int64).T
-        total = sum((count[k : k + RUN_GRAMS] @ gram_vectors(gram[k : k + RUN_GRAMS], letters).astype(np.float64) for k in range(0, len(gram), RUN_GRAMS)), np.zeros(DIMENSIONS))
-        rows.append(total / max(np.linalg.norm(total), 1e-300))
+        found.setdefault(r.lang, np.zeros(DIMENSIONS))[r.k] = r.v
+    names = sorted(found)
+    rows = [found[n] / max(np.linalg.norm(found[n]), 1e-300) for n in names]
     return names, np.array(rows).reshape(len(names), DIMENSIONS)
 
 
@@ -190,8 +196,17 @@ def held_out_prediction(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the documents that no learned language claims: those without any letter."""
+    """``docs`` without the documents that no learned language claims: those without any letter, and those of ``ENOUGH`` letters or more
+    whose largest cosine is one that chance gives (another script, codes, noise). Shorter ones tell too little to be rejected.
+
+    Where no row has a language nothing can be identified, and every document stays.
+    """
     columns = docs.columns
     slim = docs.toDF(*(f"c{k}" for k in range(len(columns))))
-    found = predict(slim, train(docs, text, lang), slim.columns, f"c{columns.index(text)}")
-    return found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*columns)
+    text = f"c{columns.index(text)}"
+    model = train(slim, text, f"c{columns.index(lang)}")
+    if not model[0]:
+        return docs
+    found = predict(slim, model, slim.columns, text)
+    by_chance = F.when(F.col("score") < CHANCE, F.regexp_count(F.col(text).cast("string"), F.lit(r"\p{L}")) >= ENOUGH).otherwise(False)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~by_chance).drop("lang_pred", "score").toDF(*columns)
