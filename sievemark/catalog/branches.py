@@ -1,5 +1,5 @@
-"""Rules and issues over generated sites: signals follow a fixed arithmetic rule, so that every branch of every rule is met, and the SQL twin
-computes each verdict from the same signals."""
+"""Rules and issues over customers as sites: each signal follows from a customer's orders by an arithmetic rule, so that every branch of every rule
+is met, and the SQL twin computes each verdict from the same signals."""
 
 from __future__ import annotations
 
@@ -17,35 +17,42 @@ FIELDS = (
 STATES = ("unknown", "known", "not_applicable", "known", "unknown", "conflicting")
 CLOSURES = (None, "seasonal", "temporarily_closed", "open", "unavailable", "permanently_closed")
 MEANS = (0.0, 0.331, 0.907, 0.953)
-N_SITES = 600
-
-
-def _state(i: int, k: int) -> str:
-    s = STATES[(i * (k + 2) + i // (k + 3) + k) % len(STATES)]
-    return "known" if s == "conflicting" and i % 3 else s
-
-
-def _row(i: int) -> tuple:
-    n_pages = i % 7
-    n_text = min(n_pages, i * 3 % 5)
-    share = lambda m, n: min(n, i * m % (n + 1)) if n else 0
-    names = (*profile.PROFILES, "unknown")
-    return (
-        f"g{i:03d}", n_pages, share(5, n_text) if i % 4 else n_text, n_text, share(3, n_text) if i % 5 == 0 else 0, n_text if i % 6 == 1 else share(7, n_text), n_text if i % 7 == 2 else share(11, n_text), i % 4 // 3,
-        i % 5 < 3, i % 3, names[i * 5 % len(names)], i % 3 * (i % 2), MEANS[i // 3 % 4], MEANS[i // 5 % 4], CLOSURES[i // 2 % len(CLOSURES)], i % 4 == 1, *(_state(i, k) for k in range(len(FIELDS))),
-    )
-
-
-SITE_ROWS = [_row(i) for i in range(N_SITES)]
 SITE_SCHEMA = (
     "site_id string, n_pages int, n_good int, n_text int, n_noindex int, n_canonical int, n_described int, n_blocked int, robots_accessible boolean, n_sitemaps int, profile string, n_offers int, "
     "mean_understanding double, mean_buyability double, closure string, has_price_value boolean, " + ", ".join(f"s_{f} string" for f in FIELDS)
 )
+#: What a customer's orders add to its key; the signals are made of the sum.
+FROM_ORDERS = "7 * count(o_orderkey) + coalesce(max(o_orderkey), 0) + coalesce(sum(o_orderkey % 11), 0)"
 
 
-def signal_rows(spark: SparkSession) -> DataFrame:
-    """The generated sites in the form that the rules read. A known or conflicting fact has a value, and a proof unless the site's place in the list is even."""
-    t = fixtures.table(spark, SITE_ROWS, SITE_SCHEMA)
+def _signals(div: str) -> list[str]:
+    """Columns of SITE_SCHEMA as SQL over (c_custkey, i); ``div`` is the dialect's whole division."""
+    pick = lambda at, values: "CASE " + at + " " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(values)) + " END"
+    text = "least(i % 7, i * 3 % 5)"
+    share = lambda m: f"(CASE WHEN {text} > 0 THEN least({text}, i * {m} % ({text} + 1)) ELSE 0 END)"
+    cast = lambda x, t="INT": f"CAST({x} AS {t})"
+    state = lambda k: pick(f"((i * {k + 2} + (i {div} {k + 3}) + {k}) % {len(STATES)})", STATES)
+    names = (*profile.PROFILES, "unknown")
+    made = {
+        "site_id": "concat('g', c_custkey)", "n_pages": cast("i % 7"), "n_good": cast(f"CASE WHEN i % 4 <> 0 THEN {share(5)} ELSE {text} END"), "n_text": cast(text), "n_noindex": cast(f"CASE WHEN i % 5 = 0 THEN {share(3)} ELSE 0 END"),
+        "n_canonical": cast(f"CASE WHEN i % 6 = 1 THEN {text} ELSE {share(7)} END"), "n_described": cast(f"CASE WHEN i % 7 = 2 THEN {text} ELSE {share(11)} END"), "n_blocked": cast(f"(i % 4) {div} 3"), "robots_accessible": "i % 5 < 3",
+        "n_sitemaps": cast("i % 3"), "profile": pick(f"((i * 5) % {len(names)})", names), "n_offers": cast("(i % 3) * (i % 2)"), "mean_understanding": cast(pick(f"((i {div} 3) % 4)", MEANS), "DOUBLE"),
+        "mean_buyability": cast(pick(f"((i {div} 5) % 4)", MEANS), "DOUBLE"), "closure": pick(f"((i {div} 2) % {len(CLOSURES)})", CLOSURES), "has_price_value": "i % 4 = 1",
+    }
+    made |= {f"s_{f}": f"CASE WHEN {state(k)} = 'conflicting' AND i % 3 <> 0 THEN 'known' ELSE {state(k)} END" for k, f in enumerate(FIELDS)}
+    return [f"{x} AS {name}" for name, x in made.items()]
+
+
+def numbered_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of every customer's site."""
+    customer, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    numbers = customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.expr(FROM_ORDERS).alias("k"))
+    return numbers.select("c_custkey", (F.col("c_custkey") + F.col("k")).cast("bigint").alias("i")).selectExpr(*_signals("div"))
+
+
+def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites in the form that the rules read. A known or conflicting fact has a value, and a proof unless the site's place in the list is even."""
+    t = numbered_sites(spark, sf_dir)
     pairs = lambda make: F.create_map(*(x for f in FIELDS for x in (F.lit(f), make(f))))
     here = lambda f: F.col(f"s_{f}").isin("known", "conflicting")
     value = lambda f: F.col("closure") if f == "commercial_status" else F.lit("x")
@@ -57,30 +64,44 @@ def signal_rows(spark: SparkSession) -> DataFrame:
 
 
 def rule_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.rule_results(signal_rows(spark)).select("site_id", "rule_id", "status", "points_awarded", "points_possible")
+    return rules.rule_results(signal_rows(spark, sf_dir)).select("site_id", "rule_id", "status", "points_awarded", "points_possible")
 
 
 def score_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.site_scores(rules.rule_results(signal_rows(spark)))
+    return rules.site_scores(rules.rule_results(signal_rows(spark, sf_dir)))
 
 
 def sanity_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = signal_rows(spark)
+    sites = signal_rows(spark, sf_dir)
     return rules.sanity(rules.recommendations(spark, rules.rule_results(sites)), sites).select("site_id", "issue_id", "rule_id", "contradiction")
 
 
 def final_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues that nothing contradicts, united with price inconsistencies (two pages of every ninth site), in the order of a report."""
-    sites = signal_rows(spark)
+    sites = signal_rows(spark, sf_dir)
     issues = rules.sanity(rules.recommendations(spark, rules.rule_results(sites)), sites)
     proof = F.struct(F.lit("u").alias("url"), F.lit("cta").alias("kind"), F.lit("9 €").alias("excerpt"), F.lit(None).cast("string").alias("selector"))
     torn = sites.where("cast(substr(site_id, 2) as int) % 9 = 0").select("site_id", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("url"), F.array(proof).alias("evidence"))
     return rules.final_issues(issues, torn).select("site_id", "place", "issue_id", "rule_id", "impact", F.size("evidence").alias("n_evidence"))
 
 
-QUERIES = {f.__name__: f for f in (rule_branches, score_branches, sanity_branches, final_issues)}
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What proves each verdict: a customer's orders are the proofs of its facts, those of one status its offers."""
+    sites = signal_rows(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("site_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    proof = F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("url"), F.lit("visible_text").alias("kind"), F.col("o_orderpriority").alias("excerpt"), F.lit(None).cast("string").alias("selector"))
+    field = F.element_at(F.array(*map(F.lit, FIELDS)), (F.col("o_orderkey") % len(FIELDS) + 1).cast("int"))
+    told = orders.groupBy("site_id", field.alias("field")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", proof.alias("e")))), lambda x: x["e"]), 1, 15).alias("evidence"))
+    states = sites.select("site_id", F.explode("state").alias("field", "state"))
+    facts = states.join(told, ["site_id", "field"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(told.schema["evidence"].dataType)))
+    offers = orders.where("o_orderstatus = 'O'").select("site_id", F.col("o_orderkey").alias("rank"), F.array(proof, proof).alias("evidence"))
+    results = rules.with_evidence(rules.rule_results(sites), facts, offers)
+    return results.select("site_id", "rule_id", "proof", F.size("evidence").alias("n_evidence"), F.try_element_at("evidence", F.lit(1))["url"].alias("first_url"), F.try_element_at("evidence", F.lit(-1))["url"].alias("last_url"))
 
-_G = fixtures.values(SITE_ROWS, SITE_SCHEMA)
+
+QUERIES = {f.__name__: f for f in (rule_branches, score_branches, sanity_branches, final_issues, rule_evidence)}
+
+_G = f"(SELECT {', '.join(_signals('//'))} FROM (SELECT c_custkey, (c_custkey + {FROM_ORDERS})::BIGINT AS i FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey))"
 _R = fixtures.values([(k, r, f, p) for k, (r, f, p) in enumerate(L.RULES)], "ord int, rule_id string, family string, points int")
 _SHARE = "CASE WHEN {n} > 0 THEN {part} / {whole}::DOUBLE ELSE 0.0 END"
 
@@ -184,11 +205,40 @@ _ISSUES = f"""WITH {results_sql(_G)},
 i0 AS (SELECT r.*, impact, title, row_number() OVER (PARTITION BY site_id, title ORDER BY ord) AS n FROM results r JOIN {_LISTED} USING (rule_id) WHERE status IN ('fail', 'partial')),
 i AS (SELECT *, printf('issue-%03d', row_number() OVER (PARTITION BY site_id ORDER BY ord)) AS issue_id, {_sanity_sql()} AS contradiction FROM i0 WHERE n = 1)"""
 
+def _proof_sql() -> str:
+    told = lambda f: f"CASE WHEN s_{f} IN ('known', 'conflicting') THEN '{f}' END"
+    own = {"ecommerce": "purchase_process", "service_with_booking": "booking_process", "service_with_quote_or_lead": "quote_process", "local_business": "contact_process"}
+    closed = "s_commercial_status = 'known' AND coalesce(closure IN ('temporarily_closed', 'permanently_closed', 'unavailable', 'seasonal'), false)"
+    price = "CASE WHEN s_pricing = 'known' THEN 'pricing' WHEN profile IN ('service_with_quote_or_lead', 'local_business') AND s_quote_process = 'known' THEN 'quote_process' END"
+    area = f"CASE WHEN profile = 'local_business' AND s_address = 'known' THEN 'address' ELSE {told('service_area')} END"
+    schema = "CASE WHEN s_structured_data = 'known' THEN 'structured_data' END"
+    each = {
+        "UNDR.IDENTITY.001": told("business_name"), "UNDR.ACTIVITY.002": told("activity_market"), "BUY.PAYMENT.005": told("payment"), "UNDR.OFFERS.003": f"CASE WHEN n_offers > 0 THEN '{rules.OFFERS}' END", "UNDR.PRICE.004": price, "BUY.PRICE.002": price,
+        "UNDR.AREA.005": area, "BUY.AREA.004": area, "UNDR.SCHEMA.006": schema, "BUY.MACHINE.007": schema, "UNDR.CONSISTENCY.007": f"CASE WHEN 'conflicting' IN ({', '.join(f's_{f}' for f in FIELDS)}) THEN '{rules.CONFLICTS}' END",
+        "BUY.CONVERSION.001": "CASE profile WHEN 'informational' THEN NULL " + " ".join(f"WHEN '{p}' THEN {told(f)}" for p, f in own.items()) + " ELSE CASE " + " ".join(f"WHEN s_{f} = 'known' THEN '{f}'" for f in own.values()) + " END END",
+        "BUY.AVAILABILITY.003": f"CASE WHEN {closed} THEN 'commercial_status' WHEN profile = 'local_business' AND s_opening_hours = 'known' THEN 'opening_hours' ELSE {told('availability')} END",
+        "BUY.POLICY.006": "CASE WHEN profile IN ('service_with_quote_or_lead', 'informational', 'local_business') THEN NULL WHEN profile = 'ecommerce' THEN CASE WHEN s_returns = 'known' THEN 'returns' END ELSE CASE WHEN s_cancellation = 'known' THEN 'cancellation' END END",
+    }
+    return "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in each.items()) + " END"
+
+
+_NAMED = "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
+_ALL_FIELDS = "[" + ", ".join(f"'{f}'" for f in L.FACT_FIELDS) + "]"
+
 ORACLES = {
+    "rule_evidence": f"""WITH {results_sql(_G)},
+p AS (SELECT site_id, rule_id, {_proof_sql()} AS proof FROM results),
+o AS (SELECT 'g' || o_custkey AS site_id, o_orderkey AS k, o_orderstatus, {_NAMED}[o_orderkey % {len(FIELDS)} + 1] AS field FROM orders),
+f AS (SELECT site_id, field, list('o' || k ORDER BY k)[1:15] AS e FROM o GROUP BY 1, 2),
+s AS (SELECT site_id, unnest({_NAMED}) AS field, unnest([{', '.join(f's_{f}' for f in FIELDS)}]) AS state FROM {_G} g),
+c AS (SELECT site_id, flatten(list(e ORDER BY list_position({_ALL_FIELDS}, field)))[1:10] AS e FROM s JOIN f USING (site_id, field) WHERE state = 'conflicting' GROUP BY 1),
+n AS (SELECT site_id, flatten(list(['o' || k, 'o' || k] ORDER BY k))[1:10] AS e FROM o WHERE o_orderstatus = 'O' GROUP BY 1),
+u AS (SELECT site_id, field AS proof, e FROM s JOIN f USING (site_id, field) WHERE state IN ('known', 'conflicting') UNION ALL SELECT site_id, '{rules.CONFLICTS}', e FROM c UNION ALL SELECT site_id, '{rules.OFFERS}', e FROM n)
+SELECT p.site_id, rule_id, p.proof, coalesce(len(e), 0)::INT AS n_evidence, e[1] AS first_url, e[-1] AS last_url FROM p LEFT JOIN u ON u.site_id = p.site_id AND u.proof = p.proof""",
     "rule_branches": f"WITH {results_sql(_G)} SELECT site_id, rule_id, status, points_awarded::DOUBLE AS points_awarded, points_possible FROM results",
     "score_branches": f"WITH {results_sql(_G)}, {SCORES_SQL}",
     "sanity_branches": f"{_ISSUES} SELECT site_id, issue_id, rule_id, contradiction FROM i",
     "final_issues": f"""{_ISSUES}, u AS (SELECT site_id, issue_id, rule_id, impact, 0 AS n_evidence FROM i WHERE contradiction IS NULL
-  UNION ALL SELECT site_id, printf('inconsistency-price-%d', k), '{rules.CONFLICT_RULE}', {rules.CONFLICT_IMPACT}, 1 FROM (SELECT site_id FROM {_G} WHERE substr(site_id, 2)::INT % 9 = 0), range(1, 3) t(k))
+  UNION ALL SELECT site_id, printf('inconsistency-price-%d', k), '{rules.CONFLICT_RULE}', {rules.CONFLICT_IMPACT}, 1 FROM (SELECT site_id FROM {_G} g WHERE substr(site_id, 2)::INT % 9 = 0), range(1, 3) t(k))
 SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY impact DESC, issue_id)::INT AS place FROM u""",
 }

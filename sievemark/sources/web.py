@@ -216,14 +216,15 @@ def report_html(scores: DataFrame, issues: DataFrame, facts: DataFrame | None =
     proofs = lambda: F.array_join(F.transform(F.slice("evidence", 1, PROOFS), lambda e: F.concat_ws(": ", e["url"], e["excerpt"])), " | ")
     c = F.col
     parts: dict[str, tuple[DataFrame, tuple[str, ...]]] = {
-        "Issues": (_rows(issues, [-c("impact"), c("issue_id") if "issue_id" in issues.columns else c("rule_id")], c("priority"), c("title"), c("impact")), ("Priority", "Issue", "Impact")),
+        "Issues": (_rows(issues, [-c("impact"), c("issue_id") if "issue_id" in issues.columns else c("rule_id")], c("priority"), c("title"), c("impact"), *([proofs()] if "evidence" in issues.columns else [])), ("Priority", "Issue", "Impact", *(["Proof"] if "evidence" in issues.columns else []))),
     }
     if facts is not None:
         parts["Facts"] = _rows(facts.where("state <> 'unknown'"), [c("field")], c("field"), c("state"), F.array_join("values", ", "), c("confidence"), proofs()), ("Fact", "State", "Values", "Confidence", "Proof")
     if offers is not None:
         parts["Offers"] = _rows(offers, [c("rank")], c("name"), c("offer_type"), c("price"), c("availability"), c("cta"), c("url"), proofs()), ("Offer", "Kind", "Price", "Availability", "Next step", "Page", "Proof")
     if results is not None:
-        parts["Rules"] = _rows(results, [c("ord")], c("rule_id"), c("status"), c("points_awarded"), c("points_possible")), ("Rule", "Status", "Points", "Of")
+        told = [proofs()] if "evidence" in results.columns else []
+        parts["Rules"] = _rows(results, [c("ord")], c("rule_id"), c("status"), c("points_awarded"), c("points_possible"), *told), ("Rule", "Status", "Points", "Of", *(["Proof"] if told else []))
     joined, body = scores, []
     for name, (rows, heads) in parts.items():
         joined = joined.join(rows.withColumnRenamed("rows", name), "site_id", "left")
