@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixtures
+from .. import fixtures, sql
 from .. import lexicons as L
 from ..operators import consolidate, crawl, facts, offers, profile, rules
 from ..plans import siteaudit
@@ -13,7 +13,7 @@ from ..sources import html
 from . import branches
 from .pages import PAGE_SCHEMA, all_pages
 from .pages import crawl as crawled
-from .texts import _HOST
+from .texts import _HOST, _REL
 
 
 def html_parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,13 @@ def html_parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.size("links").alias("n_links"), F.size("headings").alias("n_headings"), F.size("blocks").alias("n_blocks"), F.size("jsonld").alias("n_jsonld"), "description", "canonical")
 
 
+def sql_page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed from SQL, by the registered functions."""
+    sql.register(spark)
+    crawled(spark, sf_dir).createOrReplaceTempView("crawled_pages")
+    return spark.sql("SELECT url_host(url) AS site, count(*) AS n_pages, sum(size(h.links)) AS n_links, sum(size(h.headings)) AS n_headings, count_if(is_relevant_url(url)) AS n_relevant FROM crawled_pages, LATERAL parse_html(url, html) h GROUP BY url_host(url)")
+
+
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = html.parse(all_pages(spark, sf_dir), ["page_id"], "url")
     return p.select("page_id", F.posexplode("blocks").alias("ix", "b")).select("page_id", "ix", "b.heading", "b.tag", F.length("b.text").alias("n_text"), F.size("b.actions").alias("n_actions"), F.size("b.ancestors").alias("n_ancestors"))
@@ -224,7 +231,7 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        html_parse_summary, html_blocks, html_under_render, jsonld_type_counts, jsonld_facts, jsonld_offers, facts_long, fact_resolution, status_priority, not_applicable, offers_dedupe, offers_rank_top50,
+        html_parse_summary, sql_page_parse, html_blocks, html_under_render, jsonld_type_counts, jsonld_facts, jsonld_offers, facts_long, fact_resolution, status_priority, not_applicable, offers_dedupe, offers_rank_top50,
         offers_consolidated, offer_extraction, offer_completeness, price_inconsistency, profile_classification, rule_results, site_scores, site_audit_signals, coverage_confidence, issues_ranked,
         issues_sanity_rejected, crawl_bfs, robots_sitemaps, robots_rules, sitemap_urls,
     )
@@ -259,6 +266,8 @@ _RULES_SQL = f"WITH {branches.results_sql(_CRAWLED)}"
 ORACLES = {
     "html_parse_summary": r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INT AS n_links, len(list_distinct(regexp_extract_all(html, '<h[1-3]>')))::INT AS n_headings,
   len(regexp_extract_all(html, '<h[1-3]>'))::INT AS n_blocks, 0 AS n_jsonld, '' AS description, NULL::VARCHAR AS canonical FROM pages""",
+    "sql_page_parse": rf"""SELECT {_HOST} AS site, count(*) AS n_pages, sum(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))))::BIGINT AS n_links, sum(len(list_distinct(regexp_extract_all(html, '<h[1-3]>'))))::BIGINT AS n_headings,
+  count(*) FILTER ({_REL}) AS n_relevant FROM pages GROUP BY 1""",
     "jsonld_type_counts": "SELECT * FROM " + V([("j1.test", "Product", 1), ("j1.test", "Offer", 1), ("j2.test", "Organization", 1), ("j2.test", "Store", 1), ("j2.test", "FAQPage", 1), ("j3.test", "Event", 2), ("j5.test", "Course", 1)], "site_id string, type string, n bigint"),
     "jsonld_facts": "SELECT * FROM " + V([("j1.test", "pricing", "29.00", 1.0), ("j1.test", "availability", "InStock", 1.0), ("j2.test", "business_name", "Acme", 1.0), ("j2.test", "address", "1 rue A, Paris", 1.0), ("j2.test", "faq", "FAQPage", 1.0)], "site_id string, field string, value string, confidence double"),
     "jsonld_offers": "SELECT * FROM " + V([("j1.test", "Gourde", "product", "product", 29.0, "EUR", "InStock"), ("j3.test", "New", "reservation", "booking", None, None, None), ("j5.test", "Loom", "formation", "formation", 10.0, "USD", None)], "site_id string, name string, offer_type string, candidate_role string, price_value double, currency string, availability string"),

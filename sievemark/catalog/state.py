@@ -85,6 +85,21 @@ def email_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.settled(ledger, due.withColumn("sent", F.col("delivery_key") != "readiness_drop:8"))
 
 
+LIFE_SECONDS = 24 * 3600
+
+
+def events_as_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as commands to a ledger: a user is a delivery key, an error a failure, a purchase a success, anything else asks to send."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "sent").otherwise("reserve")
+    return e.select(F.col("user_id").cast("string").alias("delivery_key"), event.alias("event"), F.col("ts").alias("at"), F.col("event_id").alias("ord"))
+
+
+def delivery_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = state.deliveries(events_as_deliveries(spark, sf_dir), life_seconds=LIFE_SECONDS)
+    return out.select("delivery_key", "ord", "event", "granted", "status")
+
+
 def welcome_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.welcome_deliveries(fixtures.table(spark, fixtures.EVENTS, EVENT_SCHEMA), fixtures.table(spark, KNOWN_LEADS, KNOWN_SCHEMA))
 
@@ -128,7 +143,7 @@ def recheck_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        monitoring_delta, monitoring_alerts, monitoring_cases, leads_validate, leads_upsert, events_dedup, subscription_fold, subscription_fold_events, email_ledger, welcome_due, unique_lead_match,
+        monitoring_delta, monitoring_alerts, monitoring_cases, leads_validate, leads_upsert, events_dedup, subscription_fold, subscription_fold_events, email_ledger, delivery_ledger, welcome_due, unique_lead_match,
         entitlement_active, checkout_decision, signature_check, remediation_lookup, recheck_state,
     )
 }
@@ -166,6 +181,15 @@ SELECT subscription, arg_max(s, ord) AS status, arg_max(customer, ord) AS custom
     "subscription_fold_events": """SELECT user_id, event_type AS last_type, n AS n_events, event_id AS last_event FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1""",
     "email_ledger": "SELECT * FROM " + V([("founder_welcome:l1:sub1", "sent"), ("founder_welcome:l2:sub2", "sent"), ("readiness_drop:7", "pending"), ("readiness_drop:8", "failed")], "delivery_key string, status string"),
+    # A fold over each key's events in order, one at a time: [last time, last event, status, ...] with what every event got.
+    "delivery_ledger": f"""WITH e AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) AS us, event_id AS ord, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'sent' ELSE 'reserve' END AS event FROM events),
+l AS (SELECT k, list({{'us': us, 'ord': ord, 'event': event, 'granted': NULL::BOOLEAN, 'status': NULL::VARCHAR}} ORDER BY us, ord) AS es FROM e GROUP BY k),
+f AS (SELECT k, list_reduce(list_transform(es, lambda x: [x]), lambda a, b: list_append(a, {{'us': b[1].us, 'ord': b[1].ord, 'event': b[1].event,
+    'granted': CASE WHEN b[1].event = 'reserve' THEN b[1].us - a[-1].us > {LIFE_SECONDS * 1_000_000} OR a[-1].status IS NULL OR a[-1].event = 'failed' END,
+    'status': CASE WHEN b[1].us - a[-1].us > {LIFE_SECONDS * 1_000_000} OR a[-1].status IS NULL THEN CASE WHEN b[1].event = 'reserve' THEN 'pending' END
+      WHEN b[1].event <> 'reserve' THEN b[1].event WHEN a[-1].event = 'failed' THEN 'pending' ELSE a[-1].status END}}),
+    [{{'us': -{LIFE_SECONDS * 1_000_000 * 2}, 'ord': -1::BIGINT, 'event': '', 'granted': NULL::BOOLEAN, 'status': NULL::VARCHAR}}]) AS es FROM l)
+SELECT k AS delivery_key, x.ord AS ord, x.event AS event, x.granted AS granted, x.status AS status FROM (SELECT k, unnest(es) AS x FROM f) WHERE x.ord >= 0 AND x.status IS NOT NULL""",
     "welcome_due": f"""SELECT DISTINCT 'founder_welcome:' || l.lead_id || ':' || subscription_id AS delivery_key, l.lead_id FROM {_L} l JOIN {_E} e ON e.subscription = l.subscription_id
 WHERE subscription_status = 'active' AND price_locked AND type IN ('invoice.paid', 'customer.subscription.created', 'customer.subscription.updated')""",
     "unique_lead_match": f"SELECT email, min(lead_id) AS lead_id FROM {_L} WHERE email IN ('a@x.test', 'c@x.test', 'z@x.test') GROUP BY email HAVING count(*) = 1",
