@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..operators import state
+from ..plans import pageaudit
 
 HISTORY_SCHEMA = "session string, at string, url string, score int, readiness_state string, may_monitor boolean"
 LEAD_SCHEMA = "ord int, email string, website_url string, readiness_score string, visibility_score string, understanding_score string, buyability_score string, audit_status string"
@@ -133,6 +134,18 @@ def remediation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.remediation(t).select("id", "meta_action", "meta_category")
 
 
+def remediation_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do about the next actions of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    audits = pageaudit.inspect(pages)
+    of_group = lambda g: F.transform(F.col("evidence")[g], lambda e: F.struct(e["label"].alias("label"), e["excerpt"].alias("excerpt")))
+    by_group = F.create_map(*(x for g in audits.schema["evidence"].dataType.names for x in (F.lit(g), of_group(g))))
+    audits = audits.select(F.col("page_id").alias("audit_id"), by_group.alias("evidence"), F.col("capabilities")["conversion"].alias("conversion"), "next_actions")
+    actions = audits.select("audit_id", F.posexplode("next_actions").alias("k", "a")).select("audit_id", "k", F.col("a.title").alias("title"), F.lit("observed").alias("reason"), F.lit(None).cast("string").alias("action_id"), F.lit(None).cast("string").alias("category"))
+    out = state.remediation_plan(actions, audits.drop("next_actions"))
+    return out.select("audit_id", "k", "title", "template", F.size("relevant").alias("n_relevant"), F.array_join("affected", ",").alias("affected"), "insufficient")
+
+
 def recheck_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = spark.createDataFrame([(1, "Explain price or the quote process", None, None), (1, "State availability or timing", None, None), (2, "Add a clear commercial next step", None, None), (3, "Make the main offer explicit", None, None), (4, "Anything", None, "booking_path")], "audit_id int, title string, action_id string, category string")
     audits = spark.createDataFrame([(1, "complete", "full", "meaningful"), (2, "blocked", "blocked", "insufficient_evidence"), (4, "complete", "full", "meaningful")], "audit_id int, status string, acquisition string, score_status string")
@@ -144,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         monitoring_delta, monitoring_alerts, monitoring_cases, leads_validate, leads_upsert, events_dedup, subscription_fold, subscription_fold_events, email_ledger, delivery_ledger, welcome_due, unique_lead_match,
-        entitlement_active, checkout_decision, signature_check, remediation_lookup, recheck_state,
+        entitlement_active, checkout_decision, signature_check, remediation_lookup, remediation_plans, recheck_state,
     )
 }
 

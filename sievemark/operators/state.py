@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .. import lexicons as L
 from ..functions import urls
@@ -210,6 +211,33 @@ def remediation(actions: DataFrame) -> DataFrame:
     return actions.select("*", F.coalesce(F.nullif("action_id", F.lit("")), at(names), F.lit("unknown")).alias("meta_action"), F.coalesce(F.nullif("category", F.lit("")), at(categories), F.lit("unknown")).alias("meta_category"))
 
 
+DIMENSIONS = ("visibility", "understanding", "buyability")
+
+
+def remediation_plan(actions: DataFrame, audits: DataFrame) -> DataFrame:
+    """What to do about each action (audit_id, title, reason, action_id, category) of an audit, and what the audit showed of it.
+
+    ``audits``: (audit_id, evidence: map of lists of (label, excerpt), conversion: state of that capability). Adds to the template found by
+    :func:`remediation`: ``relevant``, the proofs whose label or excerpt holds one of the title's first three words; ``affected``, the
+    dimensions without proof, and buyability where no conversion was observed; ``insufficient``, if no template fits or no reason is given.
+    """
+    joined = remediation(actions.withColumn("title", F.trim(F.coalesce("title", F.lit(""))))).join(audits.select("audit_id", "evidence", "conversion"), "audit_id", "left")
+    names, categories = (F.array(*(F.lit(r[i]) for r in L.REMEDIATIONS)) for i in (0, 1))
+    found = F.coalesce(F.when(F.array_contains(names, F.col("meta_action")), F.col("meta_action")), F.get(names, F.nullif(F.array_position(categories, F.col("meta_category")), F.lit(0)).cast("int") - 1), F.lit("unknown"))
+    lists = F.coalesce(F.map_values("evidence"), F.array().cast(ArrayType(audits.schema["evidence"].dataType.valueType)))
+    shown = F.filter(F.flatten(F.filter(lists, lambda x: x.isNotNull())), lambda e: (F.coalesce(e["label"], F.lit("")) != "") | (F.coalesce(e["excerpt"], F.lit("")) != ""))
+    words = F.slice(F.split(F.lower("title"), r"\s+"), 1, 3)
+    said = lambda e: F.lower(F.concat(F.coalesce(e["label"], F.lit("")), F.lit(" "), F.coalesce(e["excerpt"], F.lit(""))))
+    relevant = F.filter(shown, lambda e: F.exists(words, lambda w: F.contains(said(e), w)))
+    observed = F.coalesce(F.contains("conversion", F.lit("OBSERVED")), F.lit(False))
+    empty = lambda d: F.coalesce(F.size(F.col("evidence")[d]) == 0, F.lit(True))
+    affected = F.array_compact(F.array(*(F.when(empty(d) | (F.lit(d == "buyability") & ~observed), d) for d in DIMENSIONS)))
+    no_reason = F.trim(F.coalesce("reason", F.lit(""))) == ""
+    return joined.select(
+        *actions.columns, "meta_action", "meta_category", found.alias("template"), relevant.alias("relevant"), affected.alias("affected"), ((found == "unknown") | no_reason).alias("insufficient"), (F.size(relevant) > 0).alias("located"),
+    )
+
+
 def recheck(originals: DataFrame, audits: DataFrame, actions: DataFrame) -> DataFrame:
     """State of each original action (audit_id, title, …) in the next audit.
 

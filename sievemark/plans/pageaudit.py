@@ -264,9 +264,11 @@ def _gaps(has: dict[str, Column], blocked: Column, n_buyability: Column) -> Colu
 def with_rendered(static: DataFrame, rendered: DataFrame, key: str = "url") -> DataFrame:
     """Audits where a rendered page, if one was made for a thin one, replaces the static reading; else the static one stays.
 
-    ``rendered`` has the columns of ``inspect(..., method="rendered")``; its blocked and limited readings don't replace.
+    ``rendered`` has the columns of ``inspect(..., method="rendered")``; its blocked and limited readings don't replace, and of several
+    of one key the first by ``page_id`` counts, so that pages that repeat a URL stay as many as they are.
     """
-    good = rendered.where(F.col("status") == "complete").select(F.col(key).alias("_key"), F.struct(*static.columns).alias("_new"))
+    complete = rendered.where(F.col("status") == "complete").where(F.col(key).isNotNull())
+    good = complete.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*static.columns), F.col("page_id")).alias("_new"))
     joined = static.join(good, F.col(key) == F.col("_key"), "left")
     take = F.col("_new").isNotNull() & F.col("rendering_recommended")
     return joined.select(*(F.when(take, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in static.columns), F.when(take, "rendered").otherwise("static").alias("method"))
