@@ -27,6 +27,40 @@ LEDGER = [("founder_welcome:l1:sub1", "failed"), ("founder_welcome:l2:sub2", "se
 WANTED = [("founder_welcome:l1:sub1",), ("founder_welcome:l2:sub2",), ("readiness_drop:7",), ("readiness_drop:8",), ("readiness_drop:8",)]
 
 
+#: Rows of the state queries from the given tables, as SQL that Spark and the twins read alike; the cases written down come beside them.
+LEAD_ROWS = (
+    "SELECT CAST(o_orderkey + 1000 AS INT) AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 'no at' WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat(' Customer', o_custkey % 400, '@X.test') END AS email, "
+    "CASE WHEN o_orderkey % 11 = 0 THEN 'http://10.0.0.8/' WHEN o_orderkey % 17 = 0 THEN 'ftp://x.test/' ELSE concat('https://s', o_custkey % 5, '.test/ ') END AS website_url, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN '12.5' ELSE concat('', o_orderkey % 130) END AS readiness_score, CAST(NULL AS STRING) AS visibility_score, CAST(NULL AS STRING) AS understanding_score, "
+    "CAST(NULL AS STRING) AS buyability_score, CASE o_orderstatus WHEN 'F' THEN ' Complete' WHEN 'O' THEN 'limited' ELSE 'odd' END AS audit_status FROM orders"
+)
+EVENT_ROWS = (
+    "SELECT CAST(event_id + 1000 AS INT) AS ord, concat('t', event_id - CASE WHEN event_id % 9 = 1 THEN 1 ELSE 0 END) AS event_id, CASE event_type WHEN 'error' THEN 'customer.subscription.deleted' WHEN 'purchase' THEN 'invoice.paid' "
+    "WHEN 'click' THEN 'invoice.payment_failed' WHEN 'view' THEN 'customer.subscription.updated' ELSE 'checkout.session.completed' END AS type, CASE WHEN event_id % 29 = 0 THEN NULL ELSE concat('u', user_id) END AS subscription, "
+    "concat('c', user_id % 10) AS customer, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'active' WHEN 2 THEN 'past_due' ELSE 'trialing' END AS status, CASE WHEN event_id % 6 = 0 THEN concat('l', user_id) END AS lead_id FROM events"
+)
+KNOWN_ROWS = (
+    "SELECT concat('k', c_custkey) AS lead_id, concat('m', c_custkey - c_custkey % 3 * (c_custkey % 2), '@y.test') AS email, concat('https://k', c_custkey, '.test/') AS website_url, "
+    "CASE WHEN c_acctbal > 2000 THEN 'active' WHEN c_acctbal > 0 THEN 'past_due' END AS subscription_status, c_custkey % 5 <> 0 AS price_locked, CASE WHEN c_custkey % 7 <> 0 THEN concat('u', c_custkey) END AS subscription_id FROM customer"
+)
+TOKEN_ROWS = "SELECT concat('k', o_custkey) AS lead_id, concat('https://k', o_custkey - CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END, '.test/') AS website_url, CAST({now} + o_orderkey % 5 - 2 AS BIGINT) AS exp FROM orders"
+CHECKOUT_ROWS = (
+    "SELECT CAST(c_custkey + 100 AS INT) AS id, CASE WHEN c_custkey % 9 <> 0 THEN concat('k', c_custkey) END AS lead_id, CASE WHEN c_acctbal > 4000 THEN 'active' WHEN c_acctbal > 0 THEN 'canceled' END AS subscription_status, "
+    "CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS price_locked, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS INT) END AS slots_left FROM customer"
+)
+
+
+def from_tables(spark: SparkSession, sf_dir: str, rows: str, cases: list[tuple], schema: str) -> DataFrame:
+    """``rows`` of a given table after the cases written down."""
+    table = rows.rsplit(" ", 1)[1]
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"given_{table}")
+    return fixtures.table(spark, cases, schema).unionByName(spark.sql(f"{rows.removesuffix(table)}given_{table}"))
+
+
+def _sql_rows(rows: str, cases: list[tuple], schema: str) -> str:
+    return f"(SELECT * FROM {fixtures.values(cases, schema)} UNION ALL BY NAME ({rows}))"
+
+
 def events_as_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user read as audits of a session: value as score, type as URL; an error is a limited audit."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -53,11 +87,11 @@ def monitoring_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leads_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.validated_leads(fixtures.table(spark, fixtures.LEADS, LEAD_SCHEMA)).select("ord", "email", "website_url", "readiness_score", "audit_status", "reject")
+    return state.validated_leads(from_tables(spark, sf_dir, LEAD_ROWS, fixtures.LEADS, LEAD_SCHEMA)).select("ord", "email", "website_url", "readiness_score", "audit_status", "reject")
 
 
 def leads_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = state.validated_leads(fixtures.table(spark, fixtures.LEADS, LEAD_SCHEMA)).where("reject is null").drop("reject")
+    good = state.validated_leads(from_tables(spark, sf_dir, LEAD_ROWS, fixtures.LEADS, LEAD_SCHEMA)).where("reject is null").drop("reject")
     return state.upserted(good)
 
 
@@ -70,7 +104,7 @@ def events_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscription_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.subscription_states(fixtures.table(spark, fixtures.EVENTS, EVENT_SCHEMA))
+    return state.subscription_states(from_tables(spark, sf_dir, EVENT_ROWS, fixtures.EVENTS, EVENT_SCHEMA))
 
 
 def subscription_fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,21 +136,21 @@ def delivery_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def welcome_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.welcome_deliveries(fixtures.table(spark, fixtures.EVENTS, EVENT_SCHEMA), fixtures.table(spark, KNOWN_LEADS, KNOWN_SCHEMA))
+    return state.welcome_deliveries(from_tables(spark, sf_dir, EVENT_ROWS, fixtures.EVENTS, EVENT_SCHEMA), from_tables(spark, sf_dir, KNOWN_ROWS, KNOWN_LEADS, KNOWN_SCHEMA))
 
 
 def unique_lead_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = fixtures.table(spark, KNOWN_LEADS, KNOWN_SCHEMA)
-    asked = fixtures.table(spark, [("a@x.test",), ("c@x.test",), ("z@x.test",)], "email string")
+    leads = from_tables(spark, sf_dir, KNOWN_ROWS, KNOWN_LEADS, KNOWN_SCHEMA)
+    asked = fixtures.table(spark, [("a@x.test",), ("c@x.test",), ("z@x.test",)], "email string").unionByName(leads.where("email LIKE '%@y.test'").select("email").distinct())
     return state.unique_matches(asked, leads, "email")
 
 
 def entitlement_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.entitlements(fixtures.table(spark, TOKENS, TOKEN_SCHEMA), fixtures.table(spark, KNOWN_LEADS, KNOWN_SCHEMA), NOW)
+    return state.entitlements(from_tables(spark, sf_dir, TOKEN_ROWS.format(now=NOW), TOKENS, TOKEN_SCHEMA), from_tables(spark, sf_dir, KNOWN_ROWS, KNOWN_LEADS, KNOWN_SCHEMA), NOW)
 
 
 def checkout_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.table(spark, [(i, *r) for i, r in enumerate(CHECKOUTS)], f"id int, {CHECKOUT_SCHEMA}")
+    t = from_tables(spark, sf_dir, CHECKOUT_ROWS, [(i, *r) for i, r in enumerate(CHECKOUTS)], f"id int, {CHECKOUT_SCHEMA}")
     return t.select("id", state.checkout_state().alias("state"))
 
 
@@ -165,13 +199,13 @@ V = fixtures.values
 _HIST = """h AS (SELECT user_id AS session, ts, event_id, event_type AS url, CASE WHEN event_type <> 'error' THEN floor(least(value, 100.0))::INT END AS score FROM events),
 m AS (SELECT *, lag(score) OVER w AS ps, lag(url) OVER w AS pu FROM h WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)),
 d AS (SELECT *, CASE WHEN score IS NOT NULL AND ps IS NOT NULL AND pu = url THEN ps END AS previous_score FROM m)"""
-_LEADS = V(fixtures.LEADS, LEAD_SCHEMA)
+_LEADS = _sql_rows(LEAD_ROWS, fixtures.LEADS, LEAD_SCHEMA)
 _VALID = rf"""v AS (SELECT ord, lower(trim(email)) AS email, trim(website_url) AS website_url, lower(trim(audit_status)) AS audit_status, readiness_score AS r, visibility_score AS vs, understanding_score AS us, buyability_score AS bs FROM {_LEADS}),
 w AS (SELECT *, CASE WHEN NOT coalesce(regexp_full_match(email, '[^\s@]+@[^\s@]+\.[^\s@]+') AND length(email) <= 254, false) THEN 'email'
   WHEN NOT coalesce(regexp_matches(website_url, '^https?://') AND NOT regexp_matches(website_url, '://10\.'), false) THEN 'website_url' WHEN NOT coalesce(audit_status IN ('complete', 'limited', 'blocked'), false) THEN 'audit_status'
   WHEN r IS NOT NULL AND NOT coalesce(r::DOUBLE = floor(r::DOUBLE) AND r::DOUBLE BETWEEN 0 AND 100, false) THEN 'readiness_score' END AS reject FROM v)"""
-_L = V(KNOWN_LEADS, KNOWN_SCHEMA)
-_E = V(fixtures.EVENTS, EVENT_SCHEMA)
+_L = _sql_rows(KNOWN_ROWS, KNOWN_LEADS, KNOWN_SCHEMA)
+_E = _sql_rows(EVENT_ROWS, fixtures.EVENTS, EVENT_SCHEMA)
 _SUBS = "'customer.subscription.created', 'customer.subscription.updated', 'customer.subscription.deleted', 'invoice.paid', 'invoice.payment_failed'"
 
 ORACLES = {
@@ -205,11 +239,11 @@ f AS (SELECT k, list_reduce(list_transform(es, lambda x: [x]), lambda a, b: list
 SELECT k AS delivery_key, x.ord AS ord, x.event AS event, x.granted AS granted, x.status AS status FROM (SELECT k, unnest(es) AS x FROM f) WHERE x.ord >= 0 AND x.status IS NOT NULL""",
     "welcome_due": f"""SELECT DISTINCT 'founder_welcome:' || l.lead_id || ':' || subscription_id AS delivery_key, l.lead_id FROM {_L} l JOIN {_E} e ON e.subscription = l.subscription_id
 WHERE subscription_status = 'active' AND price_locked AND type IN ('invoice.paid', 'customer.subscription.created', 'customer.subscription.updated')""",
-    "unique_lead_match": f"SELECT email, min(lead_id) AS lead_id FROM {_L} WHERE email IN ('a@x.test', 'c@x.test', 'z@x.test') GROUP BY email HAVING count(*) = 1",
+    "unique_lead_match": f"SELECT email, min(lead_id) AS lead_id FROM {_L} WHERE email IN ('a@x.test', 'c@x.test', 'z@x.test') OR email LIKE '%@y.test' GROUP BY email HAVING count(*) = 1",
     "entitlement_active": f"""SELECT t.lead_id, t.website_url, t.exp, coalesce(t.exp > {NOW} AND l.website_url = t.website_url AND subscription_status = 'active' AND price_locked AND subscription_id <> '', false) AS active
-FROM {V(TOKENS, TOKEN_SCHEMA)} t LEFT JOIN {_L} l ON t.lead_id = l.lead_id""",
+FROM {_sql_rows(TOKEN_ROWS.format(now=NOW), TOKENS, TOKEN_SCHEMA)} t LEFT JOIN {_L} l ON t.lead_id = l.lead_id""",
     "checkout_decision": f"""SELECT id, CASE WHEN lead_id IS NULL THEN 'lead_missing' WHEN subscription_status = 'active' THEN 'already_active' WHEN coalesce(price_locked, false) THEN 'ineligible'
-  WHEN coalesce(slots_left, 0) <= 0 THEN 'exhausted' ELSE 'checkout' END AS state FROM {V([(i, *r) for i, r in enumerate(CHECKOUTS)], "id int, " + CHECKOUT_SCHEMA)}""",
+  WHEN coalesce(slots_left, 0) <= 0 THEN 'exhausted' ELSE 'checkout' END AS state FROM {_sql_rows(CHECKOUT_ROWS, [(i, *r) for i, r in enumerate(CHECKOUTS)], "id int, " + CHECKOUT_SCHEMA)}""",
     "remediation_lookup": "SELECT * FROM " + V(
         [(0, "commercial_accessibility", "buyability"), (1, "pricing", "missing_or_unclear_pricing"), (2, "cta", "weak_commercial_next_step"), (3, "availability", "commercial_availability"), (4, "offer", "offer_detail"),
          (5, "unknown", "unknown"), (6, "schema", "structured_data"), (7, "booking", "booking_path"), (8, "commercial_accessibility", "buyability"), (9, "booking", "booking_path")],
