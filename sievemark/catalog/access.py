@@ -11,7 +11,7 @@ from ..operators import access, state
 from ..plans import pageaudit
 from .pages import ORACLES as PAGE_ORACLES
 from .pages import all_pages
-from .state import NOW
+from .state import NOW, _sql_rows, from_tables
 
 SECRET = "k" * 40
 PRICE, LINK = "price_1", "plink_1"
@@ -49,6 +49,25 @@ ANSWERS = [
     (i, _GOOD % a) for i, a in enumerate((c, a, r, n, j) for c in ("product", "nonsense", "legal") for a in ("true", "1", "null") for r in ("null", '"Lamp"', "3") for n in ("0.5", "1", "1.5", "-0.1", '"0.5"', "true") for j in (" fits ", "  "))
 ] + [(900, "{}"), (901, None), (902, "not json"), (903, _GOOD[:-1] % ("product", "true", "null", "1", "x") + ', "more": 1}'), (904, "[]"), (905, '{"classification": "product", "accept": true, "confidence": 1, "justification": "x"}')]
 
+#: The same from the given tables, as SQL that Spark and the twins read alike; they come after the rows above.
+IDENTITY_ROWS = (
+    "SELECT CAST(c_custkey + 100 AS INT) AS id, CASE c_custkey % 6 WHEN 0 THEN concat(' M', c_custkey, '@B.test ') WHEN 1 THEN 'a@b' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE concat('c', c_custkey, '@d.test') END AS email, "
+    "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'https://localhost/' ELSE concat('https://s', c_nationkey, '.test/', c_custkey) END AS website_url FROM customer"
+)
+VISIT_ROWS = "SELECT CAST(event_id + 100 AS INT) AS id, CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 'checkout_started' WHEN 'view' THEN 'audit_completed' ELSE event_type END AS event, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS submitted FROM events"
+RENDER_ROWS = (
+    "SELECT CAST(event_id + 1000 AS INT) AS id, event_id % 7 <> 0 AS safe, CAST(CASE event_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN NULL ELSE 200 END AS INT) AS http_status, "
+    "CASE user_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS success, CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN NULL ELSE props END AS html, event_id % 17 = 0 AS timed_out FROM events"
+)
+REQUEST_ROWS = (
+    "SELECT CAST(o_orderkey + 1000 AS INT) AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'GET' ELSE 'POST' END AS method, CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 9000 ELSE 100 END AS INT) AS declared, "
+    "CASE o_orderkey % 5 WHEN 0 THEN '{' WHEN 1 THEN NULL ELSE concat('{\"k\":', o_orderkey, '}') END AS body, o_custkey % 3 <> 0 AS valid, CASE WHEN o_custkey % 2 = 0 THEN true END AS created, o_orderstatus = 'P' AS conflict FROM orders"
+)
+FAILURE_ROWS = (
+    "SELECT CAST(o_orderkey + 1000 AS INT) AS id, CAST(CASE o_custkey % 8 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 422 WHEN 4 THEN 500 WHEN 5 THEN 302 END AS INT) AS status, "
+    "CASE o_orderstatus WHEN 'F' THEN 'TypeError' WHEN 'O' THEN 'Error' END AS error, o_orderkey % 2 = 0 AS has_cause FROM orders"
+)
+
 
 def _t(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return fixtures.table(spark, rows, schema)
@@ -61,25 +80,25 @@ def lead_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkout_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.checkout_identity(_t(spark, IDENTITIES, IDENTITY_SCHEMA)).select("id", "email", "reject", F.col("website_url").isNull().alias("no_url"))
+    return access.checkout_identity(from_tables(spark, sf_dir, IDENTITY_ROWS, IDENTITIES, IDENTITY_SCHEMA)).select("id", "email", "reject", F.col("website_url").isNull().alias("no_url"))
 
 
 def visit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _t(spark, VISITS, VISIT_SCHEMA)
+    t = from_tables(spark, sf_dir, VISIT_ROWS, VISITS, VISIT_SCHEMA)
     return t.select("id", access.report_access(F.col("submitted")).alias("a"), access.conversion_measure(F.col("event")).alias("measure"), access.confirmed(F.col("submitted"), F.col("event") == "checkout_started").alias("confirmed")).select("id", "a.*", "measure", "confirmed")
 
 
 def renderer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, RENDERS, RENDER_SCHEMA).select("id", access.renderer_status(*map(F.col, ("safe", "http_status", "success", "html", "timed_out"))).alias("status"))
+    return from_tables(spark, sf_dir, RENDER_ROWS, RENDERS, RENDER_SCHEMA).select("id", access.renderer_status(*map(F.col, ("safe", "http_status", "success", "html", "timed_out"))).alias("status"))
 
 
 def request_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return _t(spark, REQUESTS, REQUEST_SCHEMA).select("id", access.request_code(c("method"), "POST", c("declared"), c("body"), c("valid"), c("created"), c("conflict")).alias("code"))
+    return from_tables(spark, sf_dir, REQUEST_ROWS, REQUESTS, REQUEST_SCHEMA).select("id", access.request_code(c("method"), "POST", c("declared"), c("body"), c("valid"), c("created"), c("conflict")).alias("code"))
 
 
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, FAILURES, FAILURE_SCHEMA).select("id", access.failure_kind(*map(F.col, ("status", "error", "has_cause"))).alias("kind"))
+    return from_tables(spark, sf_dir, FAILURE_ROWS, FAILURES, FAILURE_SCHEMA).select("id", access.failure_kind(*map(F.col, ("status", "error", "has_cause"))).alias("kind"))
 
 
 def subscription_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,15 +173,15 @@ ORACLES = {
     "lead_payloads": f"""SELECT 'reader' || page_id || '@x.test' AS email, trim(url) AS website_url, observed_readiness AS readiness_score, visibility AS visibility_score, understanding AS understanding_score, buyability AS buyability_score, status AS audit_status, page_id
 FROM ({PAGE_ORACLES["page_audit_scores"]}) s JOIN (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM {V(fixtures.PAGES, "page_id bigint, url string, html string")}) USING (page_id)""",
     "checkout_identities": rf"""SELECT id, email, CASE WHEN NOT good THEN 'email' WHEN NOT safe THEN 'website_url' END AS reject, NOT safe AS no_url FROM (SELECT id, lower(trim(email)) AS email,
-  coalesce(length(trim(email)) <= 254 AND regexp_full_match(lower(trim(email)), '[^\s@]+@[^\s@]+\.[^\s@]+'), false) AS good, coalesce(website_url <> '' AND length(website_url) <= 2048 AND website_url LIKE '%://%' AND website_url NOT LIKE '%localhost%', false) AS safe FROM {V(IDENTITIES, IDENTITY_SCHEMA)})""",
+  coalesce(length(trim(email)) <= 254 AND regexp_full_match(lower(trim(email)), '[^\s@]+@[^\s@]+\.[^\s@]+'), false) AS good, coalesce(website_url <> '' AND length(website_url) <= 2048 AND website_url LIKE '%://%' AND website_url NOT LIKE '%localhost%', false) AS safe FROM {_sql_rows(IDENTITY_ROWS, IDENTITIES, IDENTITY_SCHEMA)})""",
     "visit_states": f"""SELECT id, submitted IS NOT TRUE AS full_report_hidden, submitted IS NOT TRUE AS founder_offer_hidden, CASE event WHEN 'audit_completed' THEN 'custom' WHEN 'checkout_started' THEN 'contents' END AS measure,
-  coalesce(submitted AND event = 'checkout_started', false) AS confirmed FROM {V(VISITS, VISIT_SCHEMA)}""",
+  coalesce(submitted AND event = 'checkout_started', false) AS confirmed FROM {_sql_rows(VISIT_ROWS, VISITS, VISIT_SCHEMA)}""",
     "renderer_codes": f"""SELECT id, CASE WHEN NOT safe OR coalesce(http_status IN (401, 403, 429, 451), false) THEN 'blocked' WHEN timed_out THEN 'timeout' WHEN http_status IS NULL THEN 'unavailable'
-  WHEN http_status // 100 <> 2 OR success IS NOT TRUE OR coalesce(trim(html), '') = '' THEN 'failed' ELSE 'success' END AS status FROM {V(RENDERS, RENDER_SCHEMA)}""",
+  WHEN http_status // 100 <> 2 OR success IS NOT TRUE OR coalesce(trim(html), '') = '' THEN 'failed' ELSE 'success' END AS status FROM {_sql_rows(RENDER_ROWS, RENDERS, RENDER_SCHEMA)}""",
     "request_codes": f"""SELECT id, CASE WHEN method <> 'POST' THEN 405 WHEN coalesce(declared, 0) > 8192 OR coalesce(strlen(body), 0) > 8192 THEN 413 WHEN body IS NULL OR NOT json_valid(body) OR NOT valid THEN 400 WHEN conflict THEN 409
-  WHEN created IS TRUE THEN 201 ELSE 200 END AS code FROM {V(REQUESTS, REQUEST_SCHEMA)}""",
+  WHEN created IS TRUE THEN 201 ELSE 200 END AS code FROM {_sql_rows(REQUEST_ROWS, REQUESTS, REQUEST_SCHEMA)}""",
     "failure_kinds": f"""SELECT id, CASE WHEN status = 401 THEN 'authentication' WHEN status = 403 THEN 'authorization' WHEN status BETWEEN 400 AND 499 THEN 'validation' WHEN status IS NOT NULL THEN 'upstream'
-  WHEN error = 'TypeError' AND NOT has_cause THEN 'request_setup' ELSE 'network' END AS kind FROM {V(FAILURES, FAILURE_SCHEMA)}""",
+  WHEN error = 'TypeError' AND NOT has_cause THEN 'request_setup' ELSE 'network' END AS kind FROM {_sql_rows(FAILURE_ROWS, FAILURES, FAILURE_SCHEMA)}""",
     "subscription_leads": f"SELECT subscription, CASE WHEN coalesce(offer = 'founder', false) OR list_contains(prices, '{PRICE}') THEN nullif(lead_id, '') END AS lead_id FROM {V(SUBSCRIPTIONS, SUBSCRIPTION_SCHEMA)}",
     "payment_links": f"""WITH s AS (SELECT *, lower(trim(CASE WHEN coalesce(details_email, '') <> '' THEN details_email ELSE customer_email END)) AS mail FROM {_S} WHERE mode = 'subscription' AND payment_link = '{LINK}' AND customer IS NOT NULL AND subscription IS NOT NULL),
 l AS (SELECT lower(trim(email)) AS mail, min(lead_id) AS lead_id, min(subscription_id) AS has, min(subscription_status) AS status FROM {_L} GROUP BY 1 HAVING count(*) = 1)
