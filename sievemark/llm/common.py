@@ -19,6 +19,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _HELD: dict[Hashable, Any] = {}
+_WORK: list[str] = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,15 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def _begin(work: str) -> None:
+    """A worker that turns to other work lets go of what it held for the last."""
+    if _WORK[0] != work:
+        _WORK[0] = work
+        if _HELD:
+            _HELD.clear()
+            _give_back()
+
+
 def _give_back() -> None:
     """Returns freed memory to the system; workers live on after a task and would keep it."""
     pa.default_memory_pool().release_unused()
@@ -50,7 +60,10 @@ def _give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    work = f"{fn.__module__}.{fn.__qualname__}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(work)
         yield from fn(batches)
         _give_back()
 
