@@ -18,7 +18,8 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, page_ord, url, jsonld): a site per supplier, a page per part, with the supplier's place as a nested address."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     first = read("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
-    t = read("part").join(first, "p_partkey").join(read("supplier"), "s_suppkey").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    # Merged: tables of keys and repeated names are small on disk and large in memory, so none but the nations is sent whole to the driver.
+    t = read("part").join(first.hint("merge"), "p_partkey").join(read("supplier").hint("merge"), "s_suppkey").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     is_a = lambda k: F.lit(k).alias("@type")
     address = F.struct(is_a("PostalAddress"), F.col("n_name").alias("addressLocality"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("addressCountry"))
     seller = F.struct(is_a("Organization"), F.col("s_name").alias("name"), address.alias("address"))
@@ -42,7 +43,7 @@ def structured_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every property of every object, by any name."""
-    p = structured.properties(_nodes(spark, sf_dir), *KEYS).where(~F.startswith("property", F.lit(structured.OFFER)))
+    p = structured.properties(_nodes(spark, sf_dir), *KEYS, first_offer=False)
     return p.groupBy("property").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"), F.min("text").alias("first_text"))
 
 

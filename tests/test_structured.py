@@ -44,3 +44,23 @@ def test_any_property_at_any_depth(spark):
     plan = structured.properties(nodes, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
     assert all(json.loads(r.j) is not None for r in nodes.selectExpr("to_json(node) AS j").collect())
+
+
+def test_nodes_are_not_sent_whole_to_the_driver(spark):
+    pages = spark.createDataFrame([(1, SCRIPTS)], "id int, jsonld array<string>")
+    plan = structured.with_nodes(pages, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_only_nations_are_sent_whole_to_the_driver(spark):
+    from sievemark.catalog.structured import product_pages
+
+    plan = product_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1
+
+
+def test_a_value_is_looked_at_once(spark):
+    """Each look walks all that the value holds, so the plan must not repeat it a branch."""
+    pages = spark.createDataFrame([(1, SCRIPTS)], "id int, jsonld array<string>")
+    plan = structured.properties(structured.walk(pages, "id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") + plan.count("schemaOfVariant") + plan.count("SchemaOfVariant") < 50
