@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..operators import state
 from ..plans import pageaudit
+from ..scratch import written
 
 HISTORY_SCHEMA = "session string, at string, url string, score int, readiness_state string, may_monitor boolean"
 LEAD_SCHEMA = "ord int, email string, website_url string, readiness_score string, visibility_score string, understanding_score string, buyability_score string, audit_status string"
@@ -174,7 +175,8 @@ def remediation_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     audits = pageaudit.inspect(pages)
     of_group = lambda g: F.transform(F.col("evidence")[g], lambda e: F.struct(e["label"].alias("label"), e["excerpt"].alias("excerpt")))
     by_group = F.create_map(*(x for g in audits.schema["evidence"].dataType.names for x in (F.lit(g), of_group(g))))
-    audits = audits.select(F.col("page_id").alias("audit_id"), by_group.alias("evidence"), F.col("capabilities")["conversion"].alias("conversion"), "next_actions")
+    # Both sides of the plan's join read the audits, so they are made once.
+    audits = written(audits.select(F.col("page_id").alias("audit_id"), by_group.alias("evidence"), F.col("capabilities")["conversion"].alias("conversion"), "next_actions"), "audits")
     actions = audits.select("audit_id", F.posexplode("next_actions").alias("k", "a")).select("audit_id", "k", F.col("a.title").alias("title"), F.lit("observed").alias("reason"), F.lit(None).cast("string").alias("action_id"), F.lit(None).cast("string").alias("category"))
     out = state.remediation_plan(actions, audits.drop("next_actions"))
     return out.select("audit_id", "k", "title", "template", F.size("relevant").alias("n_relevant"), F.array_join("affected", ",").alias("affected"), "insufficient")

@@ -221,7 +221,7 @@ def remediation_plan(actions: DataFrame, audits: DataFrame) -> DataFrame:
     :func:`remediation`: ``relevant``, the proofs whose label or excerpt holds one of the title's first three words; ``affected``, the
     dimensions without proof, and buyability where no conversion was observed; ``insufficient``, if no template fits or no reason is given.
     """
-    joined = remediation(actions.withColumn("title", F.trim(F.coalesce("title", F.lit(""))))).join(audits.select("audit_id", "evidence", "conversion"), "audit_id", "left")
+    joined = remediation(actions.withColumn("title", F.trim(F.coalesce("title", F.lit(""))))).join(audits.select("audit_id", "evidence", "conversion").hint("merge"), "audit_id", "left")
     names, categories = (F.array(*(F.lit(r[i]) for r in L.REMEDIATIONS)) for i in (0, 1))
     found = F.coalesce(F.when(F.array_contains(names, F.col("meta_action")), F.col("meta_action")), F.get(names, F.nullif(F.array_position(categories, F.col("meta_category")), F.lit(0)).cast("int") - 1), F.lit("unknown"))
     lists = F.coalesce(F.map_values("evidence"), F.array().cast(ArrayType(audits.schema["evidence"].dataType.valueType)))

@@ -41,3 +41,11 @@ def test_rendered_readings_do_not_multiply(spark):
     rendered = spark.createDataFrame([(k, "https://a.test/", page[2]) for k in (1, 2)], "page_id bigint, url string, html string")
     out = pageaudit.with_rendered(pageaudit.inspect(pages), pageaudit.inspect(rendered, method="rendered"))
     assert out.count() == 3 and {r.url: r.n for r in out.groupBy("url").agg(F.count("*").alias("n")).collect()} == {"https://a.test/": 2, "https://b.test/": 1}
+
+
+def test_plans_audit_each_page_once(spark):
+    """Once audited, pages aren't read again, and audits aren't sent whole to the driver."""
+    from sievemark.catalog.state import remediation_plans
+
+    plan = remediation_plans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan and "Broadcast" not in plan
