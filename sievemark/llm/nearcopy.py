@@ -8,8 +8,10 @@ its ``code``, a 64-bit hash of its set, so copies with equal sets are one node f
    is confirmed on the whole sets. That joins the closest copies with no pair of a group ever listed.
 2. The rest: at a similarity of 0.8 fingerprints differ in some ten bits, which no index of 64-bit codes separates from chance. Shingles are
    put in one order, and two sets that link share a shingle among the first n - ceil(4n/5) + 1 of each, so no pair is lost. For ``ROUNDS`` rounds,
-   every set is compared with some random ones (``LEADERS``) of other groups that share its prefix shingles: linearly many pairs, which join what is left
-   of large groups. Then all pairs that still lie in different groups and whose sizes, places and number of shared prefix shingles allow a link.
+   every set is compared with some random ones (``MET``) of other groups that share its prefix shingles, of which the likest (``LEADERS``) are confirmed:
+   linearly many pairs, which join what is left of large groups. Then all pairs that still lie in different groups and whose sizes and places allow a link.
+3. Before whole sets are moved, a pair passes its bitmaps: a bit for each shingle's hash, some four a shingle. A bit that one set has and the other hasn't is a
+   shingle that they don't share, so the count bounds their difference from below, and no link is lost.
 
 Shingles that are common in a sample go last in their order, the commonest at the end, which changes the number of candidates and nothing else. Every candidate is
 confirmed on the whole sets. Sets are built anew from the texts that have candidates, chosen by a bitmap of fixed size
@@ -20,7 +22,7 @@ Edge cases: null, empty and blank texts have the empty set and are copies of eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,8 +36,10 @@ from .common import byte_runs, map_arrow, materialize, text_bytes
 SHINGLE = 5
 #: Jaccard similarity of a link: ALIKE[0] / ALIKE[1].
 ALIKE = (4, 5)
-#: Rounds of leaders, at most (one that finds no link is the last), and leaders of a shingle and of a set in a round.
-ROUNDS, LEADERS = 3, 8
+#: Rounds of leaders, at most (one that finds no link is the last); leaders of a shingle, those of a set whose bitmaps are compared, and those confirmed.
+ROUNDS, HEADS, MET, LEADERS = 3, 8, 16, 3
+#: Bits of a set's bitmap: as many a shingle at least, between 64 and the most.
+BITS, MAX_BITS = 4, 1 << 17
 #: Share of the sets in the sample of common shingles, its count of a common shingle, and common shingles at most (8 bytes each).
 SAMPLE, COMMON, MAX_COMMON = 0.2, 3, 1 << 20
 BITMAP = 1 << 24
@@ -134,17 +138,64 @@ def _sets(bitmap: np.ndarray):
     return run
 
 
+def bits_of(found: np.ndarray) -> bytes:
+    """The bitmap of a set's hashes; its size is a power of two, so that a larger one folds onto a smaller."""
+    size = min(MAX_BITS, max(64, 1 << (BITS * len(found) - 1).bit_length())) if len(found) else 64
+    bits = np.zeros(size, bool)
+    bits[(found & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """So many shingles at least are in one set and not in the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (v if len(v) == size else np.bitwise_or.reduce(v.reshape(-1, size)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [hashes.values.to_numpy().view(np.uint64) for hashes in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array([len(f) for f in found], pa.int32()), pa.array(list(map(bits_of, found)), pa.binary())], names=["code", "n", "bits"])
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        d = np.fromiter(map(least_difference, batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist()), np.int32, len(batch))
+        # Sets of a and b shingles that differ in d link if d is at most this share of a + b.
+        fit = (ALIKE[0] + ALIKE[1]) * d <= (ALIKE[1] - ALIKE[0]) * (batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], names=["a", "b", "d"]).filter(pa.array(fit))
+
+
 def _bit(row: str):
     return F.pmod(F.xxhash64(row), F.lit(BITMAP))
 
 
-def _sets_of(pairs: DataFrame, end: str, marked: DataFrame, codes: DataFrame) -> DataFrame:
-    """(end, end_set) of the codes in one column of ``pairs``; a few others may be among them, or one twice."""
+def _wanted(pairs: DataFrame, end: str, marked: DataFrame, codes: DataFrame, fn: Callable[[np.ndarray], Callable], schema: str) -> DataFrame:
+    """``fn`` of the texts of the codes in one column of ``pairs``; a few others may be among them, or one twice."""
     wanted = pairs.select(F.col(end).alias("code")).distinct().join(codes.select("code", F.col("least.r").alias("row")), "code").select(_bit("row").alias("at"))
     found = wanted.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # BITMAP / 64 rows at most
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
     bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return map_arrow(marked.select("code", "text", _bit("row").alias("at")), _sets(bitmap), "code bigint, hashes array<bigint>").toDF(end, f"{end}_set")
+    return map_arrow(marked.select("code", "text", _bit("row").alias("at")), fn(bitmap), schema)
+
+
+def _sets_of(pairs: DataFrame, end: str, marked: DataFrame, codes: DataFrame) -> DataFrame:
+    return _wanted(pairs, end, marked, codes, _sets, "code bigint, hashes array<bigint>").toDF(end, f"{end}_set")
+
+
+def bitmaps(shared: DataFrame, marked: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, n, bits) of the sets that share a prefix shingle with another."""
+    found = _wanted(shared, "code", marked, codes, lambda bitmap: lambda batches: _bitmaps(_sets(bitmap)(batches)), "code bigint, n int, bits binary")
+    return materialize(found.dropDuplicates(["code"]), "bits")
+
+
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b, d): the rows of ``pairs`` whose bitmaps allow a link, and their least difference."""
+    side = lambda c: bits.select(*(F.col(x).alias(y) for x, y in (("code", c), ("n", f"{c}_n"), ("bits", f"{c}_bits"))))
+    both = pairs.select("a", "b").hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return map_arrow(both, _fitting, "a bigint, b bigint, d int")
 
 
 def confirmed(pairs: DataFrame, marked: DataFrame, codes: DataFrame) -> DataFrame:
@@ -193,14 +244,6 @@ def _allowed(a_n: Column, b_n: Column) -> Column:
     return ALIKE[1] * F.least(a_n, b_n) >= ALIKE[0] * F.greatest(a_n, b_n)
 
 
-def _enough(met: DataFrame) -> DataFrame:
-    """The rows of ``met`` (a, b, c, a_n, b_n) whose ``c`` shared prefix shingles allow a link."""
-    a_n, b_n = F.col("a_n"), F.col("b_n")
-    # The prefix that ends first in the order has nothing more in common than what was met and its own set's rest.
-    after = F.ceil(ALIKE[0] * F.greatest(a_n, b_n) / ALIKE[1]) - 1
-    return met.where((ALIKE[0] + ALIKE[1]) * (F.col("c") + after) >= ALIKE[0] * (a_n + b_n))
-
-
 def _early(a_n: Column, a_at: Column, b_n: Column, b_at: Column) -> Column:
     """Whether a shingle stands so early in both sets that as many as a link needs can follow it, and the sizes allow one.
 
@@ -210,47 +253,47 @@ def _early(a_n: Column, a_at: Column, b_n: Column, b_at: Column) -> Column:
     return _allowed(a_n, b_n) & (a_n - a_at >= least) & (b_n - b_at >= least)
 
 
-def led(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set b with up to ``LEADERS`` of the random leaders a of its shingles; a shingle has as many leaders."""
+def led(live: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set b with up to ``LEADERS`` of the random leaders a of its shingles, the likest by their bitmaps."""
     order = lambda k: F.xxhash64(F.lit(f"turn {turn} {k}"), "token", "code").alias("h")
-    heads = live.groupBy("token").agg(*(F.min(F.struct(order(k), "code", "n", "at", "label")).alias(f"l{k}") for k in range(LEADERS)))
-    heads = heads.select("token", F.array_distinct(F.array(*(F.struct(*(F.col(f"l{k}")[c].alias(c) for c in ("code", "n", "at", "label"))) for k in range(LEADERS)))).alias("heads"))
+    heads = live.groupBy("token").agg(*(F.min(F.struct(order(k), "code", "n", "at", "label")).alias(f"l{k}") for k in range(HEADS)))
+    heads = heads.select("token", F.array_distinct(F.array(*(F.struct(*(F.col(f"l{k}")[c].alias(c) for c in ("code", "n", "at", "label"))) for k in range(HEADS)))).alias("heads"))
     met = live.join(heads, "token").select("code", "n", "at", "label", F.explode("heads").alias("l"))
     met = met.where((F.col("label") != F.col("l.label")) & _early(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
     met = met.groupBy(F.col("l.code").alias("a"), F.col("code").alias("b")).agg(F.count("*").alias("c"))
-    # A set has LEADERS times as many leaders as prefix shingles at most.
-    best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, LEADERS).alias("l"))
-    return best.select(F.explode("l.a").alias("a"), "b")
+    # A set has HEADS times as many leaders as prefix shingles at most.
+    best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, MET).alias("l"))
+    fit = possible(best.select(F.explode("l.a").alias("a"), "b"), bits)
+    likest = fit.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, LEADERS).alias("l"))
+    return likest.select(F.explode("l.a").alias("a"), "b")
 
 
 def met_pairs(live: DataFrame) -> DataFrame:
-    """(a, b, a_n, b_n): sets of different groups that have a shingle early in both."""
+    """(a, b): sets of different groups that have a shingle early in both."""
     side = lambda c: live.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("code", "n", "at", "label")))
     c = F.col
     fit = (c("a_code") < c("b_code")) & (c("a_label") != c("b_label")) & _early(c("a_n"), c("a_at"), c("b_n"), c("b_at"))
-    return side("a").hint("merge").join(side("b"), "token").where(fit).select(c("a_code").alias("a"), c("b_code").alias("b"), "a_n", "b_n").distinct()
+    return side("a").hint("merge").join(side("b"), "token").where(fit).select(c("a_code").alias("a"), c("b_code").alias("b")).distinct()
 
 
-def pairs_left(live: DataFrame) -> DataFrame:
-    """(a, b): all sets of different groups whose prefixes share enough shingles for their sizes."""
-    met = materialize(met_pairs(live), "met")
-    tokens = lambda c: live.groupBy(F.col("code").alias(c)).agg(F.collect_list("token").alias(f"{c}_t"))
-    both = met.hint("merge").join(tokens("a"), "a").hint("merge").join(tokens("b"), "b")
-    return _enough(both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_t", "b_t")).alias("c"))).select("a", "b")
+def pairs_left(live: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b): all sets of different groups whose prefixes and bitmaps allow a link."""
+    return possible(materialize(met_pairs(live), "met"), bits).select("a", "b")
 
 
 def links(marked: DataFrame, codes: DataFrame, by_print: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): edges between sets that are alike, enough of them to connect every component."""
     found = [materialize(confirmed(printed(codes) if by_print else codes.select(F.col("code").alias("a"), F.col("code").alias("b")).where("false"), marked, codes), "links")]
     shared = materialize(shared_tokens(marked), "shared")
+    bits = bitmaps(shared, marked, codes)
     every = lambda: reduce(DataFrame.unionByName, found)
     live = _open(shared, simhash.components(every()))
     for turn in range(rounds):
-        found.append(materialize(confirmed(led(live, turn), marked, codes), "links"))
+        found.append(materialize(confirmed(led(live, bits, turn), marked, codes), "links"))
         if found[-1].isEmpty():
             break
         live = _open(shared, simhash.components(every()))
-    return every().unionByName(confirmed(pairs_left(live), marked, codes))
+    return every().unionByName(confirmed(pairs_left(live, bits), marked, codes))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

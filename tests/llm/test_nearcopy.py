@@ -75,3 +75,38 @@ def test_prefixes_alone_find_every_link(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])} and len(got) > 100
     by_print = {tuple(sorted((r.a, r.b))) for r in nearcopy.confirmed(nearcopy.printed(codes), marked, codes).collect()}
     assert by_print and by_print < got
+
+
+def test_bitmaps_bound_the_difference_from_below():
+    from sievemark.llm import nearcopy
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 3, 50, 700, 60_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for m in (0, n // 9, n // 2, n):
+            b = np.unique(np.concatenate([a[m:], rng.integers(0, 1 << 63, m + n // 3).astype(np.uint64)]))
+            least = nearcopy.least_difference(nearcopy.bits_of(a), nearcopy.bits_of(b))
+            assert least <= len(np.setxor1d(a, b)) and (n < 50 or n > 700 or 2 * least > len(np.setxor1d(a, b)))
+
+
+def test_like_texts_that_do_not_link_move_no_sets(spark, monkeypatch):
+    """Copies that share two thirds with each other meet in every prefix; their whole sets stay where they are."""
+    from pyspark.sql import functions as F
+
+    from sievemark.llm import nearcopy
+
+    rng, base, rows = np.random.default_rng(8), [f"w{k}" for k in range(150)], []
+    for i in range(100):
+        copy = list(base)
+        for j, at in enumerate(rng.choice(15, 3, replace=False)):
+            copy[10 * at + 5] = f"n{i}x{j}"
+        rows.append((i, " ".join(copy)))
+    marked = nearcopy.materialize(nearcopy.map_arrow(spark.createDataFrame(rows, "row bigint, text string"), nearcopy._marked("text"), "row bigint, text string, code bigint, print bigint"), "marked")
+    codes = marked.groupBy("code").agg(F.struct(F.min("row").alias("r")).alias("least"), F.min("print").alias("print"))
+    moved, confirmed = [], nearcopy.confirmed
+    monkeypatch.setattr(nearcopy, "confirmed", lambda pairs, *rest: (moved.append(pairs.count()), confirmed(pairs, *rest))[1])
+    sets = {r.code: shingles(r.text) for r in marked.collect()}
+    got = nearcopy.links(marked, codes, by_print=False).collect()
+    linked = [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])]
+    assert len(got) >= bool(linked) and {tuple(sorted((r.a, r.b))) for r in got} <= set(linked)
+    assert sum(moved) < 500
