@@ -1,7 +1,7 @@
 """Encoding of whole texts with the ``tokenizers`` library, and where encoded files live.
 
 A byte-level BPE file without a normaliser never merges across the start of a white-space run, so a text is encoded as its
-white-space separated segments, and frequent segments are encoded once per worker: a memo bounded by bytes, in two halves. When the young
+white-space separated segments. Each distinct segment of a batch is looked up once, and frequent ones are encoded once per worker: a memo bounded by bytes, in two halves. When the young
 half is full it becomes the old one, and what is still asked for comes back from there. The ids are those that the library gives for
 the whole text; tests hold the two against each other. Other tokenizer files, and texts that hold the string of a special token, are encoded whole.
 
@@ -16,6 +16,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
@@ -23,11 +25,12 @@ from .common import held
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of the memo in a worker, both halves together; bytes of an entry besides its text and ids; the longest segment that is kept.
 MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 48 << 20, 150, 64
-#: Words encoded by one call.
-WORDS_AT_ONCE = 512
+#: Words encoded by one call; pieces whose ids are put in their places at once.
+WORDS_AT_ONCE, PIECES_AT_ONCE = 512, 1 << 18
 
 _SPACE = re.compile(f"[{SPACES}]")
-_DOUBLE = re.compile(f"[{SPACES}]{{2}}")
+#: Two in a row, as Arrow's regular expressions spell it.
+_RUN = r"[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 _SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Letters of Latin-1 and sentence punctuation: between the two, the library always cuts.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -102,26 +105,25 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces; a piece stands for a space and itself, or for itself if it begins with a line feed."""
-        words = [p for p in pieces if p.isascii() and p.isalpha()]
-        found = dict(zip(words, self._words(words)))
+        words: list[str] = []
         ended: list[tuple[str, str]] = []
         rest: list[str] = []
-        stems: dict[str, bytes | None] = {}
-        tails: dict[str, bytes] = {"": b""}
         for p in pieces:
-            if p in found:
+            if p.isalpha() and (p.isascii() or _WORD.fullmatch(p)):
+                words.append(p)
                 continue
             w = p.rstrip(".,;:!?")
-            if w.isascii() and w.isalpha() or _WORD.fullmatch(w):
+            if w.isalpha() and len(w) < len(p) and (w.isascii() or _WORD.fullmatch(w)):
                 ended.append((p, w))
-                stems[w] = found.get(w) or self.memo.young.get(w)
-                tails[p[len(w) :]] = b""
             else:
                 rest.append(p)
+        found = dict(zip(words, self._words(words)))
+        young, old = self.memo.young.get, self.memo.old.get
+        stems = {w: found.get(w) or young(w) or old(w) for _, w in ended}
         new = [w for w, ids in stems.items() if ids is None]
         stems.update(zip(new, self._words(new)))
-        ends = [t for t in tails if t]
-        tails.update(zip(ends, self.whole(ends)))
+        tails = dict.fromkeys(p[len(w) :] for p, w in ended)
+        tails.update(zip(tails, self.whole(list(tails))))
         for p, w in ended:
             found[p] = stems[w] + tails[p[len(w) :]]
         # A space belongs to what follows it, and nothing else opens with one: pieces without white space go together as words do.
@@ -136,29 +138,55 @@ class Encoder:
         """Little-endian ids of each text, as ``dtype`` items."""
         if not self.cuttable:
             return self.whole(texts)
-        flat: list[str] = []
-        ends, firsts, odd = [], [], {}
+        plain: list[str] = []
+        odd: dict[int, bytes] = {}
+        runs = pc.match_substring_regex(pa.array(texts, pa.large_string()), _RUN).to_pylist()
         for k, t in enumerate(texts):
             if self.added and self.added.search(t):
                 odd[k] = self.whole([t])[0]
-                firsts.append("")
-            elif _DOUBLE.search(t):  # white-space runs: rare, and cut by the general rule
+            elif runs[k]:  # white-space runs: rare, and cut by the general rule
                 odd[k] = b"".join(self.whole(_SEGMENT.findall(t)))
-                firsts.append("")
             else:
-                first, *rest = t.replace("\n", " \n").split(" ")
-                firsts.append(first)
-                flat += rest
-            ends.append(len(flat))
-        found = list(map(self.memo.young.get, flat))
-        if None in found:
-            holes = [i for i, ids in enumerate(found) if ids is None]
-            new = {p: self.memo.recall(p) for p in {flat[i] for i in holes}}
-            new.update(self._learn([p for p, ids in new.items() if ids is None]))
+                plain.append(t.replace("\n", " \n"))
+        done = iter(self._plain(plain) if plain else ())
+        return [odd[k] if k in odd else next(done) for k in range(len(texts))]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts cut at single spaces: each distinct piece is looked up once, and its ids go to wherever it stands."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, pieces = parts.offsets.to_numpy(), parts.flatten()
+        heads = self.whole(pieces.take(pa.array(bounds[:-1])).to_pylist())
+        behind = np.ones(len(pieces), bool)
+        behind[bounds[:-1]] = False
+        coded = pieces.filter(pa.array(behind)).dictionary_encode()
+        found = self._ids(coded.dictionary.to_pylist())
+        data, size = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        start, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        out, ends = [], np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size[at], out=ends[1:])
+        for k in range(0, len(at), PIECES_AT_ONCE):
+            some = at[k : k + PIECES_AT_ONCE]
+            first = int(ends[k])
+            shift = (start[some] - ends[k : k + len(some)] + first).astype(np.int32)
+            where = np.repeat(shift, size[some])
+            where += np.arange(len(where), dtype=np.int32)
+            out.append(data.take(where).tobytes())
+        whole = memoryview(b"".join(out))
+        cuts = (ends[bounds - np.arange(len(bounds))] * self.dtype.itemsize).tolist()
+        return [head + whole[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some distinct pieces."""
+        found = list(map(self.memo.young.get, pieces))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        for i in holes:
+            found[i] = self.memo.recall(pieces[i])
+        holes = [i for i in holes if found[i] is None]
+        if holes:
+            new = self._learn([pieces[i] for i in holes])
             for i in holes:
-                found[i] = new[flat[i]]
-        heads = self.whole(firsts)
-        return [odd[k] if k in odd else heads[k] + b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
+                found[i] = new[pieces[i]]
+        return found
 
 
 def encoder(path: str, literal: bool = False, memo_bytes: int = MEMO_BYTES) -> Encoder:

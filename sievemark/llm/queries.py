@@ -10,6 +10,8 @@ from .common import table
 
 #: End-of-document ids: the vocabulary's own for flat files, the contract's for framed files.
 FLAT_END_ID, FRAMED_END_ID = 50256, 2
+#: Of the encoder's memo where a worker does little else; the pipeline, whose executors hold more, keeps to the default.
+OUTPUT_MEMO_BYTES = 128 << 20
 
 URL_RULES = [
     urlfilter.UrlRule("block", "net/"),
@@ -30,7 +32,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), FRAMED_END_ID)
+    found = tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), FRAMED_END_ID, memo_bytes=OUTPUT_MEMO_BYTES)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, new_path, prepare
-from .encoding import encoder, filesystem
+from .encoding import MEMO_BYTES, encoder, filesystem
 
 IDS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Content bytes of one frame at most.
@@ -125,11 +125,11 @@ class TokenFileReader:
                 yield doc_id, self.read(k)
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, memo_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo_bytes=memo_bytes)
         end = np.array([end_id], enc.dtype).tobytes()
         fs, path = filesystem(folder)
         part = TaskContext.get().partitionId()
@@ -155,12 +155,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Writes ``docs`` in ascending ``doc_id`` order to files in ``folder`` of the shared store; returns the manifest (part, file, n_docs, n_ids)."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX), F.xxhash64("text")
     dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(map_arrow(dealt, _writer(folder, tokenizer, end_id), "part int, file string, n_docs bigint, n_ids bigint"), "manifest")
+    return materialize(map_arrow(dealt, _writer(folder, tokenizer, end_id, memo_bytes), "part int, file string, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def _reader(folder: str):
@@ -198,8 +198,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return map_arrow(files, _reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or new_path(spark, "ids")
-    return read_token_files(spark, folder, write_token_files(docs, folder, tokenizer, end_id))
+    return read_token_files(spark, folder, write_token_files(docs, folder, tokenizer, end_id, memo_bytes=memo_bytes))
