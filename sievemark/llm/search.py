@@ -2,18 +2,21 @@
 
 Each task indexes its part of the corpus as shards of at most ``SHARD_POSTINGS`` postings, files in the shared folder; no text is
 shuffled. A shard orders its documents so that like ones stand together (by their most frequent word, then length), in blocks
-of ``BLOCK`` documents. Every word has its largest impact in the shard, and every long list the largest impact and the postings of each block; a
-list with less than one posting a block is short, and its postings are what its blocks would say.
+of ``BLOCK`` documents. Every word has its largest impact in the shard, and every long list the largest impact of each block; a
+list with less than one posting a block is short, and its postings are what its blocks would say. (Long lists beyond ``LONG_CELLS``, the rarest
+of them, are read like short ones.)
 
 A task has a block of queries (``QUERY_WORDS`` words at most) and takes shard after shard, so each query goes through the shards with the k-th best score
-of those before as its floor:
+of those before as its floor. Queries go through a shard in batches, so that a block's lists are read once for all queries that open it:
 
-* pivot: words in order of their largest impact; those that together stay below the floor never lead to a document, so their
-  long lists aren't opened for that (short ones are cheaper to read than to bound);
-* block test: a block is skipped unless what its short lists give plus the block maxima of its long lists reaches the floor; only the
-  postings of other blocks are read;
-* document test: what the opened lists give plus the block maxima of the others has to reach the floor. While many documents
-  pass, more lists are opened in the blocks left; then those that pass are scored whole, those of the largest bounds first, as they raise the floor.
+* pivot: a query's words in order of their largest impact; where all together stay below the floor, no word is left from the pivot on and the shard is left out;
+* block test: a block is skipped by each query for which what its short lists give plus the block maxima of its long lists stays below
+  the floor (so do blocks with none of the words from the pivot on). The maxima of all queries and blocks are one product of matrices;
+* document test: for a block and the queries that open it, the long lists' impacts, written out, are one product; what they give plus what the
+  short lists give has to reach the floor. These sums bound scores from both sides, so they raise the floor before any document
+  is scored, and only documents that may stay among the k best are scored whole.
+
+A query without k documents yet first scores those to which its short lists give most, to have a floor.
 
 Document frequencies, number and mean length are those of the whole corpus, so scores of shards compare; a query carries its k best from
 shard to shard, which is the exact merge. Nothing that grows is broadcast or comes to the driver.
@@ -46,12 +49,11 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a block; postings and documents of a shard at most, but for one that is larger by itself.
 BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 4_000_000, 1 << 16
-DENSE = 8
+#: Cells of a shard's written-out lists, and of what a batch of queries is given, at most (4 bytes each).
+LONG_CELLS, BATCH_CELLS = 1 << 24, 1 << 22
 #: Words of queries that a task holds at once, about.
 QUERY_WORDS = 4_000_000
 DECIMALS = 6
-#: So many documents are scored before all lists are opened.
-FEW = 16
 
 #: Arrays of a shard file, in their order.
 PARTS = ("ids", "no_id", "asks", "lengths", "words", "df", "place", "tf", "starts", "rows", "row_tf")
@@ -94,37 +96,34 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class Shard:
     def __init__(self, parts: dict[str, np.ndarray], mean: float):
-        self.ids, self.no_id, self.words, self.starts, self.rows = (parts[k] for k in ("ids", "no_id", "words", "starts", "rows"))
+        self.ids, self.no_id, self.words, self.starts, self.rows, self.row_tf = (parts[k] for k in ("ids", "no_id", "words", "starts", "rows", "row_tf"))
         n = self.n = len(self.ids)
         self.n_blocks = -(-n // BLOCK)
         #: tf / (tf + norm) times k1 + 1 is the impact.
         self.norm = K1 * (1 - B + B * parts["lengths"] / max(mean, 1e-9))
-        self.row_tf = parts["row_tf"]
         df, place, tf = parts["df"].astype(np.int64), parts["place"], parts["tf"]
-        # Bounds are rounded up to 32 bits.
-        self.impact = np.nextafter((tf * (K1 + 1) / (tf + self.norm[place])).astype(np.float32), np.float32(np.inf))
-        self.place = place.astype(np.int64)
+        # Bounds are in 32 bits, a little above the impact.
+        impact = tf.astype(np.float32)
+        impact *= np.float32((K1 + 1) * (1 + 2.0**-20)) / (impact + self.norm.astype(np.float32)[place])
+        #: Place and impact of each posting side by side, as they are read together.
+        self.posts = np.empty((len(place), 2), np.int32)
+        self.posts[:, 0], self.posts.view(np.float32)[:, 1] = place, impact
         self.last = np.cumsum(df)
         self.first = self.last - df
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(df) else np.array([], np.float32)
-        #: Row of each long word in the tables of blocks, -1 for short ones.
-        long = df * BLOCK >= max(n, 1)
-        self.long = np.where(long, np.cumsum(long) - 1, -1)
+        self.most = np.maximum.reduceat(impact, self.first) if len(df) else np.array([], np.float32)
+        #: The long words, their row in the tables of blocks for each word, -1 for short ones.
+        long = np.flatnonzero(df * BLOCK >= max(n, 1))
+        long = np.sort(long[np.argsort(-df[long], kind="stable")[: LONG_CELLS // max(1, self.n_blocks * BLOCK)]])
+        self.long = np.full(len(df), -1)
+        self.long[long] = np.arange(len(long))
         of_long, owner = _ranges(self.first[long], self.last[long])
-        cell = owner * self.n_blocks + (place[of_long] // BLOCK)
-        cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.array([], np.int64)
-        self.block_most = np.zeros((int(long.sum()), self.n_blocks), np.float32)
-        if len(cell):
-            self.block_most.ravel()[cell[cuts]] = np.maximum.reduceat(self.impact[of_long], cuts)
-        #: First posting of each long word in each block, as a place within the word's list.
-        per = np.bincount(cell, minlength=self.block_most.size).reshape(self.block_most.shape)
-        self.block_first = np.concatenate([np.zeros((len(per), 1), np.int32), np.cumsum(per, axis=1, dtype=np.int32)], axis=1)
-        #: Row of each word whose list is written out, -1 for the others; the lists by block.
-        dense = df * DENSE > n
-        self.dense = np.where(dense, np.cumsum(dense) - 1, -1)
-        of_dense, owner = _ranges(self.first[dense], self.last[dense])
-        self.out = np.zeros((int(dense.sum()), self.n_blocks, BLOCK), np.float32)
-        self.out.reshape(len(self.out), -1)[owner, place[of_dense]] = self.impact[of_dense]
+        block, within = np.divmod(place[of_long].astype(np.int64), BLOCK)
+        #: Impacts of the long words, written out by block, word and document; their largest by word and block.
+        self.out = np.zeros((self.n_blocks, len(long), BLOCK), np.float32)
+        self.out.ravel()[(block * len(long) + owner) * BLOCK + within] = impact[of_long]
+        self.block_most = np.ascontiguousarray(self.out.max(axis=2).T)
+        #: A query's weights by word, and which words are its own, while documents are scored.
+        self.weight, self.marked = np.zeros(len(df)), np.zeros(len(df), bool)
 
     def rows_of(self, terms: np.ndarray) -> np.ndarray:
         """Row of each of some ascending hashes, -1 for those that the shard doesn't hold."""
@@ -134,82 +133,75 @@ class Shard:
         k[k == len(self.words)] = 0
         return np.where(self.words[k] == terms, k, -1)
 
-    def _given(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        size = last - first
+    def _given(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists of some words give to each document."""
+        first = self.first[rows]
+        size = self.last[rows] - first
         posts = np.repeat(first - np.cumsum(size) + size, size)
         posts += np.arange(len(posts))
-        return np.bincount(self.place[posts], self.impact[posts] * np.repeat(weights, size), self.n).astype(np.float64, copy=False)
-
-    def score(self, place: int, rows: np.ndarray, weights: np.ndarray) -> float:
-        """Whole score of a document; words are added in the order of their hashes, so equal documents score alike everywhere."""
-        a, b = self.starts[place], self.starts[place + 1]
-        own = self.rows[a:b]
-        k = np.searchsorted(own, rows)
-        k[k == b - a] = 0
-        both = np.flatnonzero(own[k] == rows)
-        tf = self.row_tf[a:b][k[both]]
-        return round(float(np.cumsum(weights[both] * (tf * (K1 + 1) / (tf + self.norm[place])))[-1]), DECIMALS) if len(both) else 0.0
-
-    def search(self, rows: np.ndarray, weights: np.ndarray, best: "Best") -> None:
-        """Takes the shard's documents that belong there into ``best``; ``rows`` ascend."""
-        exact, weights = weights, weights.astype(np.float32)
-        bound = weights * self.most[rows]
-        order = np.argsort(bound)
-        total = np.cumsum(bound[order])
-        pivot = int(np.searchsorted(total, best.least))
-        if pivot == len(order):
-            return
-        long = self.long[rows] >= 0
-        short = np.flatnonzero(~long)
-        given = self._given(self.first[rows[short]], self.last[rows[short]], weights[short])
-        ahead, rest = (part[long[part]] for part in (order[pivot:], order[:pivot]))
-        # The lists from the pivot on first; the others where many documents are left.
-        while True:
-            behind = weights[rest] @ self.block_most[self.long[rows[rest]]] if len(rest) else np.zeros(self.n_blocks)
-            if len(ahead):
-                blocks = self._blocks(given, weights[ahead] @ self.block_most[self.long[rows[ahead]]] + behind, best.least)
-                if not len(blocks):
-                    return
-                given += self._opened(rows[ahead], weights[ahead], blocks)
-            bounds = given + np.repeat(behind, BLOCK)[: self.n]
-            places = np.flatnonzero((bounds >= best.least) & (given > 0))
-            if not len(rest) or len(places) <= FEW:
-                break
-            ahead, rest = rest, rest[:0]
-        if not len(places):
-            return
+        both = self.posts.view(np.int64).ravel()[posts].view(np.int32).reshape(-1, 2)
+        return np.bincount(both[:, 0], both.view(np.float32)[:, 1] * np.repeat(weights.astype(np.float32), size), self.n)
+
+    def scores(self, places: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Whole scores of some documents; words are added in the order of their hashes, so equal documents score alike everywhere."""
+        first = self.starts[places]
+        size = self.starts[places + 1] - first
+        ends = np.cumsum(size)
+        own = np.concatenate([self.rows[a : a + n] for a, n in zip(first.tolist(), size.tolist())])
+        self.weight[rows], self.marked[rows] = weights, True
+        both = np.flatnonzero(self.marked[own])
+        self.marked[rows] = False
+        owner = np.searchsorted(ends, both, side="right")
+        tf = self.row_tf[both + (first - ends + size)[owner]]
+        total = np.bincount(owner, self.weight[own[both]] * (tf * (K1 + 1) / (tf + self.norm[places[owner]])), len(places))
+        return np.array([round(x, DECIMALS) for x in total.tolist()])
+
+    def _take(self, best: "Best", places: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
+        best.take(self.scores(places, rows, weights), self.ids[places], self.no_id[places])
+
+    def search(self, asked: list[tuple[np.ndarray, np.ndarray, "Best"]]) -> None:
+        """Takes the shard's documents that belong there into each query's best; a query's rows ascend."""
+        # Where no word is left from the pivot on, the shard has nothing for the query.
+        asked = [q for q in asked if len(q[0]) and float(q[1] @ self.most[q[0]]) >= q[2].least]
+        batches = -(-len(asked) // max(1, BATCH_CELLS // max(1, self.n_blocks * BLOCK)))
+        for k in range(batches):
+            self._search(asked[k * len(asked) // batches : (k + 1) * len(asked) // batches])
+
+    def _search(self, asked: list[tuple[np.ndarray, np.ndarray, "Best"]]) -> None:
+        given = np.zeros((len(asked), self.n_blocks * BLOCK), np.float32)
+        ahead = np.zeros((len(asked), len(self.block_most)), np.float32)
+        for k, (rows, weights, best) in enumerate(asked):
+            long = self.long[rows]
+            short = long < 0
+            given[k, : self.n] = self._given(rows[short], weights[short])
+            ahead[k, long[~short]] = weights[~short]
+            if len(best.score) < best.top:
+                # A floor to begin with: the documents to which short lists give most.
+                places = np.argsort(-given[k, : self.n], kind="stable")[: best.top]
+                self._take(best, places, rows, weights)
+                given[k, places] = -np.inf
+        least = np.array([best.least for _, _, best in asked], np.float32)
+        bounds = ahead @ self.block_most
+        bounds += given.reshape(len(asked), self.n_blocks, BLOCK).max(axis=2)
+        left = bounds >= least[:, None]
+        found = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float32))]
+        for block in np.flatnonzero(left.any(axis=0)).tolist():
+            who = np.flatnonzero(left[:, block])
+            bounds = ahead[who] @ self.out[block]
+            bounds += given[who, block * BLOCK : (block + 1) * BLOCK]
+            at, within = np.nonzero((bounds >= least[who, None]) & (bounds > 0))
+            if len(at):
+                found.append((who[at], block * BLOCK + within, bounds[at, within]))
+        who, places, bounds = (np.concatenate(x) for x in zip(*found))
         # Those of the largest bounds first, as they raise the floor.
-        places = places[np.argsort(-bounds[places])]
-        for k in range(0, len(places), best.top):
-            some = places[k : k + best.top]
-            some = some[bounds[some] >= best.least]
-            if not len(some):
-                return
-            best.take(np.array([self.score(p, rows, exact) for p in some.tolist()]), self.ids[some], self.no_id[some])
-
-    def _blocks(self, given: np.ndarray, more: np.ndarray, least: float) -> np.ndarray:
-        """Blocks in which some document may reach ``least``."""
-        pad = np.zeros(self.n_blocks * BLOCK)
-        pad[: self.n] = given
-        return np.flatnonzero(pad.reshape(-1, BLOCK).max(axis=1) + more >= least)
-
-    def _opened(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """What long lists give to the documents of some blocks."""
-        out = self.dense[rows]
-        whole, listed = out >= 0, out < 0
-        rows, out, ahead, weights = rows[listed], out[whole], weights[whole], weights[listed]
-        base = self.first[rows]
-        if 2 * len(blocks) > self.n_blocks:
-            given = self._given(base, self.last[rows], weights)
-            if len(out):
-                given += (ahead @ self.out[out].reshape(len(out), -1))[: self.n]
-            return given
-        table = self.block_first[self.long[rows]]
-        first, last = table[:, blocks], table[:, blocks + 1]
-        given = np.zeros((self.n_blocks, BLOCK))
-        if len(out):
-            given[blocks] = (ahead @ self.out[out[:, None], blocks].reshape(len(out), -1)).reshape(len(blocks), BLOCK)
-        return given.ravel()[: self.n] + self._given((base[:, None] + first).ravel(), (base[:, None] + last).ravel(), np.repeat(weights, len(blocks)))
+        order = np.lexsort((-bounds, who))
+        who, places, bounds = who[order], places[order], bounds[order]
+        cuts = np.flatnonzero(np.diff(who)) + 1
+        for k, mine, theirs in zip(who[np.concatenate(([0], cuts))].tolist() if len(who) else [], np.split(places, cuts), np.split(bounds, cuts)):
+            rows, weights, best = asked[k]
+            ready = mine[theirs >= best.least_with(theirs[: best.top])]
+            if len(ready):
+                self._take(best, ready, rows, weights)
 
 
 @dataclass
@@ -222,6 +214,8 @@ class Best:
     no_id: np.ndarray = field(default_factory=lambda: np.array([], bool))
     least: float = 0.0
     floor: float = 0.0
+    #: Bounds are sums in 32 bits: their relative error at most.
+    slack: float = 1e-4
 
     def take(self, score: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> None:
         good = (score > 0) & (score >= self.floor)
@@ -232,8 +226,18 @@ class Best:
         self.score, self.id, self.no_id = score[order], ids[order], no_id[order]
         if len(order) == self.top:
             self.floor = float(self.score[-1])
-            # Bounds are sums in 32 bits of up to some thousand words.
-            self.least = max(0.0, self.floor * (1 - 1e-4) - 2 * 10.0**-DECIMALS)
+            self.least = self._below(self.floor)
+
+    def _below(self, score: float) -> float:
+        return max(0.0, score * (1 - self.slack) - 2 * 10.0**-DECIMALS)
+
+    def least_with(self, bounds: np.ndarray) -> float:
+        """The least bound that counts beside documents of these bounds, the largest of others than those at hand."""
+        if len(self.score) + len(bounds) < self.top:
+            return self.least
+        # A bound exceeds its score by no more than the slack.
+        low = np.concatenate((self.score, bounds * (1 - self.slack) - 2 * 10.0**-DECIMALS))
+        return max(self.least, self._below(float(np.partition(low, -self.top)[-self.top])))
 
 
 def _write_shard(folder: str, name: str, parts: dict[str, np.ndarray]) -> None:
@@ -319,16 +323,13 @@ def _searcher(folder: str, manifest: str, n_docs: int, mean: float, top: int):
         df[place] = np.concatenate([d for _, _, d in queries])
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         words = [np.sort(w) for w in np.split(place, np.cumsum([len(w) for _, w, _ in queries])[:-1])]
-        best = [Best(top) for _ in queries]
+        best = [Best(top, slack=max(1e-4, len(w) * 2.0**-22)) for w in words]
         # Tasks begin at different shards, so that not all read the same file at once.
         for k in range(len(files)):
             shard = Shard(_read_shard(folder, files[(first + k) % len(files)]), mean)
             rows = shard.rows_of(terms)
-            for mine, b in zip(words, best):
-                here = rows[mine]
-                there = here >= 0
-                if there.any():
-                    shard.search(here[there], idf[mine[there]], b)
+            there = [mine[rows[mine] >= 0] for mine in words]
+            shard.search([(rows[mine], idf[mine], b) for mine, b in zip(there, best)])
         n = [len(b.score) for b in best]
         whose = np.repeat(np.arange(len(best)), n)
         asked = pa.array([q for q, _, _ in queries], pa.int64()).take(pa.array(whose))
