@@ -51,6 +51,8 @@ TOP = 10
 BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 4_000_000, 1 << 16
 #: Cells of a shard's written-out lists, and of what a batch of queries is given, at most (4 bytes each).
 LONG_CELLS, BATCH_CELLS = 1 << 24, 1 << 22
+#: Documents of a query that are scored at once.
+SCORED = 64
 #: Words of queries that a task holds at once, about.
 QUERY_WORDS = 4_000_000
 DECIMALS = 6
@@ -184,14 +186,14 @@ class Shard:
         bounds = ahead @ self.block_most
         bounds += given.reshape(len(asked), self.n_blocks, BLOCK).max(axis=2)
         left = bounds >= least[:, None]
-        found = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float32))]
+        found = [(np.array([], np.int32), np.array([], np.int32), np.array([], np.float32))]
         for block in np.flatnonzero(left.any(axis=0)).tolist():
             who = np.flatnonzero(left[:, block])
             bounds = ahead[who] @ self.out[block]
             bounds += given[who, block * BLOCK : (block + 1) * BLOCK]
             at, within = np.nonzero((bounds >= least[who, None]) & (bounds > 0))
             if len(at):
-                found.append((who[at], block * BLOCK + within, bounds[at, within]))
+                found.append((who[at].astype(np.int32), (block * BLOCK + within).astype(np.int32), bounds[at, within]))
         who, places, bounds = (np.concatenate(x) for x in zip(*found))
         # Those of the largest bounds first, as they raise the floor.
         order = np.lexsort((-bounds, who))
@@ -199,8 +201,13 @@ class Shard:
         cuts = np.flatnonzero(np.diff(who)) + 1
         for k, mine, theirs in zip(who[np.concatenate(([0], cuts))].tolist() if len(who) else [], np.split(places, cuts), np.split(bounds, cuts)):
             rows, weights, best = asked[k]
-            ready = mine[theirs >= best.least_with(theirs[: best.top])]
-            if len(ready):
+            good = theirs >= best.least_with(theirs[: best.top])
+            mine, theirs = mine[good], theirs[good]
+            for first in range(0, len(mine), SCORED):
+                some = slice(first, first + SCORED)
+                ready = mine[some][theirs[some] >= best.least]
+                if not len(ready):
+                    break
                 self._take(best, ready, rows, weights)
 
 

@@ -83,3 +83,13 @@ def test_long_lists_are_read_by_block_and_few_documents_scored(monkeypatch):
     assert all(len(s.block_most) > 10 for s in shards) and max(read) == -1
     # 335; the search of one query at a time scored 431.
     assert asked == 31 and sum(scored) < 400
+
+
+def test_copies_are_scored_in_portions(monkeypatch):
+    """Documents that all tie are scored whole, some at a time, and the smallest ids stay."""
+    sizes = []
+    scores = search.Shard.scores
+    monkeypatch.setattr(search.Shard, "scores", lambda self, places, rows, weights: sizes.append(len(places)) or scores(self, places, rows, weights))
+    got, _ = found([(k, ["a", "b", "c"]) for k in range(299, -1, -1)], 2)
+    assert [d for q, d, _ in got if q == 100] == list(range(TOP))
+    assert max(sizes) <= search.SCORED and sum(sizes) == 300 * 15
