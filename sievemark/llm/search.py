@@ -2,19 +2,19 @@
 
 Each task indexes its part of the corpus as shards of at most ``SHARD_POSTINGS`` postings, files in the shared folder; no text is
 shuffled. A shard orders its documents so that like ones stand together (by their most frequent word, then length), in blocks
-of ``BLOCK`` documents. Every word has its largest impact in the shard, and every long list the largest impact of each block; a
-list with less than one posting a block is short, and its postings are what its blocks would say. (Long lists beyond ``LONG_CELLS``, the rarest
-of them, are read like short ones.)
+of ``BLOCK`` documents. Every word has its largest impact in the shard. A word that many documents of a block hold has a long list there, with
+its largest impact in the block; its other postings are its short list. (Beyond ``LONG_CELLS`` the thinnest long lists are read as short ones.)
 
 A task has a block of queries (``QUERY_WORDS`` words at most) and takes shard after shard, so each query goes through the shards with the k-th best score
-of those before as its floor. Queries go through a shard in batches, so that a block's lists are read once for all queries that open it:
+of those before as its floor. Queries go through a shard in batches of like ones, so that a block's lists are read once for all queries that open it:
 
 * pivot: a query's words in order of their largest impact; where all together stay below the floor, no word is left from the pivot on and the shard is left out;
 * block test: a block is skipped by each query for which what its short lists give plus the block maxima of its long lists stays below
   the floor (so do blocks with none of the words from the pivot on). The maxima of all queries and blocks are one product of matrices;
-* document test: for a block and the queries that open it, the long lists' impacts, written out, are one product; what they give plus what the
-  short lists give has to reach the floor. These sums bound scores from both sides, so they raise the floor before any document
-  is scored, and only documents that may stay among the k best are scored whole.
+* document test: for a block and the queries that open it, the long lists' impacts, written out, are products, those most documents hold first. After
+  each step a document stays if what it has, plus what the lists to come can give, may reach the floor: they give no more than the query asks of them at most, and
+  no more than the document has for all of them. Short documents so end after a step or two. The sums bound scores from both sides, so they
+  raise the floor before any document is scored, and only documents that may stay among the k best are scored whole.
 
 A query without k documents yet first scores those to which its short lists give most, to have a floor.
 
@@ -48,9 +48,16 @@ from .encoding import filesystem
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a block; postings and documents of a shard at most, but for one that is larger by itself.
-BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 4_000_000, 1 << 16
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 256, 4_000_000, 1 << 16
+#: A word's list is long in a block if its documents there, times the share of the shard's that hold it, are this many at least. Long lists of a block's first step; the
+#: second has twice as many, and so on.
+LONG_SHARE, STEP = 0.8, 96
+#: Postings of short lists that are read at once, but for a query that has more by itself.
+READ_POSTINGS = 1 << 18
 #: Cells of a shard's written-out lists, and of what a batch of queries is given, at most (4 bytes each).
-LONG_CELLS, BATCH_CELLS = 1 << 24, 1 << 22
+LONG_CELLS, BATCH_CELLS = 1 << 24, 1 << 23
+#: Bounds exceed scores by this share at most; what lists to come can give is raised by this share, more than sums in 32 bits may lack.
+LOOSE, SAFE = 0.02, 1e-3
 #: Documents of a query that are scored at once.
 SCORED = 64
 #: Words of queries that a task holds at once, about.
@@ -103,28 +110,46 @@ class Shard:
         self.n_blocks = -(-n // BLOCK)
         #: tf / (tf + norm) times k1 + 1 is the impact.
         self.norm = K1 * (1 - B + B * parts["lengths"] / max(mean, 1e-9))
-        df, place, tf = parts["df"].astype(np.int64), parts["place"], parts["tf"]
+        df, place, tf = parts["df"], parts["place"], parts["tf"]
         # Bounds are in 32 bits, a little above the impact.
         impact = tf.astype(np.float32)
         impact *= np.float32((K1 + 1) * (1 + 2.0**-20)) / (impact + self.norm.astype(np.float32)[place])
-        #: Place and impact of each posting side by side, as they are read together.
-        self.posts = np.empty((len(place), 2), np.int32)
-        self.posts[:, 0], self.posts.view(np.float32)[:, 1] = place, impact
-        self.last = np.cumsum(df)
-        self.first = self.last - df
-        self.most = np.maximum.reduceat(impact, self.first) if len(df) else np.array([], np.float32)
-        #: The long words, their row in the tables of blocks for each word, -1 for short ones.
-        long = np.flatnonzero(df * BLOCK >= max(n, 1))
-        long = np.sort(long[np.argsort(-df[long], kind="stable")[: LONG_CELLS // max(1, self.n_blocks * BLOCK)]])
-        self.long = np.full(len(df), -1)
-        self.long[long] = np.arange(len(long))
-        of_long, owner = _ranges(self.first[long], self.last[long])
-        block, within = np.divmod(place[of_long].astype(np.int64), BLOCK)
-        #: Impacts of the long words, written out by block, word and document; their largest by word and block.
-        self.out = np.zeros((self.n_blocks, len(long), BLOCK), np.float32)
-        self.out.ravel()[(block * len(long) + owner) * BLOCK + within] = impact[of_long]
-        self.block_most = np.ascontiguousarray(self.out.max(axis=2).T)
-        #: A query's weights by word, and which words are its own, while documents are scored.
+        last = np.cumsum(df, dtype=np.int64)
+        self.most = np.maximum.reduceat(impact, last - df) if len(df) else np.array([], np.float32)
+        word, block = np.repeat(np.arange(len(df), dtype=np.int32), df), place // BLOCK
+        # Runs: a word's postings in a block.
+        begins = np.ones(len(place), bool)
+        begins[1:] = (block[1:] != block[:-1]) | (word[1:] != word[:-1])
+        run = np.flatnonzero(begins)
+        size = np.diff(run, append=len(place))
+        long = np.flatnonzero(size * df[word[run]].astype(np.int64) >= LONG_SHARE * n)
+        if len(long) > LONG_CELLS // BLOCK:
+            long = np.sort(long[np.argsort(-size[long], kind="stable")[: LONG_CELLS // BLOCK]])
+        # By block, those that most of its documents hold first.
+        long = long[np.lexsort((-size[long], block[run[long]]))]
+        its_word, its_block = word[run[long]], block[run[long]]
+        wide, self.columns = np.unique(its_word, return_inverse=True)
+        #: A block's long lists are those from one cut to the next.
+        self.cuts = np.searchsorted(its_block, np.arange(self.n_blocks + 1))
+        #: Lists: a word's short one has the word's row, the long ones follow. Their row in the tables of blocks, -1 for short ones.
+        self.long = np.concatenate((np.full(len(df), -1), np.arange(len(wide))))
+        #: A word's long list, -1 if it has none.
+        self.wide = np.full(len(df), -1)
+        self.wide[wide] = len(df) + np.arange(len(wide))
+        #: Impacts of the long lists, written out by block, word and document; their largest, also by word and block.
+        posts, owner = _ranges(run[long], run[long] + size[long])
+        self.out = np.zeros((len(long), BLOCK), np.float32)
+        self.out.ravel()[owner * BLOCK + place[posts] % BLOCK] = impact[posts]
+        self.out_most = self.out.max(axis=1)
+        self.block_most = np.zeros((len(wide), self.n_blocks), np.float32)
+        self.block_most[self.columns, its_block] = self.out_most
+        short = np.ones(len(place), bool)
+        short[posts] = False
+        self.short = place[short], impact[short], word[short]
+        #: First posting and size of each word's short list.
+        self.size = df - np.bincount(its_word, size[long], len(df)).astype(np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        #: The words' weights, and which are a query's own while its documents are scored.
         self.weight, self.marked = np.zeros(len(df)), np.zeros(len(df), bool)
 
     def rows_of(self, terms: np.ndarray) -> np.ndarray:
@@ -135,14 +160,40 @@ class Shard:
         k[k == len(self.words)] = 0
         return np.where(self.words[k] == terms, k, -1)
 
-    def _given(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the lists of some words give to each document."""
-        first = self.first[rows]
-        size = self.last[rows] - first
-        posts = np.repeat(first - np.cumsum(size) + size, size)
-        posts += np.arange(len(posts))
-        both = self.posts.view(np.int64).ravel()[posts].view(np.int32).reshape(-1, 2)
-        return np.bincount(both[:, 0], both.view(np.float32)[:, 1] * np.repeat(weights.astype(np.float32), size), self.n)
+    def _weigh(self, asked: list[tuple[np.ndarray, np.ndarray, "Best"]]) -> None:
+        """Takes the words' weights, which are alike for all queries, into the lists."""
+        for rows, weights, _ in asked:
+            self.weight[rows] = weights
+        places, impact, word = self.short
+        # What each posting of the short lists gives, no less and up to LOOSE more, as its last 16 bits are its place.
+        self.posts = (impact * (self.weight * (1 + 2.0**-7 + 2.0**-12)).astype(np.float32)[word]).view(np.int32)
+        self.posts &= -SHARD_DOCS
+        self.posts |= places
+        of_column = np.zeros(len(self.block_most), np.float32)
+        has = np.flatnonzero(self.wide >= 0)
+        of_column[self.long[self.wide[has]]] = self.weight[has] * (1 + SAFE)
+        #: For each block its long lists' steps, and what a step and those after it can give to each document at most.
+        self.steps = []
+        for first, last in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            ends = [first]
+            while ends[-1] < last:
+                end = ends[-1] + STEP * len(ends)
+                ends.append(last if last - end < STEP else end)
+            mass = [of_column[self.columns[a:b]] @ self.out[a:b] for a, b in zip(ends, ends[1:])]
+            self.steps.append([(a, b, m) for a, b, m in zip(ends, ends[1:], np.cumsum(mass[::-1], axis=0)[::-1])])
+
+    def _given(self, rows: np.ndarray, out: list[tuple[int, np.ndarray]]) -> None:
+        """Writes what short lists give to each document for some queries one after another, of so many rows each."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[rows] - ends + size, size)
+        at += np.arange(len(at))
+        posts = self.posts[at]
+        ends = ends[np.cumsum([n for n, _ in out]) - 1]
+        places, gives, first = posts & (SHARD_DOCS - 1), posts.view(np.float32), 0
+        for (_, to), last in zip(out, ends.tolist()):
+            to[: self.n] = np.bincount(places[first:last], gives[first:last], self.n)
+            first = last
 
     def scores(self, places: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Whole scores of some documents; words are added in the order of their hashes, so equal documents score alike everywhere."""
@@ -150,50 +201,66 @@ class Shard:
         size = self.starts[places + 1] - first
         ends = np.cumsum(size)
         own = np.concatenate([self.rows[a : a + n] for a, n in zip(first.tolist(), size.tolist())])
-        self.weight[rows], self.marked[rows] = weights, True
-        both = np.flatnonzero(self.marked[own])
-        self.marked[rows] = False
+        if len(own) < 4 * len(rows):
+            at = np.minimum(np.searchsorted(rows, own), len(rows) - 1)
+            both = np.flatnonzero(rows[at] == own)
+            its = weights[at[both]]
+        else:
+            self.weight[rows], self.marked[rows] = weights, True
+            both = np.flatnonzero(self.marked[own])
+            self.marked[rows] = False
+            its = self.weight[own[both]]
         owner = np.searchsorted(ends, both, side="right")
         tf = self.row_tf[both + (first - ends + size)[owner]]
-        total = np.bincount(owner, self.weight[own[both]] * (tf * (K1 + 1) / (tf + self.norm[places[owner]])), len(places))
+        total = np.bincount(owner, its * (tf * (K1 + 1) / (tf + self.norm[places[owner]])), len(places))
         return np.array([round(x, DECIMALS) for x in total.tolist()])
 
     def _take(self, best: "Best", places: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
         best.take(self.scores(places, rows, weights), self.ids[places], self.no_id[places])
 
     def search(self, asked: list[tuple[np.ndarray, np.ndarray, "Best"]]) -> None:
-        """Takes the shard's documents that belong there into each query's best; a query's rows ascend."""
+        """Takes the shard's documents that belong there into each query's best; a query's rows ascend, and a word's weight is the same in all of them."""
         # Where no word is left from the pivot on, the shard has nothing for the query.
-        asked = [q for q in asked if len(q[0]) and float(q[1] @ self.most[q[0]]) >= q[2].least]
-        batches = -(-len(asked) // max(1, BATCH_CELLS // max(1, self.n_blocks * BLOCK)))
+        asked = [q for q in asked if len(q[0])]
+        if not asked:
+            return
+        sizes = np.array([len(rows) for rows, _, _ in asked])
+        most = np.add.reduceat(np.concatenate([w for _, w, _ in asked]) * self.most[np.concatenate([rows for rows, _, _ in asked])], np.cumsum(sizes) - sizes)
+        asked = [q for q, m in zip(asked, most.tolist()) if m >= q[2].least]
+        self._weigh(asked)
+        batches = -(-len(asked) // max(1, BATCH_CELLS // max(self.n_blocks * BLOCK, len(self.block_most))))
         for k in range(batches):
             self._search(asked[k * len(asked) // batches : (k + 1) * len(asked) // batches])
 
     def _search(self, asked: list[tuple[np.ndarray, np.ndarray, "Best"]]) -> None:
         given = np.zeros((len(asked), self.n_blocks * BLOCK), np.float32)
-        ahead = np.zeros((len(asked), len(self.block_most)), np.float32)
+        ahead = np.zeros((len(self.block_most), len(asked)), np.float32)
+        sizes = [len(rows) for rows, _, _ in asked]
+        rows = np.concatenate([rows for rows, _, _ in asked])
+        lists = self.wide[rows]
+        has = np.flatnonzero(lists >= 0)
+        ahead[self.long[lists[has]], np.repeat(np.arange(len(asked)), sizes)[has]] = np.concatenate([weights for _, weights, _ in asked])[has]
+        cuts = np.cumsum([0, *sizes])
+        posts = np.concatenate(([0], np.cumsum(self.size[rows], dtype=np.int64)))[cuts]
+        k = 0
+        while k < len(asked):
+            end = max(k + 1, int(np.searchsorted(posts, posts[k] + READ_POSTINGS, side="right")) - 1)
+            self._given(rows[cuts[k] : cuts[end]], [(sizes[i], given[i]) for i in range(k, end)])
+            k = end
         for k, (rows, weights, best) in enumerate(asked):
-            long = self.long[rows]
-            short = long < 0
-            given[k, : self.n] = self._given(rows[short], weights[short])
-            ahead[k, long[~short]] = weights[~short]
             if len(best.score) < best.top:
                 # A floor to begin with: the documents to which short lists give most.
-                places = np.argsort(-given[k, : self.n], kind="stable")[: best.top]
+                places = np.argpartition(-given[k, : self.n], min(best.top, self.n) - 1)[: best.top]
                 self._take(best, places, rows, weights)
                 given[k, places] = -np.inf
         least = np.array([best.least for _, _, best in asked], np.float32)
-        bounds = ahead @ self.block_most
-        bounds += given.reshape(len(asked), self.n_blocks, BLOCK).max(axis=2)
-        left = bounds >= least[:, None]
+        most = ahead.T @ self.block_most
+        left = most + given.reshape(len(asked), self.n_blocks, BLOCK).max(axis=2) >= least[:, None]
         found = [(np.array([], np.int32), np.array([], np.int32), np.array([], np.float32))]
         for block in np.flatnonzero(left.any(axis=0)).tolist():
-            who = np.flatnonzero(left[:, block])
-            bounds = ahead[who] @ self.out[block]
-            bounds += given[who, block * BLOCK : (block + 1) * BLOCK]
-            at, within = np.nonzero((bounds >= least[who, None]) & (bounds > 0))
-            if len(at):
-                found.append((who[at].astype(np.int32), (block * BLOCK + within).astype(np.int32), bounds[at, within]))
+            who, within, bounds = self._opened(block, np.flatnonzero(left[:, block]), ahead, most[:, block], given, least)
+            if len(who):
+                found.append((who.astype(np.int32), (block * BLOCK + within).astype(np.int32), bounds))
         who, places, bounds = (np.concatenate(x) for x in zip(*found))
         # Those of the largest bounds first, as they raise the floor.
         order = np.lexsort((-bounds, who))
@@ -210,6 +277,27 @@ class Shard:
                     break
                 self._take(best, ready, rows, weights)
 
+    def _opened(self, block: int, who: np.ndarray, ahead: np.ndarray, most: np.ndarray, given: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the queries that open a block and its documents, the pairs that may reach the floor, and their bounds."""
+        bounds = given[who, block * BLOCK : (block + 1) * BLOCK]
+        floor, rest = least[who, None], most[who, None] * np.float32(1 + SAFE)
+        for first, last, mass in self.steps[block]:
+            # What this step and the next can give: no more than the query asks of them, nor than the document has for all words.
+            can = np.minimum(rest, mass)
+            can += bounds
+            alive = np.flatnonzero((can >= floor).any(axis=1))
+            if len(alive) < 0.8 * len(who):
+                who, bounds, floor, rest = who[alive], bounds[alive], floor[alive], rest[alive]
+            if not len(alive):
+                break
+            mine = ahead[self.columns[first:last]]
+            if len(who) < len(least):
+                mine = mine[:, who]
+            bounds += mine.T @ self.out[first:last]
+            rest -= (self.out_most[first:last] @ mine)[:, None]
+        at, within = np.nonzero((bounds >= floor) & (bounds > 0))
+        return who[at], within, bounds[at, within]
+
 
 @dataclass
 class Best:
@@ -221,7 +309,7 @@ class Best:
     no_id: np.ndarray = field(default_factory=lambda: np.array([], bool))
     least: float = 0.0
     floor: float = 0.0
-    #: Bounds are sums in 32 bits: their relative error at most.
+    #: Bounds are sums in 32 bits: by this share they may fall short.
     slack: float = 1e-4
 
     def take(self, score: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> None:
@@ -242,8 +330,7 @@ class Best:
         """The least bound that counts beside documents of these bounds, the largest of others than those at hand."""
         if len(self.score) + len(bounds) < self.top:
             return self.least
-        # A bound exceeds its score by no more than the slack.
-        low = np.concatenate((self.score, bounds * (1 - self.slack) - 2 * 10.0**-DECIMALS))
+        low = np.concatenate((self.score, bounds * (1 - self.slack - LOOSE) - 2 * 10.0**-DECIMALS))
         return max(self.least, self._below(float(np.partition(low, -self.top)[-self.top])))
 
 
@@ -323,20 +410,27 @@ def _searcher(folder: str, manifest: str, n_docs: int, mean: float, top: int):
     def answers(queries: list[tuple[int | None, np.ndarray, np.ndarray]], first: int) -> pa.RecordBatch:
         import pyarrow.dataset as ds
 
+        # Like ones together, as they open the same blocks: those with the same commonest word, and then of a size.
+        queries = sorted(queries, key=lambda q: (int(q[1][np.argmax(q[2])]), len(q[1])))
         fs, path = filesystem(manifest)
         files = sorted(ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["file"]).column("file").to_pylist())
         terms, place = np.unique(np.concatenate([w for _, w, _ in queries]), return_inverse=True)
         df = np.empty(len(terms))
         df[place] = np.concatenate([d for _, _, d in queries])
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        words = [np.sort(w) for w in np.split(place, np.cumsum([len(w) for _, w, _ in queries])[:-1])]
-        best = [Best(top, slack=max(1e-4, len(w) * 2.0**-22)) for w in words]
+        ends = np.cumsum([len(w) for _, w, _ in queries])[:-1]
+        # The words of all queries one after another, those of each in ascending order.
+        flat = np.concatenate([np.sort(w) for w in np.split(place, ends)])
+        weights = idf[flat]
+        best = [Best(top, slack=max(1e-4, len(w) * 2.0**-22)) for _, w, _ in queries]
         # Tasks begin at different shards, so that not all read the same file at once.
         for k in range(len(files)):
             shard = Shard(_read_shard(folder, files[(first + k) % len(files)]), mean)
             rows = shard.rows_of(terms)
-            there = [mine[rows[mine] >= 0] for mine in words]
-            shard.search([(rows[mine], idf[mine], b) for mine, b in zip(there, best)])
+            there = rows[flat]
+            held = np.flatnonzero(there >= 0)
+            cuts = np.searchsorted(held, ends)
+            shard.search(list(zip(np.split(there[held], cuts), np.split(weights[held], cuts), best)))
         n = [len(b.score) for b in best]
         whose = np.repeat(np.arange(len(best)), n)
         asked = pa.array([q for q, _, _ in queries], pa.int64()).take(pa.array(whose))
@@ -374,8 +468,8 @@ def top_k(docs: DataFrame, queries: Column, doc_id: str = "doc_id", text: str =
     asked = map_arrow(shards, _asked(folder), "row bigint, query_id bigint, term bigint")
     # Both sides grow with the input: merged at every size, never broadcast.
     each = asked.hint("merge").join(df, "term").groupBy("row").agg(F.first("query_id").alias("query_id"), F.collect_list(F.struct("term", "df")).alias("t"))
-    # As many blocks of queries as hold QUERY_WORDS words each, and enough for every core to have some.
-    blocks = max(1, -(-(n.asked or 0) // QUERY_WORDS), 2 * spark.sparkContext.defaultParallelism)
+    # As many blocks of queries as hold QUERY_WORDS words each, and enough for every core to have some; each of them opens all shards.
+    blocks = max(1, -(-(n.asked or 0) // QUERY_WORDS), spark.sparkContext.defaultParallelism)
     ready = materialize(each.select("row", "query_id", F.col("t.term").alias("words"), F.col("t.df").alias("df")), "queries").repartition(blocks)
     mean = (n.words or 0) / max(1, n.docs or 0)
     return map_arrow(ready.select("query_id", "words", "df"), _searcher(folder, manifest, n.docs or 0, mean, top), "query_id bigint, rank int, doc_id bigint, score double")

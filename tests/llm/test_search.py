@@ -93,3 +93,51 @@ def test_copies_are_scored_in_portions(monkeypatch):
     got, _ = found([(k, ["a", "b", "c"]) for k in range(299, -1, -1)], 2)
     assert [d for q, d, _ in got if q == 100] == list(range(TOP))
     assert max(sizes) <= search.SCORED and sum(sizes) == 300 * 15
+
+
+def test_small_blocks_and_steps_against_brute_force(monkeypatch):
+    """Words with long lists in some blocks and short ones in others, and blocks that end after any of many steps."""
+    for name, value in (("BLOCK", 16), ("STEP", 2), ("LONG_SHARE", 0.2), ("READ_POSTINGS", 300)):
+        monkeypatch.setattr(search, name, value)
+    docs = corpus()
+    want = wanted(docs)
+    got, shards = found(docs, 2)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    assert all(((s.wide >= 0) & (s.size > 0)).any() and max(map(len, s.steps)) > 3 for s in shards)
+
+
+class Read:
+    """An array that counts the rows that slices take of it."""
+
+    def __init__(self, whole):
+        self.whole, self.rows = whole, 0
+
+    def __getitem__(self, some):
+        self.rows += len(self.whole[some])
+        return self.whole[some]
+
+
+def test_short_documents_are_left_after_few_steps(monkeypatch):
+    """Maxima let queries open blocks of short documents; what these have at all ends them before most of the lists are multiplied."""
+    for name, value in (("BLOCK", 32), ("STEP", 8), ("LONG_SHARE", 0.1)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    docs = [(k, [f"w{x}" for x in rng.integers(0, 300, 40 if k % 20 else 400).tolist()]) for k in range(640)]
+    opened, multiplied = [], []
+    steps = search.Shard._opened
+
+    def counted(self, block, *rest):
+        whole, self.out = self.out, Read(self.out)
+        out = steps(self, block, *rest)
+        if not (self.ids % 20 == 0).any():
+            opened.append(self.cuts[block + 1] - self.cuts[block])
+            multiplied.append(self.out.rows)
+        self.out = whole
+        return out
+
+    monkeypatch.setattr(search.Shard, "_opened", counted)
+    got, _ = found(docs, 2)
+    assert [x[:2] for x in got] == [x[:2] for x in wanted(docs)]
+    # All 10 blocks of the second shard, which holds the short ones alone.
+    assert len(opened) == 10 and sum(opened) > 1000 and sum(multiplied) < 0.2 * sum(opened)
